@@ -96,3 +96,26 @@ def with_previous(
     pieces = chunked(df, keys, 1, seq, chunk_rows)
     pieces = pieces.withColumns({new: F.lag(src).over(window) for new, src in columns.items()})
     return pieces.filter(own_rows(seq, chunk_rows)).drop("chunk")
+
+
+def running_totals(
+    df: DataFrame,
+    order_col: str,
+    totals: dict[str, str],
+    max_window_rows: int = MAX_WINDOW_ROWS,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Cumulative sums over the whole table by ascending ``order_col`` (unique per row)."""
+    count = df.count()
+    if count <= max_window_rows:
+        window = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({new: F.sum(src).over(window) for new, src in totals.items()})
+    ranged = df.repartitionByRange(-(-count // range_rows), order_col).sortWithinPartitions(order_col)
+    placed = materialise(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(*[F.sum(src).alias(new) for new, src in totals.items()])
+    sums = sums.select("_part", *[F.coalesce(F.sum(new).over(before), F.lit(0)).alias(f"_b_{new}") for new in totals])
+    within = Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(materialise(sums), "_part")
+    out = out.withColumns({new: F.sum(src).over(within) + F.col(f"_b_{new}") for new, src in totals.items()})
+    return out.drop("_part", *[f"_b_{new}" for new in totals])

@@ -170,11 +170,11 @@ CATEGORY_SQL = """SELECT category, CAST(4 * n AS BIGINT) AS features FROM (VALUE
 
 def scaled(spark, d):
     out = standardise(line_features(spark, d), ["accelerometer_x_rms", "accelerometer_magnitude_energy"])
-    return out.select("joint_id", "seq", r(F.col("x")[0]).alias("x_rms"), r(F.col("x")[1]).alias("energy"))
+    return out.select("joint_id", "seq", F.round(F.col("x")[0], 6).alias("x_rms"), F.round(F.col("x")[1], 6).alias("energy"))
 
 
-SCALED_SQL = f"""WITH {LINES}, {_LF} SELECT joint_id, seq, {R('(accelerometer_x_rms - avg(accelerometer_x_rms) OVER j) / stddev_pop(accelerometer_x_rms) OVER j')} AS x_rms,
-  {R('(accelerometer_magnitude_energy - avg(accelerometer_magnitude_energy) OVER j) / stddev_pop(accelerometer_magnitude_energy) OVER j')} AS energy
+SCALED_SQL = f"""WITH {LINES}, {_LF} SELECT joint_id, seq, round((accelerometer_x_rms - avg(accelerometer_x_rms) OVER j) / stddev_pop(accelerometer_x_rms) OVER j, 6) AS x_rms,
+  round((accelerometer_magnitude_energy - avg(accelerometer_magnitude_energy) OVER j) / stddev_pop(accelerometer_magnitude_energy) OVER j, 6) AS energy
   FROM f WINDOW j AS (PARTITION BY joint_id)"""
 ALL_STATS = ["mean", "std", "variance", "rms", "peak_to_peak", "jerk", "energy"]
 

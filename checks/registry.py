@@ -1,5 +1,5 @@
 """All registered queries: name -> (Spark query, SQL or None)."""
 
-from checks import features, ingest, wear
+from checks import evaluate, features, ingest, wear
 
-QUERIES = {**ingest.QUERIES, **features.QUERIES, **wear.QUERIES}
+QUERIES = {**ingest.QUERIES, **features.QUERIES, **wear.QUERIES, **evaluate.QUERIES}

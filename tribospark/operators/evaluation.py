@@ -200,8 +200,8 @@ def confusion(df: DataFrame, truth: str = "truth") -> DataFrame:
     """Confusion counts and ratios, per joint and overall, in one pass."""
     t, p = F.col(truth) == 1, F.col("anomaly") == -1
     counts = df.select("joint_id", t.alias("t"), p.alias("p")).rollup("joint_id").agg(
-        F.grouping("joint_id").alias("_all"), F.count_if("t and p").alias("tp"), F.count_if("not t and p").alias("fp"),
-        F.count_if("not t and not p").alias("tn"), F.count_if("t and not p").alias("fn"))
+        F.grouping("joint_id").alias("_all"), *[F.count_if(F.expr(test)).alias(name) for name, test in (
+            ("tp", "t and p"), ("fp", "not t and p"), ("tn", "not t and not p"), ("fn", "t and not p"))])
 
     def at_least(c, floor):
         return F.greatest(c, F.lit(floor))

@@ -82,6 +82,11 @@ ROLES_SQL = f"""WITH {_score_sql()}, jt AS (SELECT min(place) AS jp FROM scores
     (SELECT {R("least(count(*) FILTER (role <> 'unmapped') / count(*) + 0.2, 1)")} FROM rl) AS confidence FROM rl"""
 
 
+OVERRIDDEN_SQL = ROLES_SQL[: ROLES_SQL.rindex("SELECT \"column\", role")] + """SELECT 'ts' AS "column", 'timestamp' AS role, NULL AS modality, NULL AS axis
+  UNION ALL SELECT 'user_id', 'joint', NULL, NULL UNION ALL SELECT 'value', 'sensor', 'temperature', 'value'
+  UNION ALL SELECT "column", role, CASE WHEN role = 'sensor' THEN 'unknown_signal' END, CASE WHEN role = 'sensor' THEN "column" END FROM rl WHERE role IN ('sensor', 'unmapped')"""
+
+
 def duplicates(spark, d):
     return quality.duplicate_rows(table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"))
 
@@ -277,7 +282,7 @@ QUERIES = {
                          f"WITH {EVENTS} SELECT joint_id, seq, {R('v')} AS v FROM s WHERE joint_id = (SELECT min(joint_id) FROM s) AND seq < 500"),
     "roles_column_scores": (scores, f'WITH {_score_sql()} SELECT "column", time_score, joint_score, sensor_score FROM scores'),
     "roles_inferred": (roles_inferred, ROLES_SQL),
-    "roles_overridden": (roles_overridden, None),
+    "roles_overridden": (roles_overridden, OVERRIDDEN_SQL),
     "quality_duplicates": (duplicates, """SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority
         FROM orders)) AS duplicate_rows FROM orders"""),
     "quality_column_profile": (profile, _profile_sql()),

@@ -64,29 +64,40 @@ LOF_LABEL_SQL = f"""{_lof_sql(20, 'l2')}, c AS (SELECT joint_id, quantile_cont(v
 
 
 def forest(spark, d):
-    return isolation_forest(event_matrix(spark, d), {"contamination": 0.1})
+    return once(spark, d, "forest", lambda: isolation_forest(event_matrix(spark, d), {"contamination": 0.1}))
 
 
 def svm(spark, d):
-    return one_class_svm(event_matrix(spark, d), {"nu": 0.05})
+    return once(spark, d, "svm", lambda: one_class_svm(event_matrix(spark, d), {"nu": 0.05}))
 
 
 def neural(spark, d):
-    errors = autoencoder_errors(event_matrix(spark, d), {"epochs": 20})
-    return label_errors(materialise(errors), 0.1)
+    def make():
+        return label_errors(materialise(autoencoder_errors(event_matrix(spark, d), {"epochs": 20})), 0.1)
+
+    return once(spark, d, "neural", make)
+
+
+def flagged(make):
+    """Rows and flagged share per joint: what every detector must reproduce whatever its random choices."""
+    return lambda spark, d: wear.anomaly_rates(make(spark, d)).select("joint_id", "total_readings", F.round("anomaly_rate", 2).alias("anomaly_rate"))
+
+
+def flagged_sql(share):
+    return f"SELECT event_type AS joint_id, count(*) AS total_readings, {share}::DOUBLE AS anomaly_rate FROM events GROUP BY event_type"
 
 
 def components(spark, d):
     """Projection on one of two axes (window energy and magnitude mean, both scaled)."""
     scaled = standardise(line_features(spark, d), ["accelerometer_magnitude_energy", "accelerometer_x_rms"])
-    return component_errors(scaled, 0.5).select("joint_id", "seq", r("value").alias("value"))
+    return component_errors(scaled, 0.5).select("joint_id", "seq", F.round("value", 6).alias("value"))
 
 
 # Two standardised columns: the leading axis is (1, s)/sqrt(2) with s the sign of their correlation.
 COMPONENTS_SQL = f"""WITH {{lines}} z AS (SELECT joint_id, seq, (energy - avg(energy) OVER j) / stddev_pop(energy) OVER j AS a,
     (rx - avg(rx) OVER j) / stddev_pop(rx) OVER j AS b FROM f WINDOW j AS (PARTITION BY joint_id)),
   c AS (SELECT joint_id, sign(sum(a * b)) AS s FROM z GROUP BY joint_id)
-  SELECT joint_id, seq, {R('pow(a - s * b, 2) / 4')} AS value FROM z JOIN c USING (joint_id)""".replace("{lines}", SCORED[: SCORED.index("e AS (SELECT")])
+  SELECT joint_id, seq, round(pow(a - s * b, 2) / 4, 6) AS value FROM z JOIN c USING (joint_id)""".replace("{lines}", SCORED[: SCORED.index("e AS (SELECT")])
 
 
 def scored_labels(spark, d):
@@ -324,6 +335,9 @@ QUERIES = {
     "detect_isolation_forest": (forest, None),
     "detect_one_class_svm": (svm, None),
     "detect_autoencoder": (neural, None),
+    "detect_isolation_forest_rates": (flagged(forest), flagged_sql(0.1)),
+    "detect_one_class_svm_rates": (flagged(svm), flagged_sql(0.05)),
+    "detect_autoencoder_rates": (flagged(neural), flagged_sql(0.1)),
     "detect_principal_components": (components, COMPONENTS_SQL),
     "detect_error_labels": (scored_labels, f"WITH {SCORED} SELECT joint_id, seq, anomaly, round(anomaly_score, 6) AS anomaly_score FROM sc"),
     "detect_default_model_rates": (detect_whole, "SELECT l_returnflag || l_linestatus AS joint_id, count(*) AS total_readings, 0.1::DOUBLE AS anomaly_rate FROM lineitem GROUP BY ALL"),

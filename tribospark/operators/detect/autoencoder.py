@@ -84,13 +84,13 @@ def local_training(flat: np.ndarray, x: np.ndarray, ratio: float, epochs: int, r
 
 
 def autoencoder_errors(rows: DataFrame, params: dict, seed: int = 42, chunk_rows: int = CHUNK_ROWS, rounds: int = ROUNDS, **sharing) -> DataFrame:
-    """joint_id, seq, value: mean squared reconstruction error."""
+    """The rows with ``value``, the mean squared reconstruction error, in place of ``x``."""
     ratio, epochs = params.get("encoding_dim_ratio", 0.5), params.get("epochs", 50)
     rate = params.get("learning_rate", 0.001)
-    rows = rows.select("joint_id", "seq", "x")
+    points = rows.select("joint_id", "seq", "x")
     # Rounds of whole epochs that add up to the requested number.
     plan = [epochs // rounds + (1 if i < epochs % rounds else 0) for i in range(rounds)]
-    models = materialise(rows.groupBy("joint_id").agg(F.max(F.size("x")).alias("features"), F.array().cast("array<double>").alias("w")))
+    models = materialise(points.groupBy("joint_id").agg(F.max(F.size("x")).alias("features"), F.array().cast("array<double>").alias("w")))
 
     def weights(model):
         if model["w"]:
@@ -110,7 +110,7 @@ def autoencoder_errors(rows: DataFrame, params: dict, seed: int = 42, chunk_rows
         return train
 
     for number, local in enumerate([e for e in plan if e]):
-        placed = rows.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
+        placed = points.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
         copies = renewed(placed.select("joint_id", "chunk").distinct().join(models, "joint_id"))
         trained = placed.groupBy("joint_id", "chunk").cogroup(copies.groupBy("joint_id", "chunk")).applyInArrow(
             trainer(number, local), "joint_id string, features int, i int, w double, n long")
@@ -129,7 +129,7 @@ def autoencoder(rows: DataFrame, params: dict, seed: int = 42) -> DataFrame:
 
 
 def component_errors(rows: DataFrame, ratio: float = 0.5, **sharing) -> DataFrame:
-    """joint_id, seq, value: mean squared error after projection on the leading principal components.
+    """The rows with ``value``: mean squared error after projection on the leading principal components.
 
     One pass sums the second moments of every joint; the eigenvectors of that small matrix then
     score all rows. Exact, and as cheap as an average.
@@ -145,8 +145,7 @@ def component_errors(rows: DataFrame, ratio: float = 0.5, **sharing) -> DataFram
                 yield pa.record_batch({"joint_id": pa.array([joint] * len(flat), pa.string()),
                                        "i": pa.array(np.arange(len(flat)), pa.int32()), "v": pa.array(flat)})
 
-    rows = rows.select("joint_id", "seq", "x")
-    sums = rows.mapInArrow(moments, "joint_id string, i int, v double").groupBy("joint_id", "i").agg(F.sum("v").alias("v"))
+    sums = rows.select("joint_id", "seq", "x").mapInArrow(moments, "joint_id string, i int, v double").groupBy("joint_id", "i").agg(F.sum("v").alias("v"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
     models = materialise(sums.groupBy("joint_id").agg(ordered.alias("moments")))
 

@@ -14,6 +14,7 @@ from tribospark.operators.quantiles import exact_quantiles
 from tribospark.session import materialise
 
 MAX_SHARED_JOINTS = 64
+MAX_SHARED_BYTES = 256 * 2**20
 EPSILON = 2.220446049250313e-16
 
 
@@ -39,16 +40,20 @@ def scaled_value(name: str) -> Column:
     return F.coalesce((usable(name) - mean) / unit, F.lit(0.0))
 
 
-def standardise(features: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """joint_id, seq, n and the scaled columns as one array ``x``."""
+def standardise(features: DataFrame, columns: list[str], by: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """joint_id, seq, n, the scaled columns as one array ``x``, and the columns in ``carry`` unchanged."""
     by = ["joint_id"] if by is None else by
     stats = materialise(scaling_stats(features, columns, by))
     if by:
         rows = features.join(stats, by)
     else:
-        names = stats.columns
-        rows = features.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", *[F.col(f"_s.{c}").alias(c) for c in names])
-    return rows.select("joint_id", "seq", "n", F.array(*[scaled_value(c) for c in columns]).alias("x"))
+        rows = features.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", *[F.col(f"_s.{c}").alias(c) for c in stats.columns])
+    return rows.select("joint_id", "seq", *(carry or []), "n", F.array(*[scaled_value(c) for c in columns]).alias("x"))
+
+
+def carried(rows: DataFrame) -> list[str]:
+    """Columns of a scaled table that only travel along to the result."""
+    return [c for c in rows.columns if c not in ("joint_id", "seq", "n", "x")]
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -67,22 +72,31 @@ def renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def shareable(models: DataFrame, max_joints: int, max_bytes: int) -> bool:
+    """Whether all models together are small enough to be sent to every task."""
+    if models.limit(max_joints + 1).count() > max_joints:
+        return False
+    size = models.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= max_bytes
+
+
 def with_models(
     rows: DataFrame,
     models: DataFrame,
     run: Callable[[dict, pa.Table], pa.Table],
     schema: str,
     max_shared_joints: int = MAX_SHARED_JOINTS,
+    max_shared_bytes: int = MAX_SHARED_BYTES,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Run ``run(model, rows of that joint)`` on batches of (joint_id, seq, x).
+    """Run ``run(model, rows of that joint)`` on batches of ``rows``.
 
-    ``models`` has one row per joint. Few models are shared with all tasks and the rows stay where
+    ``models`` has one row per joint. Small models are shared with all tasks and the rows stay where
     they are. Beyond that each bounded chunk of a joint is brought together with a copy of its model,
     so no task and no driver holds all models.
     """
-    rows = rows.select("joint_id", "seq", "x")
-    if models.limit(max_shared_joints + 1).count() <= max_shared_joints:
+    columns = rows.columns
+    if shareable(models, max_shared_joints, max_shared_bytes):
         known = {r["joint_id"]: r.asDict(recursive=True) for r in models.collect()}
         shared = rows.sparkSession.sparkContext.broadcast(known)
 
@@ -98,34 +112,36 @@ def with_models(
     placed = rows.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
     copies = renewed(placed.select("joint_id", "chunk").distinct().join(models, "joint_id"))
     return placed.groupBy("joint_id", "chunk").cogroup(copies.groupBy("joint_id", "chunk")).applyInArrow(
-        lambda left, right: run(right.to_pylist()[0], left.select(["joint_id", "seq", "x"])), schema)
+        lambda left, right: run(right.to_pylist()[0], left.select(columns)), schema)
 
 
 def apply_models(rows: DataFrame, models: DataFrame, score: Callable[[dict, np.ndarray], np.ndarray], **sharing) -> DataFrame:
-    """Score every row with its joint's model: joint_id, seq, value."""
+    """Score every row with its joint's model: joint_id, seq, the carried columns and ``value``."""
+    kept = ["joint_id", "seq", *carried(rows)]
+    types = dict(rows.dtypes)
 
     def run(model: dict, table: pa.Table) -> pa.Table:
         value = pa.array(np.asarray(score(model, matrix(table["x"])), dtype=float))
-        return table.select(["joint_id", "seq"]).append_column("value", value)
+        return table.select(kept).append_column("value", value)
 
-    return with_models(rows, models, run, "joint_id string, seq long, value double", **sharing)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["value double"])
+    return with_models(rows.select(*kept, "x"), models, run, schema, **sharing)
 
 
 def label_below(scores: DataFrame, contamination: float, shift: bool) -> DataFrame:
-    """-1 for scores below the contamination quantile of their joint, else 1.
+    """-1 for a ``value`` below the contamination quantile of its joint, else 1.
 
     With ``shift`` the quantile is also subtracted, so that a negative score means anomalous.
     """
     cut = materialise(exact_quantiles(scores, ["joint_id"], "value", [contamination], "_cut"))
     rows = scores.join(cut, "joint_id").withColumn("_at", F.col("_cut")[0])
-    anomaly = F.when(F.col("value") < F.col("_at"), -1).otherwise(1).alias("anomaly")
     value = F.col("value") - F.col("_at") if shift else F.col("value")
-    return rows.select("joint_id", "seq", anomaly, value.alias("anomaly_score"))
+    return rows.withColumns({"anomaly": F.when(F.col("value") < F.col("_at"), -1).otherwise(1), "anomaly_score": value}).drop("value", "_cut", "_at")
 
 
 def label_errors(errors: DataFrame, contamination: float) -> DataFrame:
-    """-1 for errors above the (1 - contamination) quantile of their joint; the score is minus the error."""
+    """-1 for a ``value`` above the (1 - contamination) quantile of its joint; the score is minus the error."""
     cut = materialise(exact_quantiles(errors, ["joint_id"], "value", [1 - contamination], "_cut"))
     rows = errors.join(cut, "joint_id")
-    anomaly = F.when(F.col("value") > F.col("_cut")[0], -1).otherwise(1).alias("anomaly")
-    return rows.select("joint_id", "seq", anomaly, (-F.col("value")).alias("anomaly_score"))
+    anomaly = F.when(F.col("value") > F.col("_cut")[0], -1).otherwise(1)
+    return rows.withColumns({"anomaly": anomaly, "anomaly_score": -F.col("value")}).drop("value", "_cut")

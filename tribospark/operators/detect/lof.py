@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import label_below, matrix, renewed
+from tribospark.operators.detect.common import carried, label_below, matrix, renewed
 from tribospark.operators.ordering import number_rows
 from tribospark.session import materialise
 
@@ -113,5 +113,7 @@ def outlier_factors(rows: DataFrame, k: int = 20, metric: str = "minkowski", blo
 
 
 def local_outlier_factor(rows: DataFrame, params: dict, seed: int = 42) -> DataFrame:
-    scores = outlier_factors(rows, params.get("n_neighbors", 20), params.get("metric", "minkowski"))
-    return label_below(materialise(scores), params.get("contamination", 0.05), shift=False)
+    scores = materialise(outlier_factors(rows, params.get("n_neighbors", 20), params.get("metric", "minkowski")))
+    labels = label_below(scores, params.get("contamination", 0.05), shift=False)
+    extra = carried(rows)
+    return rows.select("joint_id", "seq", *extra).join(labels, ["joint_id", "seq"]) if extra else labels

@@ -75,27 +75,24 @@ def with_contamination(config: ModelConfig | None, contamination: float) -> Mode
     return config
 
 
-def score_anomalies(
+def detect_anomalies(
     features: DataFrame,
     config: ModelConfig | None = None,
     columns: list[str] | None = None,
     exclude: tuple[str, ...] = (),
 ) -> DataFrame:
-    """joint_id, seq, anomaly (1 or -1) and anomaly_score (lower is worse), fitted per joint."""
+    """The feature matrix with ``anomaly`` (1 or -1) and ``anomaly_score`` (lower is worse), fitted per joint.
+
+    The matrix travels through scaling and scoring, so the labels need no join back on row numbers.
+    """
     config = config or default_config()
     problem = check_config(config)
     if problem:
         raise ValueError(problem)
+    features = features.drop("anomaly", "anomaly_score")
     columns = columns or feature_columns(features, exclude)
     if not columns:
         raise ValueError("no numeric feature column to fit a detector on")
-    scaled = materialise(standardise(features, columns))
+    carry = [c for c in features.columns if c not in ("joint_id", "seq")]
+    scaled = materialise(standardise(features, columns, carry=carry))
     return MODELS[config.model_id].run(scaled, config.params, config.seed)
-
-
-def detect_anomalies(features: DataFrame, config: ModelConfig | None = None, columns: list[str] | None = None,
-                     exclude: tuple[str, ...] = ()) -> DataFrame:
-    """The feature matrix with ``anomaly`` and ``anomaly_score`` added."""
-    kept = features.drop("anomaly", "anomaly_score")
-    scores = materialise(score_anomalies(kept, config, columns, exclude))
-    return kept.join(scores, ["joint_id", "seq"])

@@ -48,7 +48,7 @@ def one_class_svm(rows: DataFrame, params: dict, seed: int = 42, steps: int = ST
     kernel, nu, gamma = params.get("kernel", "rbf"), params.get("nu", 0.05), parse_gamma(params.get("gamma", "scale"))
     if kernel not in ("rbf", "linear"):
         raise ValueError(f"unsupported kernel {kernel!r}; use rbf or linear")
-    rows = rows.select("joint_id", "seq", "x")
+    points = rows.select("joint_id", "seq", "x")
 
     def mapped(model, x):
         return feature_map(x, kernel, kernel_width(model, x.shape[1], gamma), seed)
@@ -66,12 +66,12 @@ def one_class_svm(rows: DataFrame, params: dict, seed: int = 42, steps: int = ST
                          "n": pa.array(np.full(len(total), len(phi)), pa.int64())})
 
     def gradient(models):
-        sums = with_models(rows, models, pull, "joint_id string, i int, g double, n long", **sharing)
+        sums = with_models(points, models, pull, "joint_id string, i int, g double, n long", **sharing)
         sums = sums.groupBy("joint_id", "i").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "g"))), lambda s: s["g"])
         return sums.groupBy("joint_id").agg(F.max("n").alias("n"), ordered.alias("g"))
 
-    values = rows.select("joint_id", F.explode("x").alias("v"))
+    values = points.select("joint_id", F.explode("x").alias("v"))
     models = materialise(values.groupBy("joint_id").agg(
         F.var_pop("v").alias("spread"), F.array().cast("array<double>").alias("w"), F.lit(0.0).alias("rho")))
     margins = None
@@ -82,10 +82,11 @@ def one_class_svm(rows: DataFrame, params: dict, seed: int = 42, steps: int = ST
         old = F.when(F.size("w") > 0, F.col("w")).otherwise(F.col("g"))
         w = F.zip_with(old, "g", lambda u, g: (1 - rate) * u + rate * g / share)
         fitted = materialise(moved.select("joint_id", "spread", w.alias("w")))
-        margins = materialise(apply_models(rows, fitted, margin, **sharing))
+        # Only the last pass needs the columns that travel along.
+        margins = materialise(apply_models(rows if step == steps else points, fitted, margin, **sharing))
         # For fixed weights the best offset is the nu-quantile of the margins.
         cut = exact_quantiles(margins, ["joint_id"], "value", [nu], "_cut")
         models = materialise(fitted.join(cut, "joint_id").withColumn("rho", F.col("_cut")[0]).drop("_cut"))
     score = F.col("value") - F.col("rho")
-    return margins.join(models.select("joint_id", "rho"), "joint_id").select(
-        "joint_id", "seq", F.when(score < 0, -1).otherwise(1).alias("anomaly"), score.alias("anomaly_score"))
+    out = margins.join(models.select("joint_id", "rho"), "joint_id")
+    return out.withColumns({"anomaly": F.when(score < 0, -1).otherwise(1), "anomaly_score": score}).drop("value", "rho")

@@ -234,7 +234,6 @@ def roc_auc(steps: DataFrame) -> DataFrame:
 def roc_points(steps: DataFrame, max_points: int = ROC_POINTS, **windowing) -> DataFrame:
     """Corner points of the curve, thinned to ``max_points`` evenly spaced ones if there are more."""
     ends = materialise(steps.agg(F.max("tp").alias("p"), F.max("fp").alias("n")))
-    steps = steps.withColumn("_all", F.lit(0))
     numbered = number_rows(steps, [], ["anomaly_score"], "_i", **windowing)
     last = numbered.agg(F.max("_i")).scalar()
     # A point is on a straight run if the next tie group moves exactly as this one did.

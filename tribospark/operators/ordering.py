@@ -106,6 +106,7 @@ def running_totals(
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Cumulative sums over the whole table by ascending ``order_col`` (unique per row)."""
+    df = materialise(df)
     count = df.count()
     if count <= max_window_rows:
         window = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)

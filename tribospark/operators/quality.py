@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 from tribospark.operators.ordering import MAX_WINDOW_ROWS, number_rows, with_previous
 from tribospark.operators.quantiles import exact_quantiles
 from tribospark.operators.roles import DatasetSchema
+from tribospark.session import materialise
 
 IQR_FACTOR = 3.0
 MIN_OUTLIER_ROWS = 20
@@ -19,10 +20,11 @@ GAP_FACTOR = 3.0
 
 @dataclass(frozen=True)
 class QualityReport:
-    """``summary`` has one row, ``columns`` one row per column of the checked table."""
+    """``summary`` has one row, ``columns`` one row per column and ``joints`` one row per joint."""
 
     summary: DataFrame
     columns: DataFrame
+    joints: DataFrame
 
 
 def epoch_divisor(reference: Column) -> Column:
@@ -87,7 +89,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     stats = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     if exact:
         cells = _cells(df, columns, numeric)
-        counted = cells.groupBy("column", "text", "value").agg(F.count("*").alias("copies"))
+        counted = materialise(cells.groupBy("column", "text", "value").agg(F.count("*").alias("copies")))
         uniques = counted.groupBy("column").agg(F.count("*").alias("unique_count"))
         quartiles = exact_quantiles(counted, ["column"], "value", [0.25, 0.75], "quartiles", weight="copies")
         stats = stats.drop("unique_count", "quartiles").join(uniques, "column", "left").join(quartiles, "column", "left")
@@ -156,6 +158,7 @@ def sampling_summary(steps: DataFrame, by: list[str] | None = None) -> DataFrame
     The deviation stays in the raw time unit while the rate is per second.
     """
     by = by or []
+    steps = materialise(steps)
     medians = exact_quantiles(steps.filter("step is not null"), by, "step", [0.5], "_median")
     firsts = steps.groupBy(*by).agg(
         F.min_by("time", "seq").alias("_first"), F.stddev_samp("step").alias("_std"),
@@ -210,12 +213,12 @@ def validate_dataset(
     sparse = flagged.filter("not fully_null").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("position", "column", "missing_pct"))),
         lambda s: F.concat(s["column"], F.lit(" has "), s["missing_pct"].cast("string"), F.lit("% missing cells"))))
-    names = joint_names(data, schema.joint).agg(F.sort_array(F.collect_list("joint_id")))
+    joints = joint_names(data, schema.joint)
     summary = summary.withColumns({
         "fully_null_columns": nulls.scalar(),
         "_sparse": sparse.scalar(),
-        "joint_names": names.scalar(),
-    }).withColumn("joint_count", F.size("joint_names"))
+        "joint_count": joints.agg(F.count("*")).scalar(),
+    })
     timing = [f.name for f in data.schema.fields if f.name == schema.timestamp
               and isinstance(f.dataType, (NumericType, TimestampType, TimestampNTZType))]
     if timing:
@@ -249,7 +252,7 @@ def validate_dataset(
             text(F.size("fully_null_columns") > 0, F.lit("columns without any value: "), F.array_join("fully_null_columns", ", ")),
         )))
     summary = verdict(summary).drop("_sparse")
-    return QualityReport(summary, columns.drop("total_rows"))
+    return QualityReport(summary, columns.drop("total_rows"), joints)
 
 
 def verdict(summary: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
         else:
             feature = int(rng.choice(wide))
             threshold = float(rng.uniform(low[feature], high[feature]))
+            if threshold >= high[feature]:  # neighbouring doubles: keep both sides non-empty
+                threshold = float(low[feature])
             node = add(feature, threshold)
             below = x[index, feature] <= threshold
             todo += [(index[below], depth + 1, node, "left"), (index[~below], depth + 1, node, "right")]

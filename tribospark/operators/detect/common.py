@@ -24,20 +24,37 @@ def usable(name: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def stacked(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """One (i, v) row per usable value of each column. A wide aggregate over many columns outgrows
+    what the JVM compiles; the stacked form aggregates on the column number instead."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    long = df.select(*keep, F.posexplode(values).alias("i", "v"))
+    return long.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
+
+
 def scaling_stats(features: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Per group: rows, and mean and population deviation of every column, in one aggregate."""
-    return features.groupBy(*by).agg(F.count("*").alias("n"), *[
-        a for c in columns
-        for a in (F.avg(usable(c)).alias(f"{c}__mean"), F.stddev_pop(usable(c)).alias(f"{c}__std"))])
+    """Per group: rows, and arrays with the mean and the scaling unit of every column.
+
+    The unit is the population deviation, or 1 for a constant column (a deviation within the rounding
+    error of the mean counts as constant).
+    """
+    counts = features.groupBy(*by).agg(F.count("*").alias("n"))
+    stats = stacked(features, by, columns).groupBy(*by, "i").agg(
+        F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("*").alias("c"))
+    constant = F.col("s") <= F.col("c") * F.abs(F.col("m")) * EPSILON
+    stats = stats.select(*by, "i", "m", F.when((F.col("s") == 0) | constant, 1.0).otherwise(F.col("s")).alias("u"))
+    maps = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("m", "u")))).alias("_s"))
+    # A column without any usable value has no entry: its rows become zero whatever its mean.
+    at = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    arrays = maps.select(*by, F.transform(at, lambda i: F.col("_s")[i]["m"]).alias("means"), F.transform(at, lambda i: F.col("_s")[i]["u"]).alias("units"))
+    return counts.join(arrays, by, "left") if by else counts.withColumn("_a", arrays.select(F.struct("*")).scalar()).select("n", "_a.*")
 
 
-def scaled_value(name: str) -> Column:
-    """Standard score; a constant column is only centred, and what is missing becomes zero."""
-    mean, std = F.col(f"{name}__mean"), F.col(f"{name}__std")
-    # A deviation below the rounding error of the mean is a constant column.
-    noise = F.col("n") * F.abs(mean) * EPSILON
-    unit = F.when((std == 0) | (std <= noise), 1.0).otherwise(std)
-    return F.coalesce((usable(name) - mean) / unit, F.lit(0.0))
+def scaled_array(columns: list[str]) -> Column:
+    """Standard scores of all columns as one array; what is missing becomes zero."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    centred = F.zip_with(values, "means", lambda v, m: v - m)
+    return F.zip_with(centred, "units", lambda v, u: F.when(F.abs(v) < float("inf"), v / u).otherwise(0.0))
 
 
 def standardise(features: DataFrame, columns: list[str], by: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -47,8 +64,8 @@ def standardise(features: DataFrame, columns: list[str], by: list[str] | None =
     if by:
         rows = features.join(stats, by)
     else:
-        rows = features.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", *[F.col(f"_s.{c}").alias(c) for c in stats.columns])
-    return rows.select("joint_id", "seq", *(carry or []), "n", F.array(*[scaled_value(c) for c in columns]).alias("x"))
+        rows = features.withColumn("_s", stats.select(F.struct("*")).scalar()).select("*", "_s.*")
+    return rows.select("joint_id", "seq", *(carry or []), "n", scaled_array(columns).alias("x"))
 
 
 def carried(rows: DataFrame) -> list[str]:

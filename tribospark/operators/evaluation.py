@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from tribospark.operators.detect.common import matrix, standardise, usable
+from tribospark.operators.detect.common import matrix, stacked, standardise, usable
 from tribospark.operators.detect.registry import MODELS, ModelConfig, check_config, default_config
 from tribospark.operators.ordering import number_rows, running_totals
 from tribospark.operators.quantiles import exact_quantiles
@@ -266,15 +266,13 @@ def correlation_importance(scored: DataFrame, columns: list[str] | None = None,
                            exclude: tuple[str, ...] = ()) -> DataFrame:
     """Features by absolute correlation with the score, all in one aggregate."""
     columns = columns or feature_columns(scored, exclude)
-    score = usable("anomaly_score")
-    parts = []
-    for place, c in enumerate(columns):
-        v = usable(c)
-        both = v.isNotNull() & score.isNotNull()
-        r = F.abs(F.corr(F.when(both, v), F.when(both, score)))
-        defined = (F.count_if(both) >= 10) & r.isNotNull() & ~F.isnan(r)
-        parts.append(F.struct(F.lit(place).alias("place"), F.lit(c).alias("feature"), F.when(defined, r).otherwise(0.0).alias("raw")))
-    return _ranked(scored.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*"), top_n)
+    pairs = stacked(scored.filter(is_finite(F.col("anomaly_score"))), ["anomaly_score"], columns)
+    found = pairs.groupBy("i").agg(F.abs(F.corr("v", "anomaly_score")).alias("r"), F.count("*").alias("c"))
+    defined = (F.col("c") >= 10) & F.col("r").isNotNull() & ~F.isnan("r")
+    names = scored.sparkSession.createDataFrame(list(enumerate(columns)), "place int, feature string")
+    raw = names.join(found, F.col("place") == F.col("i"), "left").select(
+        "place", "feature", F.when(defined, F.col("r")).otherwise(0.0).alias("raw"))
+    return _ranked(raw, top_n)
 
 
 def shuffled(rows: DataFrame, column: int, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 from tribospark.operators.ordering import MAX_WINDOW_ROWS, number_rows, with_previous
 from tribospark.operators.quantiles import exact_quantiles
@@ -42,14 +42,20 @@ def _value(name: str) -> Column:
 
 
 def _cells(df: DataFrame, columns: list[str], numeric: set[str]) -> DataFrame:
-    """Wide to long: one (column, text, value) row per non-missing cell."""
+    """Wide to long: one (column, whole, value, text) row per non-missing cell.
+
+    Integers keep an exact ``whole`` besides ``value``, so that neither needs a text form.
+    """
     structs = []
     for name in columns:
+        kind = df.schema[name].dataType
+        whole = F.col(name).cast("long") if isinstance(kind, IntegralType) else F.lit(None).cast("long")
         value = _value(name) if name in numeric else F.lit(None).cast("double")
-        missing = value.isNull() if name in numeric else F.col(name).isNull()
-        structs.append(F.struct(F.lit(name).alias("column"), F.when(~missing, F.col(name).cast("string")).alias("text"),
-                                value.alias("value")))
-    return df.select(F.explode(F.array(*structs)).alias("c")).select("c.*").filter("text is not null")
+        exact = isinstance(kind, (IntegralType, FractionalType)) and not isinstance(kind, DecimalType)
+        text = F.lit(None).cast("string") if exact else F.col(name).cast("string")
+        structs.append(F.struct(F.lit(name).alias("column"), whole.alias("whole"), value.alias("value"), text.alias("text")))
+    cells = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    return cells.filter(F.col("value").isNotNull() | F.col("text").isNotNull())
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -68,32 +74,31 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     ``exact=False`` replaces distinct counts and quartiles by mergeable sketches, which removes the
     shuffle of cell values.
     """
-    numeric = set(_numeric_columns(df))
-    columns = df.columns
-    types = dict(df.dtypes)
-    rows = []
-    for place, name in enumerate(columns):
-        none = F.lit(None).cast("double")
-        is_number = name in numeric
-        v = _value(name) if is_number else none
-        present = v if is_number else F.col(name)
-        rows.append(F.struct(
-            F.lit(place).alias("position"), F.lit(name).alias("column"), F.lit(types[name]).alias("dtype"),
-            F.count("*").alias("total_rows"), (F.count("*") - F.count(present)).alias("missing_count"),
-            F.min(v).alias("min_val"), F.max(v).alias("max_val"), F.avg(v).alias("mean_val"),
-            F.stddev_samp(v).alias("std_val"),
-            (F.approx_count_distinct(present) if not exact else F.lit(0).cast("long")).alias("unique_count"),
-            (F.percentile_approx(v, [0.25, 0.75]) if not exact and is_number else F.lit(None).cast("array<double>"))
-            .alias("quartiles"),
-        ))
-    stats = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    numeric, columns, types = _numeric_columns(df), df.columns, dict(df.dtypes)
+    frame = df.sparkSession.createDataFrame(
+        [(i, c, types[c]) for i, c in enumerate(columns)], "position int, column string, dtype string")
+    totals = materialise(df.agg(F.count("*").alias("total_rows")))
     if exact:
-        cells = _cells(df, columns, numeric)
-        counted = materialise(cells.groupBy("column", "text", "value").agg(F.count("*").alias("copies")))
-        uniques = counted.groupBy("column").agg(F.count("*").alias("unique_count"))
+        cells = _cells(df, columns, set(numeric))
+        counted = materialise(cells.groupBy("column", "whole", "value", "text").agg(F.count("*").alias("copies")))
+        cells = counted.groupBy("column").agg(F.sum("copies").alias("_present"), F.count("*").alias("unique_count"))
         quartiles = exact_quantiles(counted, ["column"], "value", [0.25, 0.75], "quartiles", weight="copies")
-        stats = stats.drop("unique_count", "quartiles").join(uniques, "column", "left").join(quartiles, "column", "left")
-        stats = stats.fillna(0, ["unique_count"])
+    else:
+        cells = _cells(df, columns, set(numeric)).groupBy("column").agg(
+            F.count("*").alias("_present"), F.approx_count_distinct(F.coalesce(F.col("value").cast("string"), "text")).alias("unique_count"))
+        quartiles = _cells(df, numeric, set(numeric)).groupBy("column").agg(F.percentile_approx("value", [0.25, 0.75]).alias("quartiles"))
+    # One row per value of a numeric column: a wide aggregate over many columns outgrows the JIT compiler.
+    names = F.array(*[F.lit(c) for c in numeric])
+    long = df.select(F.posexplode(F.array(*[_value(c) for c in numeric])).alias("i", "v")) if numeric else None
+    stats = frame.withColumn("total_rows", totals.select("total_rows").scalar()).join(cells, "column", "left").join(quartiles, "column", "left")
+    if numeric:
+        moments = long.groupBy("i").agg(F.min("v").alias("min_val"), F.max("v").alias("max_val"), F.avg("v").alias("mean_val"),
+                                        F.stddev_samp("v").alias("std_val"))
+        stats = stats.join(moments.withColumn("column", names[F.col("i")]).drop("i"), "column", "left")
+    else:
+        stats = stats.withColumns({c: F.lit(None).cast("double") for c in ("min_val", "max_val", "mean_val", "std_val")})
+    stats = stats.fillna(0, ["unique_count", "_present"]).withColumn("missing_count", F.col("total_rows") - F.col("_present"))
+    stats = materialise(stats)
     stats = stats.withColumns({"q1": F.col("quartiles")[0], "q3": F.col("quartiles")[1]}).drop("quartiles")
     fences = {
         r["column"]: (r["q1"] - IQR_FACTOR * (r["q3"] - r["q1"]), r["q3"] + IQR_FACTOR * (r["q3"] - r["q1"]))

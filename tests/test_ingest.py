@@ -82,6 +82,7 @@ def test_report(messy):
     assert not small["is_valid"] and any("ten rows" in w for w in small["warnings"])
     none = quality.validate_dataset(messy.filter("t < 0"), schema, ["t"]).summary.first()
     assert not none["is_valid"] and len(none["warnings"]) == 1
+    assert quality.profile_columns(messy.filter("t < 0")).agg(F.sum("missing_pct")).first()[0] == 0
 
 
 def test_verdict_counts_before_the_short_warning(spark):

@@ -91,8 +91,8 @@ class Trailing:
             f"{name}_mean": mean,
             f"{name}_std": std,
             f"{name}_variance": variance,
-            f"{name}_skewness": F.coalesce(part("md3") / (sigma * sigma * sigma), F.lit(0.0)),
-            f"{name}_kurtosis": F.coalesce(part("md4") / (sigma * sigma * sigma * sigma) - 3.0, F.lit(0.0)),
+            f"{name}_skewness": ratio(part("md3"), sigma * sigma * sigma),
+            f"{name}_kurtosis": F.coalesce(F.try_divide(part("md4"), F.nullif(sigma * sigma * sigma * sigma, F.lit(0.0))) - 3.0, F.lit(0.0)),
             f"{name}_rms": rms,
             f"{name}_peak_to_peak": part("max") - part("min"),
             f"{name}_jerk": F.abs(step),

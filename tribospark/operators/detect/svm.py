@@ -15,7 +15,7 @@ from tribospark.operators.detect.common import apply_models, matrix, with_models
 from tribospark.operators.quantiles import exact_quantiles
 from tribospark.session import materialise
 
-FOURIER_FEATURES = 128
+FOURIER_FEATURES = 256
 STEPS = 8
 
 

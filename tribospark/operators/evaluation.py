@@ -267,7 +267,8 @@ def correlation_importance(scored: DataFrame, columns: list[str] | None = None,
     """Features by absolute correlation with the score, all in one aggregate."""
     columns = columns or feature_columns(scored, exclude)
     pairs = stacked(scored.filter(is_finite(F.col("anomaly_score"))), ["anomaly_score"], columns)
-    found = pairs.groupBy("i").agg(F.abs(F.corr("v", "anomaly_score")).alias("r"), F.count("*").alias("c"))
+    found = pairs.groupBy("i").agg(# ``corr`` itself raises on a constant column under ANSI rules
+        F.abs(F.try_divide(F.covar_pop("v", "anomaly_score"), F.stddev_pop("v") * F.stddev_pop("anomaly_score"))).alias("r"), F.count("*").alias("c"))
     defined = (F.col("c") >= 10) & F.col("r").isNotNull() & ~F.isnan("r")
     names = scored.sparkSession.createDataFrame(list(enumerate(columns)), "place int, feature string")
     raw = names.join(found, F.col("place") == F.col("i"), "left").select(

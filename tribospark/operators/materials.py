@@ -44,7 +44,7 @@ def rank_materials(wear: DataFrame, catalogue: DataFrame) -> DataFrame:
         return F.when(of > 0, value / of).otherwise(default)
 
     m = catalogue.withColumns({"_max": limits, "_w": weights})
-    reduction = F.greatest(F.round((1 - F.col("wear_coefficient") / F.col("_max.coefficient")) * 100, 2), F.lit(0.0))
+    reduction = F.greatest(F.round((1 - share(F.col("wear_coefficient"), F.col("_max.coefficient"), 1.0)) * 100, 2), F.lit(0.0))
     slick = F.when(F.col("_max.friction") > 0, 1 - F.col("friction_coefficient") / F.col("_max.friction")).otherwise(0.0)
     hard = share(F.col("hardness"), F.col("_max.hardness"), 0.0)
     bonus = BONUS * F.col("_w.friction_weight") * slick + BONUS * F.col("_w.hardness_weight") * hard

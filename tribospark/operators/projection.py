@@ -44,7 +44,7 @@ def project_materials(wear: DataFrame, materials: DataFrame, baseline: Column, h
     both = _relative_rate(wear).withColumns({"_baseline": baseline, "_chosen": chosen})
     both = both.withColumn("_m", F.explode("_chosen")).withColumns(
         {"material_name": F.col("_m.material_name"), "_coefficient": F.col("_m.wear_coefficient")})
-    rate = F.col("_share") * F.col("_coefficient") / F.col("_baseline")
+    rate = F.col("_share") * F.coalesce(F.try_divide(F.col("_coefficient"), F.col("_baseline")), F.lit(1.0))
     return _points(both, rate, horizon, step).select("joint_id", "time", "projected_wear", "material_name")
 
 

@@ -114,7 +114,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
         for name in columns
     ]
     outliers = df.agg(F.count("*"), F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    missing_pct = F.round(F.col("missing_count") / F.col("total_rows") * 100, 2)
+    missing_pct = F.round(F.try_divide(F.col("missing_count"), F.col("total_rows")) * 100, 2)
     return stats.join(outliers, "column").select(
         "position", "column", "dtype", "missing_count", F.coalesce(missing_pct, F.lit(0.0)).alias("missing_pct"),
         "unique_count", "min_val", "max_val", "mean_val", "std_val", "q1", "q3", "outlier_count", "total_rows",
@@ -123,7 +123,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def column_warnings(profile: DataFrame, max_missing_pct: float = 50.0) -> DataFrame:
     """Columns that are entirely null, and columns with too many missing cells."""
-    share = F.col("missing_count") / F.col("total_rows") * 100
+    share = F.try_divide(F.col("missing_count"), F.col("total_rows")) * 100
     return profile.filter((F.col("missing_count") == F.col("total_rows")) | (share > max_missing_pct)).select(
         "position", "column", (F.col("missing_count") == F.col("total_rows")).alias("fully_null"), "missing_pct")
 
@@ -212,7 +212,7 @@ def validate_dataset(
     columns = profile_columns(data, exact)
     flagged = column_warnings(columns, max_missing_pct)
     summary = duplicate_rows(data).withColumn("total_columns", F.lit(len(data.columns)))
-    duplicate_pct = F.col("duplicate_rows") / F.col("total_rows") * 100
+    duplicate_pct = F.try_divide(F.col("duplicate_rows"), F.col("total_rows")) * 100
     nulls = flagged.filter("fully_null").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda s: s["column"]))
     sparse = flagged.filter("not fully_null").agg(F.transform(

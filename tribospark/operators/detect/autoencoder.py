@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import apply_models, joint_seed, label_errors, matrix, renewed
+from tribospark.operators.detect.common import apply_models, by_joint, joint_seed, label_errors, matrix, renewed
 from tribospark.operators.ordering import CHUNK_ROWS
 from tribospark.session import materialise
 
@@ -137,9 +137,8 @@ def component_errors(rows: DataFrame, ratio: float = 0.5, **sharing) -> DataFram
 
     def moments(batches):
         for batch in batches:
-            joints = np.asarray(batch.column("joint_id").to_pylist(), dtype=object)
-            for joint in dict.fromkeys(joints):
-                x = matrix(pa.Table.from_batches([batch]).filter(pa.array(joints == joint))["x"])
+            for joint, part in by_joint(batch):
+                x = matrix(part["x"])
                 x = np.column_stack([x, np.ones(len(x))])
                 flat = (x.T @ x).ravel()
                 yield pa.record_batch({"joint_id": pa.array([joint] * len(flat), pa.string()),

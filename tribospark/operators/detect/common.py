@@ -84,6 +84,14 @@ def joint_seed(joint: str, *parts: int) -> np.random.Generator:
     return np.random.default_rng([*parts, *joint.encode()])
 
 
+def by_joint(batch: pa.RecordBatch):
+    """Split a batch into (joint, its rows)."""
+    coded = batch.column("joint_id").dictionary_encode()
+    codes, table = coded.indices.to_numpy(), pa.Table.from_batches([batch])
+    for code, joint in enumerate(coded.dictionary.to_pylist()):
+        yield joint, table if len(coded.dictionary) == 1 else table.filter(pa.array(codes == code))
+
+
 def renewed(df: DataFrame) -> DataFrame:
     """The same columns under new identities, so both sides of a cogroup may share an origin."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -119,9 +127,7 @@ def with_models(
 
         def batchwise(batches):
             for batch in batches:
-                joints = np.asarray(batch.column("joint_id").to_pylist(), dtype=object)
-                for joint in dict.fromkeys(joints):
-                    part = pa.Table.from_batches([batch]).filter(pa.array(joints == joint))
+                for joint, part in by_joint(batch):
                     yield from run(shared.value[joint], part).combine_chunks().to_batches()
 
         return rows.mapInArrow(batchwise, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tribospark.session import materialise
 
-MAX_GROUP_VALUES = 2_000_000
+MAX_GROUP_VALUES = 1_000_000
 BUCKETS = 2_048
 
 

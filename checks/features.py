@@ -157,15 +157,17 @@ PROFILE_SQL = f"WITH {LINES} " + " UNION ALL ".join(
 
 
 def categories(spark, d):
-    """Features the line table would have, by category."""
-    names = features.feature_names(line_series(spark, d))
-    seen = line_series(spark, d).rows.agg(F.count("*").alias("n"))
-    return seen.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name")).groupBy(
-        selection.feature_category(F.col("name")).alias("category")).agg(F.count("*").alias("features"))
+    """Features of every event by category, with the cells each category fills."""
+    out = features.extract_features(event_series(spark, d))
+    names = [c for c in out.columns if c not in selection.META]
+    cells = out.unpivot(["joint_id", "seq"], names, "name", "value").filter(F.col("value").isNotNull())
+    counted = selection.category_counts(cells.select("name").distinct())
+    filled = cells.groupBy(selection.feature_category(F.col("name")).alias("category")).agg(F.count("*").alias("cells"))
+    return counted.join(filled, "category")
 
 
-CATEGORY_SQL = """SELECT category, CAST(4 * n AS BIGINT) AS features FROM (VALUES ('statistical', 11), ('spectral', 4), ('vibration', 4)) AS c(category, n)
-  WHERE EXISTS (SELECT 1 FROM lineitem)"""
+CATEGORY_SQL = """SELECT category, n AS features, n * (SELECT count(*) FROM events) AS cells
+  FROM (VALUES ('statistical', CAST(11 AS BIGINT)), ('spectral', CAST(4 AS BIGINT)), ('vibration', CAST(4 AS BIGINT))) AS c(category, n)"""
 
 
 def scaled(spark, d):

@@ -157,3 +157,9 @@ def _written(spark, df):
     path = tempfile.mkdtemp(prefix="tribospark-test-", dir="/tmp") + "/t"
     df.coalesce(1).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def test_headers_with_dots_keep_their_file_order(spark, tmp_path):
+    spark.range(5).selectExpr("id as `acc.x`", "id as `time`").coalesce(1).write.option("header", True).csv(str(tmp_path / "c"))
+    placed, order = readers.with_file_position(readers.read_sensor_csv(spark, str(tmp_path / "c")))
+    assert placed.columns == ["acc_x", "time", *order] and [r["acc_x"] for r in placed.orderBy(*order).collect()] == [0, 1, 2, 3, 4]

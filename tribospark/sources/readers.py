@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,7 +18,12 @@ MAGNETOMETER_HEADERS = {"name": "joint_id", "time": "timestamp", "magX": "mx", "
 def read_sensor_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Headered CSV. Give a schema for large inputs: inference costs one extra pass over the files."""
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return plain_names((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Dots and backticks in headers become underscores, since column expressions read them as syntax."""
+    return df.withColumnsRenamed({c: re.sub(r"[.`]", "_", c) for c in df.columns if re.search(r"[.`]", c)})
 
 
 def read_sensor_table(spark: SparkSession, path: str) -> DataFrame:

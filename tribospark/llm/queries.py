@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import simhash
-from tribospark.llm.text import table
+from tribospark.llm import embedding_dedup, simhash, toxicity
+from tribospark.llm.text import fold, table
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at cosine 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; every fifth id (by crc32) is held out."""
+    documents, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scored(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_tokens", F.size("passages").alias("n_passages"),
+    )
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +31,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": (op1_embedding_dedup, None),
+    "op2_toxicity": (op2_toxicity, None),
     "op5_simhash": (op5_simhash, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import embedding_dedup, simhash, toxicity
+from tribospark.llm import embedding_dedup, quality, simhash, toxicity
 from tribospark.llm.text import fold, table
 
 
@@ -30,8 +30,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; every third id (by crc32) is held out."""
+    documents, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.scored(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin"
+    )
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_quality": (op6_quality, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import embedding_dedup, quality, simhash, toxicity
+from tribospark.llm import embedding_dedup, mixing, quality, simhash, toxicity
 from tribospark.llm.text import fold, table
 
 
@@ -39,9 +39,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
     "op5_simhash": (op5_simhash, None),
     "op6_quality": (op6_quality, None),
+    "op7_mixing": (op7_mixing, None),
 }

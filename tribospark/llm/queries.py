@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import embedding_dedup, mixing, quality, simhash, toxicity
+from tribospark.llm import bpe, embedding_dedup, mixing, order_minhash, quality, simhash, toxicity
 from tribospark.llm.text import fold, table
 
 
@@ -24,6 +25,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
+    """Ids of every document and their decoding, as digests."""
+    vocabulary = bpe.read_vocabulary(path or public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep_text=False)
+    decoded = bpe.decode(encoded, vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 3-word shingles, 64 bits, linked at 3 differing bits."""
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents")), radius=3)
@@ -45,10 +58,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    made = order_minhash.edited(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.hex_of(F.col("entries")).alias("fingerprint"),
+        order_minhash.hex_of(F.col("edited_entries")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        order_minhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_bpe": (op3_bpe, None),
     "op5_simhash": (op5_simhash, None),
     "op6_quality": (op6_quality, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_order_minhash": (op8_order_minhash, None),
 }

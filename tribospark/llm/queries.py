@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import bpe, embedding_dedup, mixing, order_minhash, quality, simhash, toxicity
+from tribospark.llm import backoff_lm, bpe, embedding_dedup, license_align, mixing, order_minhash, quality, simhash, tool_calls, toxicity
 from tribospark.llm.text import fold, table
 
 
@@ -37,6 +37,36 @@ def op3_bpe(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
     )
 
 
+#: What the calls that op4 derives from conversations may hold.
+CALL_SCHEMAS = {
+    name: {
+        "type": "object", "required": ["text", "turn"], "additionalProperties": False,
+        "properties": {"text": {"type": "string", "minLength": 1, "maxLength": longest}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "maximum": 60}},
+    }
+    for name, longest in (("reply", 300), ("configure", 200))
+}
+
+
+def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of chats without tool messages: a user or system turn calls for the assistant's next turn,
+    and a call needs the one two turns before it."""
+    turns = conversations.select("conv_id", "turn", "role", "text")
+    call = lambda shift: F.concat(F.lit("c"), (F.col("turn") - shift).cast("string"))
+    words = F.size(F.split("text", " ")).alias("words")
+    calls = turns.where("role <> 'assistant'").select(
+        "conv_id", call(0).alias("call_id"), "turn", F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
+        F.to_json(F.struct("turn", "text", words)).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(call(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", call(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, linked, ordered, validated and written as canonical JSON."""
+    return tool_calls.link(*conversation_calls(table(spark, sf_dir, "conversations")), CALL_SCHEMAS)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 3-word shingles, 64 bits, linked at 3 differing bits."""
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents")), radius=3)
@@ -70,12 +100,27 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements in every document; the one of the best coverage, then the longest, then the first."""
+    found = license_align.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("licenses", lambda x: F.struct(x["coverage"], (x["last"] - x["first"]).alias("span"), (-x["first"]).alias("at"), x["name"])))
+    return found.select("doc_id", "n_words", F.size("licenses").alias("n_found"), best["name"].alias("license"), best["coverage"].alias("coverage"), "licenses")
+
+
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram score of every document under the counts of all others."""
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_bpe": (op3_bpe, None),
+    "op4_tool_calls": (op4_tool_calls, None),
     "op5_simhash": (op5_simhash, None),
     "op6_quality": (op6_quality, None),
     "op7_mixing": (op7_mixing, None),
     "op8_order_minhash": (op8_order_minhash, None),
+    "op9_license_align": (op9_license_align, None),
+    "op10_backoff_lm": (op10_backoff_lm, None),
 }

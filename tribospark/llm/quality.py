@@ -201,3 +201,14 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     logit = F.col("margin") * model.slope + model.intercept
     found = documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, margin double")
     return found.withColumn("score", 1 / (1 + F.exp(-logit)))
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text column, for filters that keep all other columns where they are."""
+
+    def margins(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([margin_of(indicators(value), model) for value in byte_values(batch)], pa.float64())
+
+    logit = F.arrow_udf(margins, "double")(text) * model.slope + model.intercept
+    return 1 / (1 + F.exp(-logit))

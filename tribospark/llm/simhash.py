@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribospark.llm.bitslice import close_pairs, forest
@@ -62,16 +62,20 @@ def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band: a hash of ``rows`` independent minima over the shingles."""
+    """One key for each band: a hash of ``rows`` minima over the shingles, each under another odd factor."""
+    factors = mixed(np.arange(bands * rows, dtype=np.uint64), 5) | np.uint64(1)
+    least = np.zeros(bands * rows, np.uint64)
+    if len(hashes):
+        turned = np.empty_like(hashes)
+        for k, factor in enumerate(factors):
+            least[k] = np.multiply(hashes, factor, out=turned).min()
     keys = np.zeros(bands, np.uint64)
-    for band in range(bands if len(hashes) else 0):
-        for row in range(rows):
-            least = mixed(hashes, band * rows + row).min()
-            keys[band] = mixed(keys[band : band + 1] ^ least, row)[0]
+    for row in range(rows):
+        keys = mixed(keys ^ least[row::rows], row)
     return keys
 
 
-def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1, bands: int = 0, rows: int = 4) -> DataFrame:
+def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1, bands: int = 0, rows: int = 5) -> DataFrame:
     """(doc_id, fp array<long>, keys array<long>): one row for each document.
 
     A null text counts as empty; a text without words has the fingerprint zero. Other columns are
@@ -199,12 +203,8 @@ def groups(prints: DataFrame, radius: int, minwise: bool = False) -> DataFrame:
     links reach, null only if all ids reached are null. Equal fingerprints are compared once.
     """
     prints = materialise(prints)
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *([F.first("keys").alias("keys")] if minwise else []))
-    if minwise:
-        cells = minwise_cells(prints.select("fp", "keys"))
-    else:
-        distinct = materialise(distinct)
-        cells = pigeonhole_cells(distinct, radius, distinct.count())
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    cells = minwise_cells(prints) if minwise else pigeonhole_cells(distinct, radius, distinct.count())
     links = components(linked(cells, radius))
     named = (
         distinct.select("fp", "least")
@@ -222,6 +222,24 @@ def hex_print(fp) -> F.Column:
 
 
 def radius_of(similarity: float, lanes: int) -> int:
-    """Most differing bits, of ``lanes`` words, expected of two shingle sets with this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(lanes * 64 * acos(cosine) / pi)
+    """Differing bits, of ``lanes`` words, below which 5 in 6 pairs of shingle sets of this Jaccard similarity lie."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    bits = lanes * 64
+    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bands: int = 20) -> DataFrame:
+    """The documents without near-copies: of each group the one with the smallest doc_id, all columns as they were.
+
+    Documents are near if their fingerprints of ``lanes`` words are as near as this Jaccard similarity of
+    ``words``-word shingles makes likely. Rows of one doc_id are one document: the smallest text stays. Rows without a
+    doc_id stay.
+    """
+    found = materialise(groups(fingerprints(documents, words, lanes, bands), radius_of(similarity, lanes), minwise=True))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    stay = documents.join(gone, "doc_id", "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay.select(*documents.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    stay = stay.withColumn("__first", first).where("doc_id is null or __first = 1")
+    return stay.select(*documents.columns)

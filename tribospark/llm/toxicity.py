@@ -213,3 +213,14 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     logit = F.log1p("evidence") * model.slope + model.intercept
     found = evidence(documents.select("doc_id", "text"), model, "doc_id")
     return found.select("doc_id", "n_tokens", "passages", (1 / (1 + F.exp(-logit))).alias("score"))
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text column, for filters that keep all other columns where they are."""
+
+    def totals(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([sum(e for *_, e in passages(value, model)[1]) for value in text_values(batch)], pa.float64())
+
+    logit = F.log1p(F.arrow_udf(totals, "double")(text)) * model.slope + model.intercept
+    return 1 / (1 + F.exp(-logit))

@@ -2,7 +2,7 @@
 
 Each token has a score: the log-odds of its use in toxic against other documents, under an
 informative Dirichlet prior (Monroe et al., 2008), if that differs from zero significantly, less a
-drift. All maximal scoring segments of a text are found in linear time (Ruzzo and Tompa, 1999). A
+drift. A word without a score of its own has that of its stem, its first letters, so that inflected forms count. All maximal scoring segments of a text are found in linear time (Ruzzo and Tompa, 1999). A
 segment's significance follows Karlin and Altschul (1990): K n exp(-lambda S) segments as good are expected by chance
 in n clean tokens. The evidence of a document is the sum over its significant segments.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,15 @@ from tribospark.llm.text import labelled_sample, text_values
 from tribospark.session import materialise
 
 TOKEN = re.compile(r"\w+")
+#: Letters of a stem. Shorter words are their own stems.
+STEM = 5
 #: Labelled documents to learn from, at most about.
 TRAIN_ROWS = 20_000
 #: Total mass of the prior as a share of all counts, dealt by each token's frequency in all training documents.
 PRIOR_SHARE = 0.1
-#: A token has a score of its own from this many standard errors.
-SIGNIFICANT = 3.0
+#: A token has a score of its own from this many standard errors, and from these log-odds (twelve times as
+#: frequent): copies of one document make weaker differences look significant.
+SIGNIFICANT, STRONG = 3.0, 2.5
 #: What every token loses, so that chance segments end.
 DRIFT = 0.05
 #: The constant of the chance law where clean texts don't tell it.
@@ -40,6 +43,7 @@ class Model:
     """What scoring needs: a lexicon, the law of chance segments, and the logistic calibration."""
 
     lexicon: dict[str, float]
+    stems: dict[str, float]
     decay: float
     intercept: float = 0.0
     slope: float = 0.0
@@ -103,8 +107,8 @@ def passages(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]
     expected by chance in a clean text of this length.
     """
     words = tokens(text)
-    get = model.lexicon.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+    word, stem = model.lexicon.get, model.stems.get
+    hits = [(i, s) for i, w in enumerate(words) if (s := word(w)) is not None or (s := stem(w[:STEM])) is not None]
     if not hits:
         return len(words), []
     chance = np.log(max(KARLIN_K * len(words), 1.0))
@@ -113,49 +117,51 @@ def passages(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): documents of each class that hold the token; pre-aggregated per batch."""
+    """(token, stem, toxic, clean): documents of each class that hold the token, or a word of the stem; pre-aggregated per batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by = (Counter(), Counter())
+            by = {(stem, label): Counter() for stem in (False, True) for label in (0, 1)}
             for text, label in zip(text_values(batch.column("text")), batch.column("label").to_pylist()):
-                by[label].update(set(tokens(text)))
-            for label, counts in enumerate(by):
+                words = set(tokens(text))
+                by[False, label].update(words)
+                by[True, label].update({w[:STEM] for w in words})
+            for (stem, label), counts in by.items():
                 n = list(counts.values())
                 zero = [0] * len(n)
-                columns = [list(counts), n if label else zero, zero if label else n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
-                    names=["token", "toxic", "clean"],
-                )
+                columns = [list(counts), [stem] * len(n), n if label else zero, zero if label else n]
+                kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["token", "stem", "toxic", "clean"])
 
     pairs = sample.where(F.col("label").isin(0, 1)).select("text", "label")
-    counted = pairs.mapInArrow(count, "token string, toxic bigint, clean bigint")
-    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = pairs.mapInArrow(count, "token string, stem boolean, toxic bigint, clean bigint")
+    return counted.groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: DataFrame) -> tuple[dict[str, float], float]:
-    """Significant tokens with their log-odds, and the decay of chance segments in clean texts.
+def lexicon(counts: DataFrame) -> Model:
+    """Significant tokens and stems with their log-odds, and the decay of chance segments in clean texts.
 
     Only significant tokens come to the driver: they are a part of the sample's vocabulary, which
     TRAIN_ROWS bounds.
     """
-    sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    sums = counts.where("not stem").agg(F.sum("toxic"), F.sum("clean")).first()
     n_toxic, n_clean = float(sums[0] or 0), float(sums[1] or 0)
     if not n_toxic or not n_clean:
-        return {}, 1.0
+        return Model({}, {}, 1.0)
     mass = PRIOR_SHARE * (n_toxic + n_clean)
     prior = PRIOR_SHARE * (F.col("toxic") + F.col("clean"))
     one, other = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(one / (n_toxic + mass - one)) - F.log(other / (n_clean + mass - other))
     error = F.sqrt(1 / one + 1 / other)
-    kept = counts.select("token", "clean", odds.alias("odds"), error.alias("error"))
-    kept = kept.where(F.abs("odds") >= SIGNIFICANT * F.col("error")).toPandas()
+    kept = counts.select("token", "stem", "clean", odds.alias("odds"), error.alias("error"))
+    kept = kept.where(F.abs("odds") >= F.greatest(SIGNIFICANT * F.col("error"), F.lit(STRONG))).toPandas()
     kept = kept.sort_values("token")
-    scores = np.append(kept["odds"].to_numpy() - DRIFT, -DRIFT)
-    seen = kept["clean"].to_numpy() + 0.5
+    words, stems = kept[~kept["stem"]], kept[kept["stem"]]
+    scores = np.append(words["odds"].to_numpy() - DRIFT, -DRIFT)
+    seen = words["clean"].to_numpy() + 0.5
     weights = np.append(seen, max(n_clean - seen.sum(), 1.0))
-    return dict(zip(kept["token"], kept["odds"].astype(float))), chance_decay(scores, weights / weights.sum())
+    scored_words, scored_stems = (dict(zip(k["token"], k["odds"].astype(float))) for k in (words, stems))
+    return Model(scored_words, scored_stems, chance_decay(scores, weights / weights.sum()))
 
 
 def evidence(texts: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -200,12 +206,12 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
     Without labels of both classes the model scores every document 0.5 or by the known class only.
     """
     sample = materialise(labelled_sample(documents, labels, "toxic", train, max_rows))
-    words, decay = lexicon(materialise(token_counts(sample)))
-    model = Model(words, decay)
+    model = lexicon(materialise(token_counts(sample)))
     known = evidence(sample, model, "label").select("label", "evidence").toPandas()  # max_rows at most, about
     known = known.sort_values(["evidence", "label"])
     x = np.log1p(known["evidence"].to_numpy(float))
-    return Model(words, decay, *logistic(x, known["label"].to_numpy(float)))
+    intercept, slope = logistic(x, known["label"].to_numpy(float))
+    return replace(model, intercept=intercept, slope=slope)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -54,7 +54,7 @@ def _score_sql():
           count(DISTINCT u) AS uniq, avg(CASE WHEN st >= 0 THEN 1.0::DOUBLE WHEN st < 0 THEN 0 END) AS rising, avg(st) AS sm, stddev_samp(st) AS ss,
           stddev_samp(v) AS sd, min_by(v, event_id) AS f FROM (SELECT event_id, {v} AS v, CAST({name} AS VARCHAR) AS u,
           {v} - lag({v}) OVER (ORDER BY event_id) AS st FROM h)""")
-    return f"""h AS (SELECT * FROM events ORDER BY event_id LIMIT 2000), st AS ({' UNION ALL '.join(parts)}),
+    return f"""h AS (SELECT * FROM events), st AS ({' UNION ALL '.join(parts)}),
     scores AS (SELECT place, "column",
       round(CASE WHEN num THEN (CASE WHEN rising > 0.98 THEN 0.5 ELSE 0 END + CASE WHEN ss / (sm + 1e-12) < 0.1 THEN 0.3 ELSE 0 END
         + CASE WHEN f >= 0 THEN 0.1 ELSE 0 END)::DOUBLE ELSE 0 END, 6) AS time_score,

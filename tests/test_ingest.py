@@ -17,12 +17,19 @@ def test_sensor_names(name, want):
     assert roles.sensor_by_name(name) == want
 
 
-def test_time_joint_and_excluded_names():
-    yes_time = ["Timestamp", "time", "time_ms", "timestamp", "t", "ts", "epoch_s", "date", "sample_idx", "samplenumber"]
-    assert all(roles._named(c, roles.TIME_NAMES) for c in yes_time) and not roles._named("timer", roles.TIME_NAMES)
-    yes_joint = ["joint", "joint_id", "name", "sensor_name", "link_id", "axis_id", "id", "component", "segment", "robot_part"]
-    assert all(roles._named(c, roles.JOINT_NAMES) for c in yes_joint) and not roles._named("joint_angle", roles.JOINT_NAMES)
-    assert all(roles._named(c, roles.EXCLUDED_NAMES) for c in ["img_feat_1", "embedding_3", "feat7", "pca-1", "dim2", "label", "image_id", "file_path", "Unnamed: 0"])
+NAMES = {
+    "time": "Timestamp time time_ms time_s Time-Sec timestamp t ts TS epoch_s epoch date date_utc sample_idx samplenumber sample_time sample_index",
+    "joint": "joint joint_id Joint-ID name sensor sensor_id sensor_name link link_id link_name axis_id id component segment robot_part robot_joint robotLink",
+    "ignored": "img_feat_1 img-feat-22 embedding_3 embed7 feat7 feature_12 pca-1 dim2 label target class category image_id file_path file_name index Unnamed: 0",
+    "none": "timer joint_angle bogus acc mag m f q sampler naming identity classy embedding feature labels",
+}
+
+
+@pytest.mark.parametrize("role", NAMES)
+def test_time_joint_and_ignored_names(role):
+    tests = {"time": roles.is_time, "joint": roles.is_joint, "ignored": roles.is_ignored}
+    for column in (["Unnamed: 0"] if role == "ignored" else []) + [c for c in NAMES[role].split() if c not in ("Unnamed:", "0")]:
+        assert {r for r, test in tests.items() if test(column)} == ({role} - {"none"}), column
 
 
 def test_roles_and_overrides(spark):
@@ -37,10 +44,18 @@ def test_roles_and_overrides(spark):
     assert ("wobble", "vibration_wobble", "vibration") in changed.channels()
 
 
-def test_unknown_signals_are_limited(spark):
+def test_every_unknown_signal_is_mapped(spark):
     df = spark.range(100).select("id", *[(F.hash("id", F.lit(i)) % 100).cast("double").alias(f"w{i}") for i in range(30)])
     schema = roles.infer_schema(df, ["id"])
-    assert len(schema.groups[roles.UNKNOWN].columns) == 20 and schema.joint == "id"
+    assert len(schema.groups[roles.UNKNOWN].columns) == 30 and schema.joint == "id"
+
+
+def test_scores_use_all_rows_and_steps_over_partitions(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 2.0).alias("up"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("holes"),
+                                  F.when(F.col("id") < 4000, 1.0).otherwise(F.hash("id").cast("double")).alias("late")).repartition(7)
+    got = {r["column"]: r for r in roles.column_scores(df, ["id"], ["up", "holes", "late"]).collect()}
+    assert got["up"]["time_score"] == pytest.approx(0.9) and got["holes"]["time_score"] == pytest.approx(0.9)
+    assert got["late"]["sensor_score"] == pytest.approx(0.5)
 
 
 def test_key_clash_last_column_wins(spark):

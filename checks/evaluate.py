@@ -10,7 +10,6 @@ from tribospark.operators.detect.registry import ModelConfig
 from tribospark.operators.features import extract_features
 from tribospark.plans import analysis
 from tribospark.session import materialise
-from tribospark.sources.samples import fixed_size_sample
 
 
 def labelled(spark, d):
@@ -33,12 +32,8 @@ def clusters(spark, d):
                     F.col("embedding").cast("array<double>").alias("x"))
 
 
-def sampled(spark, d):
-    return fixed_size_sample(clusters(spark, d), evaluation.SILHOUETTE_ROWS, ["joint_id", "seq"])
-
-
 CLUSTERS = """cl AS (SELECT vec_id, CASE WHEN label >= 8 THEN -1 ELSE 1 END AS anomaly, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
-SILHOUETTE_SQL = f"""WITH {CLUSTERS}, dd AS (SELECT a.vec_id, a.anomaly, b.anomaly AS other, sum(list_distance(a.x, b.x)) AS sd, count(*) AS n FROM cl a, cl b GROUP BY ALL),
+SILHOUETTE_SQL = f"""WITH {CLUSTERS}, dd AS (SELECT a.vec_id, a.anomaly, b.anomaly AS other, sum(list_distance(a.x, b.x) ** 2) AS sd, count(*) AS n FROM cl a, cl b GROUP BY ALL),
   ab AS (SELECT vec_id, sum(CASE WHEN anomaly = other THEN sd / (n - 1) END) AS a, sum(CASE WHEN anomaly <> other THEN sd / n END) AS b FROM dd GROUP BY vec_id)
   SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette_score FROM ab"""
 CH_SQL = f"""WITH {CLUSTERS}, ce AS (SELECT anomaly, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM cl), gm AS (SELECT i, avg(v) AS g FROM ce GROUP BY i),
@@ -102,12 +97,7 @@ CM_SQL = f"""WITH {TRUTH}, ug AS (SELECT * FROM tr UNION ALL SELECT 'all_joints'
     round((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, tn + fp AS support_normal, tp + fn AS support_anomaly FROM p"""
 
 
-def coarse(spark, d):
-    """Scores to one digit, so that the curve has few corners; the detail is in roc_auc."""
-    return by_flag(spark, d).withColumn("anomaly_score", F.round("anomaly_score", 1))
-
-
-ROC = f"""{TRUTH}, g AS (SELECT round(anomaly_score, 1) AS s, sum(truth) AS p, sum(1 - truth) AS n FROM tr GROUP BY ALL),
+ROC = f"""{TRUTH}, g AS (SELECT anomaly_score AS s, sum(truth) AS p, sum(1 - truth) AS n FROM tr GROUP BY ALL),
   cu AS (SELECT s, sum(p) OVER o AS tp, sum(n) OVER o AS fp, lead(p) OVER o AS p2, lead(n) OVER o AS n2, p, n, row_number() OVER o AS i, count(*) OVER () AS k FROM g WINDOW o AS (ORDER BY s)),
   pt AS (SELECT -s AS th, tp, fp FROM cu WHERE i = 1 OR i = k OR p2 <> p OR n2 <> n UNION ALL SELECT 'inf'::DOUBLE, 0, 0)"""
 ROC_SQL = f"""WITH {ROC} SELECT row_number() OVER (ORDER BY th DESC) - 1 AS point, round(fp / (SELECT sum(1 - truth) FROM tr), 4) AS fpr, round(tp / (SELECT sum(truth) FROM tr), 4) AS tpr,
@@ -117,11 +107,11 @@ AUC_SQL = f"""WITH {TRUTH}, g AS (SELECT anomaly_score AS s, sum(truth) AS p, su
 
 
 def thinned_curve(spark, d):
-    points = evaluation.roc_points(materialise(evaluation.roc_steps(by_flag(spark, d))))
-    return points.agg(F.count("*").alias("points"), F.max("fpr").alias("fpr"), F.max("tpr").alias("tpr"))
+    return evaluation.thinned_points(evaluation.roc_points(materialise(evaluation.roc_steps(by_flag(spark, d)))))
 
 
-THIN_SQL = f"""WITH {ROC.replace('round(anomaly_score, 1)', 'anomaly_score')} SELECT least(count(*), 200) AS points, 1.0::DOUBLE AS fpr, 1.0::DOUBLE AS tpr FROM pt"""
+THIN_SQL = ROC_SQL.replace("SELECT row_number() OVER (ORDER BY th DESC) - 1 AS point", "SELECT * FROM (SELECT row_number() OVER (ORDER BY th DESC) - 1 AS point") + """)
+  WHERE (SELECT count(*) FROM pt) <= 200 OR point IN (SELECT k * ((SELECT count(*) FROM pt) - 1) // 199 FROM range(200) t(k))"""
 
 
 def importance(spark, d):
@@ -156,7 +146,7 @@ REPORT_SQL = f"""WITH {TRUTH}, j AS (SELECT count(DISTINCT joint_id) AS j FROM s
   cu AS (SELECT *, lead(p) OVER o AS p2, lead(n) OVER o AS n2, row_number() OVER o AS i, count(*) OVER () AS k FROM g WINDOW o AS (ORDER BY s))
   SELECT 'histograms' AS part, 30 * (j + 1) AS "rows" FROM j UNION ALL SELECT 'distributions', j + 1 FROM j UNION ALL SELECT 'confusion', j + 1 FROM j
   UNION ALL SELECT 'thresholds', 50 FROM j UNION ALL SELECT 'importance', 6 FROM j
-  UNION ALL SELECT 'roc', least(200, 1 + count(*) FILTER (i = 1 OR i = k OR p2 <> p OR n2 <> n)) FROM cu"""
+  UNION ALL SELECT 'roc', 1 + count(*) FILTER (i = 1 OR i = k OR p2 <> p OR n2 <> n) FROM cu"""
 
 
 def comparison(spark, d):
@@ -196,8 +186,8 @@ THINNED_SQL = f"""WITH {SCORED}, tl AS (SELECT seq, round(x, 4) AS magnitude, an
 QUERIES = {
     "evaluate_totals": (lambda s, d: rounded(evaluation.anomaly_totals(line_scored(s, d)), ["global_anomaly_rate"]),
                         f"WITH {SCORED} SELECT count(*) AS n_total, count(*) FILTER (anomaly = -1) AS n_anomalies, {R('count(*) FILTER (anomaly = -1) / count(*)')} AS global_anomaly_rate FROM sc"),
-    "evaluate_silhouette": (lambda s, d: evaluation.silhouette(sampled(s, d)), SILHOUETTE_SQL),
-    "evaluate_calinski_harabasz": (lambda s, d: evaluation.calinski_harabasz(sampled(s, d)), CH_SQL),
+    "evaluate_silhouette": (lambda s, d: evaluation.silhouette(clusters(s, d)), SILHOUETTE_SQL),
+    "evaluate_calinski_harabasz": (lambda s, d: evaluation.calinski_harabasz(clusters(s, d)), CH_SQL),
     "evaluate_score_distribution": (distribution, DIST_SQL),
     "evaluate_score_histogram": (histogram, HIST_SQL),
     "evaluate_threshold_sweep": (sweep, _sweep_sql(">")),
@@ -207,7 +197,7 @@ QUERIES = {
     "evaluate_truth_column": (truth_found, "SELECT count(DISTINCT l_linestatus) AS classes, 'fault' AS label_column FROM lineitem"),
     "evaluate_truth_values": (truth_values, TRUTH_SQL),
     "evaluate_confusion": (lambda s, d: evaluation.confusion(by_flag(s, d)), CM_SQL),
-    "evaluate_roc_points": (lambda s, d: evaluation.roc_points(materialise(evaluation.roc_steps(coarse(s, d)))), ROC_SQL),
+    "evaluate_roc_points": (lambda s, d: evaluation.roc_points(materialise(evaluation.roc_steps(by_flag(s, d)))), ROC_SQL),
     "evaluate_roc_thinned": (thinned_curve, THIN_SQL),
     "evaluate_roc_auc": (lambda s, d: evaluation.roc_auc(materialise(evaluation.roc_steps(by_flag(s, d)))), AUC_SQL),
     "evaluate_correlation_importance": (importance, IMPORTANCE_SQL),

@@ -19,7 +19,7 @@ def scored(spark):
 
 
 def test_cluster_scores(spark, scored):
-    sample = evaluation.cluster_sample(scored, ["f", "g"])
+    sample = evaluation.cluster_points(scored, ["f", "g"])
     pdf = scored.toPandas()
     x, y = pdf[["f", "g"]].to_numpy(), pdf.anomaly.to_numpy()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -28,15 +28,22 @@ def test_cluster_scores(spark, scored):
         own = y == y[i]
         a, b = d[i][own].sum() / (own.sum() - 1), d[i][~own].mean()
         s.append((b - a) / max(a, b))
-    assert evaluation.silhouette(sample).first()[0] == round(float(np.mean(s)), 4)
+    assert evaluation.euclidean_silhouette(sample).first()[0] == round(float(np.mean(s)), 4)
+    s = []
+    for i in range(len(x)):
+        own = y == y[i]
+        a, b = (d[i][own] ** 2).sum() / (own.sum() - 1), (d[i][~own] ** 2).mean()
+        s.append((b - a) / max(a, b))
+    assert evaluation.silhouette(sample).first()[0] == pytest.approx(float(np.mean(s)), abs=1e-4)
+    with pytest.raises(ValueError):
+        evaluation.euclidean_silhouette(sample, max_rows=100)
     groups = [x[y == v] for v in (-1, 1)]
     between = sum(len(g) * ((g.mean(0) - x.mean(0)) ** 2).sum() for g in groups)
     within = sum(((g - g.mean(0)) ** 2).sum() for g in groups)
     assert abs(evaluation.calinski_harabasz(sample).first()[0] - between * (len(x) - 2) / within) < 1e-3
     same = scored.withColumn("anomaly", F.lit(1))
-    assert evaluation.silhouette(evaluation.cluster_sample(same, ["f"])).first()[0] is None
-    assert evaluation.calinski_harabasz(evaluation.cluster_sample(same, ["f"])).first()[0] is None
-    assert evaluation.cluster_sample(scored, ["f"], rows=100).count() == 100
+    assert evaluation.silhouette(evaluation.cluster_points(same, ["f"])).first()[0] is None
+    assert evaluation.calinski_harabasz(evaluation.cluster_points(same, ["f"])).first()[0] is None
 
 
 def test_distribution_and_histogram(scored):
@@ -100,8 +107,8 @@ def test_roc(scored):
         assert evaluation.roc_auc(steps).first()[0] == round(auc, 4)
         points = evaluation.roc_points(steps, **windowing).orderBy("point").collect()
         assert (points[0]["fpr"], points[0]["tpr"], points[0]["threshold"]) == (0, 0, float("inf")) and (points[-1]["fpr"], points[-1]["tpr"]) == (1, 1)
-        assert len(points) <= 200 and all(a["tpr"] <= b["tpr"] and a["fpr"] <= b["fpr"] for a, b in zip(points, points[1:]))
-        few = evaluation.roc_points(steps, 10, **windowing).orderBy("point").collect()
+        assert all(a["tpr"] <= b["tpr"] and a["fpr"] <= b["fpr"] for a, b in zip(points, points[1:]))
+        few = evaluation.thinned_points(evaluation.roc_points(steps, **windowing), 10).orderBy("point").collect()
         assert len(few) == 10 and few[0]["point"] == 0 and few[-1]["tpr"] == 1
     one = evaluation.roc_steps(labelled.withColumn("truth", F.lit(0)))
     assert evaluation.roc_auc(one).first()[0] is None

@@ -161,7 +161,7 @@ def test_samples(spark):
     a = samples.cap_rows(df, ["id"], 700)
     assert a.count() == 700 and a.select("id").collect() == samples.cap_rows(df, ["id"], 700).select("id").collect()
     assert [r["id"] for r in a.collect()] == sorted(r["id"] for r in a.collect())
-    assert samples.cap_rows(df, ["id"], 5).count() == 500 and samples.fixed_size_sample(df, 9999, ["id"]).count() == 3000
+    assert samples.cap_rows(df, ["id"], 5).count() == 5 and samples.fixed_size_sample(df, 9999, ["id"]).count() == 3000
     placed, order = readers.with_file_position(_written(spark, df))
     assert [r["id"] for r in samples.head_rows(placed, order, 5).collect()] == [0, 1, 2, 3, 4]
 
@@ -178,3 +178,11 @@ def test_headers_with_dots_keep_their_file_order(spark, tmp_path):
     spark.range(5).selectExpr("id as `acc.x`", "id as `time`").coalesce(1).write.option("header", True).csv(str(tmp_path / "c"))
     placed, order = readers.with_file_position(readers.read_sensor_csv(spark, str(tmp_path / "c")))
     assert placed.columns == ["acc_x", "time", *order] and [r["acc_x"] for r in placed.orderBy(*order).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_time_facts_of_a_null_joint(spark):
+    df = spark.createDataFrame([(float(i), None if i % 2 else "a", i) for i in range(40)], "t double, joint string, n int")
+    got = {r["joint"]: r["sampling_rate_hz"] for r in quality.sampling_summary(quality.time_steps(df, "t", ["n"], ["joint"]), ["joint"]).collect()}
+    assert got == {None: 0.5, "a": 0.5}
+    far = {r["joint"]: r["sampling_rate_hz"] for r in quality.sampling_summary(quality.time_steps(df, "t", ["n"], ["joint"], max_window_rows=1), ["joint"]).collect()}
+    assert far == got

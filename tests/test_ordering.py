@@ -21,6 +21,13 @@ def test_range_numbering_equals_window(skewed):
     assert plain.exceptAll(ranged.select(plain.columns)).isEmpty() and ranged.count() == 6000
 
 
+def test_range_numbering_keeps_null_groups(spark):
+    rows = spark.createDataFrame([(None if i % 2 else "a", i % 4, i) for i in range(200)], "g string, t int, tie int")
+    plain = number_rows(rows, ["g"], ["t", "tie"])
+    ranged = number_rows(rows, ["g"], ["t", "tie"], max_window_rows=1, range_rows=30)
+    assert ranged.count() == 200 and plain.exceptAll(ranged.select(plain.columns)).isEmpty()
+
+
 def test_range_numbering_without_group_and_with_null_times(spark):
     rows = spark.createDataFrame([(None if i % 10 == 0 else float(i % 13), i) for i in range(500)], "t double, tie long")
     plain = number_rows(rows, [], ["t", "tie"])
@@ -69,3 +76,24 @@ def test_weighted_and_ungrouped_quantiles(spark):
     for limit in (100, 1):
         got = exact_quantiles(rows, [], "v", [0.5, 0.6], weight="w", max_group_values=limit).first()[0]
         assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("kind", ["infinities", "decades", "one infinity"])
+def test_narrowing_ends_in_six_passes(spark, kind, monkeypatch):
+    from tribospark.operators import quantiles
+
+    passes = []
+    real = quantiles._next_bounds
+    monkeypatch.setattr(quantiles, "_next_bounds", lambda *a: passes.append(1) or real(*a))
+    rng = np.random.default_rng(8)
+    values = {
+        "infinities": [float("inf")] * 5 + [float("-inf")] * 3 + rng.normal(size=50).tolist(),
+        "decades": (10.0 ** rng.uniform(-300, 300, 300) * rng.choice([-1, 1], 300)).tolist(),
+        "one infinity": [*range(50), float("inf")],
+    }[kind]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    got = exact_quantiles(rows, [], "v", [0.0, 0.5, 1.0], max_group_values=10).first()[0]
+    want = sorted(values)
+    middle = (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2
+    assert got[0] == want[0] and got[2] == want[-1] and got[1] == pytest.approx(middle, rel=1e-12)
+    assert len(passes) <= 6

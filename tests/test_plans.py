@@ -33,7 +33,7 @@ def test_csv_to_wear(spark, tmp_path):
 def test_single_joint_is_split_and_selection_applies(spark):
     rows = [(float(i), math.sin(i), 1.0) for i in range(130)]
     df = spark.createDataFrame(rows, "t double, vib double, gyro_x double")
-    options = Options(window=8, selection=FeatureSelection(("vibration_vib_rms",)), max_rows=500)
+    options = Options(window=8, selection=FeatureSelection(("vibration_vib_rms",)))
     data = ingest(df, ["t"], options)
     features = features_of(data.table, options)
     assert features.columns == ["joint_id", "seq", "timestamp", "vibration_vib_rms"]

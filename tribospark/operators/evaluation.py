@@ -14,14 +14,12 @@ from tribospark.operators.ordering import number_rows, running_totals
 from tribospark.operators.quantiles import exact_quantiles
 from tribospark.operators.selection import feature_columns
 from tribospark.session import materialise
-from tribospark.sources.samples import fixed_size_sample
 
 EVERYTHING = "all_joints"
 SILHOUETTE_ROWS = 5_000
 HISTOGRAM_BINS = 30
 SWEEP_POINTS = 50
 ROC_POINTS = 200
-TOP_FEATURES = 20
 
 # Label column names, and words that mean normal.
 TRUTH_NAMES = (
@@ -42,53 +40,101 @@ def anomaly_totals(scored: DataFrame) -> DataFrame:
         (bad / F.greatest(F.count("*"), F.lit(1))).alias("global_anomaly_rate"))
 
 
-def cluster_sample(scored: DataFrame, columns: list[str], rows: int = SILHOUETTE_ROWS, seed: int = 42) -> DataFrame:
-    """Seeded sample with the features as one array ``x`` and the label."""
-    picked = scored.select("joint_id", "seq", "anomaly", F.array(*[F.coalesce(usable(c), F.lit(0.0)) for c in columns]).alias("x"))
-    return fixed_size_sample(picked, rows, ["joint_id", "seq"], seed)
+def cluster_points(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows with the features as one array ``x`` and the label."""
+    return scored.select("joint_id", "seq", "anomaly", F.array(*[F.coalesce(usable(c), F.lit(0.0)) for c in columns]).alias("x"))
 
 
-def silhouette(sample: DataFrame) -> DataFrame:
-    """One row: mean silhouette of the two label groups; null with a single group.
+def label_groups(points: DataFrame) -> tuple[list[float], dict[int, tuple[int, list[float], float]]]:
+    """Mean of all points, and for each label: rows, sum and sum of squared lengths of the points less that mean.
 
-    The sample is bounded by its row count, so every task gets a copy and returns one number per row.
+    Two aggregates with one small row for each label; the subtraction keeps far-off features from cancelling.
     """
+    at = range(points.agg(F.max(F.size("x"))).first()[0] or 0)
+    means = [float(m or 0.0) for m in points.agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in at])).first()[0]]
+    away = _less(means)
+    rows = points.select("anomaly", away.alias("x")).groupBy("anomaly").agg(
+        F.count("*").alias("n"), F.array(*[F.sum(F.get("x", F.lit(i))) for i in at]).alias("s"), F.sum(_dot(F.col("x"), F.col("x"))).alias("q")).collect()
+    return means, {r["anomaly"]: (r["n"], [float(v) for v in r["s"]], float(r["q"])) for r in rows}
+
+
+def _less(means: list[float]) -> Column:
+    return F.zip_with("x", F.array(*[F.lit(m) for m in means]), lambda v, m: v - m)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, v: total + v)
+
+
+def silhouette(points: DataFrame) -> DataFrame:
+    """One row: mean silhouette of the label groups over all rows, with squared Euclidean distances; null with one group.
+
+    The mean squared distance of a point to a group follows from the group's count, sum and sum of squares, so no pairs are formed.
+    """
+    spark = points.sparkSession
+    means, groups = label_groups(points)
+    if len(groups) < 2:
+        return spark.createDataFrame([(None,)], "silhouette_score double")
+    rows = points.select("anomaly", _less(means).alias("x")).withColumn("own", _dot(F.col("x"), F.col("x")))
+
+    def total(label: int) -> Column:
+        n, s, q = groups[label]
+        return F.greatest(n * F.col("own") - 2 * _dot(F.col("x"), F.array(*[F.lit(v) for v in s])) + q, F.lit(0.0))
+
+    inside, beside = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for label, (n, _, _) in groups.items():
+        mine = F.col("anomaly") == label
+        inside = F.when(mine, total(label) / (n - 1) if n > 1 else F.lit(None).cast("double")).otherwise(inside)
+        beside = F.when(mine, beside).otherwise(F.least(beside, total(label) / n))
+    both = rows.select(inside.alias("a"), beside.alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("a").isNotNull() & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return both.agg(F.round(F.avg(score), 4).alias("silhouette_score"))
+
+
+def euclidean_silhouette(sample: DataFrame, max_rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """One row: mean silhouette with plain distances. All pairs are formed, so it is for a sample that the caller has drawn."""
     sample = materialise(sample.select("anomaly", "x"))
+    if sample.count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows; draw a sample or use silhouette()")
     if sample.select("anomaly").distinct().count() < 2:
         return sample.sparkSession.createDataFrame([(None,)], "silhouette_score double")
     whole = sample.toArrow()
-    shared = sample.sparkSession.sparkContext.broadcast((whole["anomaly"].to_numpy(), matrix(whole["x"])))
+    labels, points = whole["anomaly"].to_numpy(), matrix(whole["x"])
+    names, sizes = np.unique(labels, return_counts=True)
 
     def run(batches):
-        labels, points = shared.value
-        groups = np.unique(labels)
         for batch in batches:
             x, own = matrix(pa.chunked_array([batch.column("x")])), batch.column("anomaly").to_numpy()
-            out = np.zeros(len(x))
-            for i, row in enumerate(x):
-                d = np.sqrt(((points - row) ** 2).sum(axis=1))
-                mine = labels == own[i]
-                if mine.sum() > 1:
-                    a = d[mine].sum() / (mine.sum() - 1)
-                    b = min(d[labels == g].mean() for g in groups if g != own[i])
-                    out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+            sums = np.zeros((len(x), len(names)))
+            for k, name in enumerate(names):
+                for start in range(0, len(x), 256):
+                    apart = x[start : start + 256, None, :] - points[labels == name][None, :, :]
+                    sums[start : start + 256, k] = np.sqrt((apart**2).sum(axis=2)).sum(axis=1)
+            mine = own[:, None] == names[None, :]
+            n_own = sizes[mine.argmax(axis=1)]
+            a = sums[mine] / np.maximum(n_own - 1, 1)
+            b = np.where(mine, np.inf, sums / sizes).min(axis=1)
+            top = np.maximum(a, b)
+            out = np.where((n_own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
             yield pa.record_batch({"s": pa.array(out)})
 
     return sample.mapInArrow(run, "s double").agg(F.round(F.avg("s"), 4).alias("silhouette_score"))
 
 
-def calinski_harabasz(sample: DataFrame) -> DataFrame:
-    """One row: between-group over within-group dispersion of the label groups; null with one group."""
-    cells = sample.select("anomaly", F.posexplode("x").alias("i", "v"))
-    stats = cells.groupBy("anomaly", "i").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    column = Window.partitionBy("i")
-    grand = F.sum(F.col("n") * F.col("m")).over(column) / F.sum("n").over(column)
-    parts = stats.withColumn("d", F.col("m") - grand).groupBy("anomaly").agg(
-        F.max("n").alias("n"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("between"), F.sum(F.col("n") * F.col("s")).alias("within"))
-    k, n = F.count("*"), F.sum("n")
-    within, between = F.sum("within"), F.sum("between")
-    score = F.when(within == 0, 1.0).otherwise(F.try_divide(between * (n - k), within * (k - 1)))
-    return parts.agg(F.when(k >= 2, F.round(score, 4)).alias("calinski_harabasz_score"))
+def calinski_harabasz(points: DataFrame) -> DataFrame:
+    """One row: between-group over within-group dispersion of the label groups over all rows; null with one group."""
+    _, groups = label_groups(points)
+    k, n = len(groups), sum(g[0] for g in groups.values())
+    score = None
+    if k >= 2:
+        between = sum(sum(v * v for v in s) / m for m, s, _ in groups.values())
+        within = sum(q for _, _, q in groups.values()) - between
+        if within <= 0:
+            score = 1.0
+        elif n > k:
+            score = round(between * (n - k) / (within * (k - 1)), 4)
+    return points.sparkSession.createDataFrame([(score,)], "calinski_harabasz_score double")
 
 
 def _with_total(scored: DataFrame) -> DataFrame:
@@ -231,8 +277,8 @@ def roc_auc(steps: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.try_divide(area, F.max("_e.p") * F.max("_e.n")), 4).alias("auc"))
 
 
-def roc_points(steps: DataFrame, max_points: int = ROC_POINTS, **windowing) -> DataFrame:
-    """Corner points of the curve, thinned to ``max_points`` evenly spaced ones if there are more."""
+def roc_points(steps: DataFrame, **windowing) -> DataFrame:
+    """All corner points of the curve."""
     ends = materialise(steps.agg(F.max("tp").alias("p"), F.max("fp").alias("n")))
     numbered = number_rows(steps, [], ["anomaly_score"], "_i", **windowing)
     last = numbered.agg(F.max("_i")).scalar()
@@ -243,26 +289,32 @@ def roc_points(steps: DataFrame, max_points: int = ROC_POINTS, **windowing) -> D
     kept = flagged.filter(corner).select(F.col("anomaly_score"), "tp", "fp")
     origin = steps.sparkSession.createDataFrame([(float("-inf"), 0, 0)], "anomaly_score double, tp long, fp long")
     ordered = materialise(number_rows(kept.unionByName(origin), [], ["anomaly_score"], "point", **windowing))
-    n = ordered.count()
-    if n > max_points:
-        keep = sorted({int(i) for i in np.linspace(0, n - 1, max_points)})
-        ordered = ordered.filter(F.col("point").isin(*keep))
     totals = ends.select(F.struct("*")).scalar()
     return ordered.withColumn("_e", totals).select(
         "point", F.round(F.try_divide(F.col("fp"), F.col("_e.n")), 4).alias("fpr"),
         F.round(F.try_divide(F.col("tp"), F.col("_e.p")), 4).alias("tpr"), F.round(-F.col("anomaly_score"), 6).alias("threshold"))
 
 
-def _ranked(raw: DataFrame, top_n: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def thinned_points(points: DataFrame, most: int = ROC_POINTS) -> DataFrame:
+    """At most ``most`` evenly spaced points of a curve, both ends included, for a chart."""
+    points = materialise(points)
+    n = points.count()
+    if n <= most:
+        return points
+    return points.filter(F.col("point").isin(*sorted({k * (n - 1) // (most - 1) for k in range(most)})))
+
+
+def _ranked(raw: DataFrame, top_n: int | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per feature: rank by raw importance, scaled by the best. Feature lists are schema-sized."""
     best = F.max("raw").over(Window.partitionBy())
     scale = F.when(best > 0, best).otherwise(1.0)
     rank = F.row_number().over(Window.orderBy(F.desc("raw"), "place"))
     out = raw.withColumns({"rank": rank, "importance": F.round(F.col("raw") / scale, 4), **{c: F.round(F.col(c) / scale, 4) for c in extra}})
-    return out.filter(F.col("rank") <= top_n).select("feature", "importance", *extra, "rank")
+    out = out.filter(F.col("rank") <= top_n) if top_n else out
+    return out.select("feature", "importance", *extra, "rank")
 
 
-def correlation_importance(scored: DataFrame, columns: list[str] | None = None, top_n: int = TOP_FEATURES,
+def correlation_importance(scored: DataFrame, columns: list[str] | None = None, top_n: int | None = None,
                            exclude: tuple[str, ...] = ()) -> DataFrame:
     """Features by absolute correlation with the score, all in one aggregate."""
     columns = columns or feature_columns(scored, exclude)
@@ -280,7 +332,7 @@ def shuffled(rows: DataFrame, column: int, seed: int) -> DataFrame:
     """``rows`` (joint_id, seq, n, x) with entry ``column`` of ``x`` exactly permuted by a seeded hash."""
     order = rows.withColumn("_h", F.xxhash64("seq", F.lit(seed), F.lit(column)))
     giving = number_rows(order.select("seq", "_h", F.element_at("x", column + 1).alias("_v")), [], ["_h", "seq"], "_place").select("_place", "_v")
-    taking = number_rows(rows, [], ["seq"], "_place")
+    taking = rows.withColumn("_place", F.col("seq"))  # seq is the running number of the pooled rows
     place = F.lit(column)
     return taking.join(giving, "_place").select("joint_id", "seq", "n", F.transform("x", lambda v, i: F.when(i == place, F.col("_v")).otherwise(v)).alias("x"))
 
@@ -290,7 +342,7 @@ def permutation_importance(
     config: ModelConfig | None = None,
     columns: list[str] | None = None,
     repeats: int = 5,
-    top_n: int = TOP_FEATURES,
+    top_n: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Change of the mean score when one feature is shuffled and the detector is fitted again.
@@ -329,14 +381,14 @@ def diagnostics(
     truth = truth or truth_column(scored)
     columns = feature_columns(scored, (truth,) if truth else ())
     config = config or default_config()
-    sample = materialise(cluster_sample(scored, columns))
+    points = cluster_points(scored, columns)
     spark = scored.sparkSession
     model = spark.createDataFrame([(config.model_id, MODELS[config.model_id].title, len(columns), columns)],
                                   "model_id string, display_name string, n_features_used int, feature_names array<string>")
     out = {
         "model": model,
         "totals": anomaly_totals(scored).withColumns({
-            "silhouette_score": silhouette(sample).scalar(), "calinski_harabasz_score": calinski_harabasz(sample).scalar()}),
+            "silhouette_score": silhouette(points).scalar(), "calinski_harabasz_score": calinski_harabasz(points).scalar()}),
         "distributions": score_distribution(scored),
         "histograms": score_histogram(scored),
         "thresholds": threshold_sweep(scored),
@@ -347,7 +399,7 @@ def diagnostics(
         steps = materialise(roc_steps(labelled))
         out.update(confusion=confusion(labelled), roc=roc_points(steps), auc=roc_auc(steps))
     if importance and columns:
-        out["importance"] = correlation_importance(scored, columns, min(TOP_FEATURES, len(columns)))
+        out["importance"] = correlation_importance(scored, columns)
     return out
 
 

@@ -60,10 +60,12 @@ def _number_by_range(df: DataFrame, keys: list[str], order_cols: list[str], name
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     runs = materialise(runs.drop("_n"))
+    same = placed["_part"] == runs["_part"]
+    for k in keys:  # a null key is a group like any other, as it is for a window
+        same = same & placed[k].eqNullSafe(runs[k])
     return (
-        placed.join(runs, ["_part", *keys])
-        .withColumn(name, F.col("_place") - F.col("_first") + F.col("_before"))
-        .drop("_part", "_place", "_first", "_before")
+        placed.join(runs.select("_part", *keys, "_first", "_before"), same)
+        .select(*[placed[c] for c in df.columns], (F.col("_place") - F.col("_first") + F.col("_before")).alias(name))
     )
 
 

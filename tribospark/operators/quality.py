@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,21 +170,28 @@ def sampling_summary(steps: DataFrame, by: list[str] | None = None) -> DataFrame
         F.min_by("time", "seq").alias("_first"), F.stddev_samp("step").alias("_std"),
         F.count_if(F.col("step") < 0).alias("reversals"))
     if by:
-        stats = firsts.join(medians, by, "left")
-        joined = steps.join(medians, by, "left")
+        stats = _left_join(firsts, medians, by)
+        joined = _left_join(steps, medians, by)
     else:
         stats = firsts.withColumn("_median", medians.select("_median").scalar())
         joined = steps.withColumn("_median", medians.select("_median").scalar())
     median = F.col("_median")[0]
     gaps = joined.groupBy(*by).agg(
         F.count_if((median > 0) & (F.col("step") > GAP_FACTOR * median)).alias("timestamp_gaps"))
-    stats = stats.join(gaps, by) if by else stats.withColumn("timestamp_gaps", gaps.select("timestamp_gaps").scalar())
+    stats = _left_join(stats, gaps, by) if by else stats.withColumn("timestamp_gaps", gaps.select("timestamp_gaps").scalar())
     rate = F.when(median > 0, F.round(1.0 / (median / epoch_divisor(F.col("_first"))), 2))
     return stats.select(
         *by, "reversals", (F.col("reversals") > 0).alias("non_monotonic"), rate.alias("sampling_rate_hz"),
         F.when(median > 0, F.round("_std", 6)).alias("sampling_rate_std"), "timestamp_gaps")
 
 
+def _left_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join in which a null group finds itself."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [left[c].eqNullSafe(other[f"_r_{c}"]) for c in by])
+    return left.join(other, same, "left").drop(*[f"_r_{c}" for c in by])
+
+
 def sampling_rate(df: DataFrame, timestamp: str, order_cols: list[str], **numbering) -> DataFrame:
     """One row: samples per second over the whole table in file order."""
     return sampling_summary(time_steps(df, timestamp, order_cols, **numbering)).select("sampling_rate_hz")

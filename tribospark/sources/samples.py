@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ROW_CAP = 20_000
-ROW_CAP_RANGE = (500, 100_000)
 SCHEMA_SAMPLE_ROWS = 2_000
 DISCOVERY_ROWS = 500
 
@@ -35,9 +34,8 @@ def fixed_size_sample(df: DataFrame, n: int, id_cols: list[str], seed: int = 42)
 
 
 def cap_rows(df: DataFrame, order_cols: list[str], max_rows: int = DEFAULT_ROW_CAP, seed: int = 42) -> DataFrame:
-    """Optional row cap: a seeded sample in the original row order."""
-    low, high = ROW_CAP_RANGE
-    return fixed_size_sample(df, min(max(max_rows, low), high), order_cols, seed).orderBy(*order_cols)
+    """A seeded sample of at most ``max_rows`` rows, in the original row order."""
+    return fixed_size_sample(df, max_rows, order_cols, seed).orderBy(*order_cols)
 
 
 def head_rows(df: DataFrame, order_cols: list[str], n: int = SCHEMA_SAMPLE_ROWS) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from checks.fixtures import CATALOGUE, EVENTS, R, SCORED, W, catalogue, event_series, line_features, line_scored, once, r, rounded, table
 from tribospark.operators import materials, presentation, projection, wear
 from tribospark.operators.detect import registry
-from tribospark.operators.detect.autoencoder import autoencoder_errors, component_errors
-from tribospark.operators.detect.common import label_below, label_errors, standardise
-from tribospark.operators.detect.forest import isolation_forest
+from tribospark.operators.detect.autoencoder import autoencoder, autoencoder_errors, component_errors
+from tribospark.operators.detect.common import apply_models, label_below, label_errors, standardise
+from tribospark.operators.detect.forest import fit_forest, forest_score, isolation_forest
 from tribospark.operators.detect.lof import outlier_factors
 from tribospark.operators.detect.svm import one_class_svm
 from tribospark.operators.features import extract_features
@@ -87,6 +87,53 @@ def flagged_sql(share):
     return f"SELECT event_type AS joint_id, count(*) AS total_readings, {share}::DOUBLE AS anomaly_rate FROM events GROUP BY event_type"
 
 
+def planted(spark, d):
+    """The event matrix with every 40th row of a type moved ten units away from all others."""
+    far = F.col("seq") % 40 == 7
+    moved = F.transform("x", lambda v: F.when(far, F.when(v < 0, v - 10).otherwise(v + 10)).otherwise(v))
+    return once(spark, d, "planted", lambda: event_matrix(spark, d).withColumn("x", moved))
+
+
+def finds_planted(run):
+    """Planted rows per type, and whether nine in ten of them are flagged by a detector that flags one row in twenty.
+    A score without regard to the data finds about one in twenty."""
+
+    def make(spark, d):
+        found = run(planted(spark, d)).where("seq % 40 = 7").groupBy("joint_id").agg(
+            F.count("*").alias("planted"), F.avg((F.col("anomaly") == -1).cast("double")).alias("share"))
+        return found.select("joint_id", "planted", (F.col("share") >= 0.9).alias("found"))
+
+    return make
+
+
+PLANTED_SQL = f"""WITH {EVENTS} SELECT joint_id, count(*) AS planted, true AS found FROM s WHERE seq % 40 = 7 GROUP BY joint_id"""
+
+
+def tree_depths(spark, d):
+    """The forest's own measure against the same trees followed in SQL: no row may differ."""
+    rows = event_matrix(spark, d)
+    models = materialise(fit_forest(rows, 10))
+    scores = apply_models(rows, models, forest_score).select("joint_id", "seq", "value")
+    trees = models.select("joint_id", "samples", F.posexplode("trees").alias("tree", "t"))
+    at = rows.join(trees, "joint_id").select("joint_id", "seq", "samples", "tree", "t", "x", F.lit(0).alias("node"))
+    for _ in range(9):  # ceil(log2(256)) levels and the root
+        feature = F.get("t.feature", F.col("node"))
+        left = F.get("x", F.greatest(feature, F.lit(0))) <= F.get("t.threshold", F.col("node"))
+        step = F.when(feature < 0, F.col("node")).when(left, F.get("t.left", F.col("node"))).otherwise(F.get("t.right", F.col("node")))
+        at = at.withColumn("node", step)
+    depth = at.groupBy("joint_id", "seq", "samples").agg(F.avg(F.get("t.path", F.col("node"))).alias("depth"))
+    n = F.col("samples")
+    expected = 2 * (F.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    both = scores.join(depth.select("joint_id", "seq", (-F.pow(F.lit(2.0), -F.col("depth") / expected)).alias("want")), ["joint_id", "seq"])
+    return both.groupBy("joint_id").agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("value") - F.col("want")) > 1e-9).cast("int").alias("differing"))
+
+
+def reconstruction(spark, d):
+    """The trained autoencoder beats predicting the mean, whose mean squared error is one for scaled columns; an untrained one does not."""
+    errors = once(spark, d, "neural_errors", lambda: autoencoder_errors(event_matrix(spark, d), {"epochs": 50}))
+    return errors.groupBy("joint_id").agg(F.count("*").alias("rows"), (F.avg("value") < 0.9).alias("better"))
+
+
 def components(spark, d):
     """Projection on one of two axes (window energy and magnitude mean, both scaled)."""
     scaled = standardise(line_features(spark, d), ["accelerometer_magnitude_energy", "accelerometer_x_rms"])
@@ -335,6 +382,11 @@ QUERIES = {
     "detect_isolation_forest": (forest, None),
     "detect_one_class_svm": (svm, None),
     "detect_autoencoder": (neural, None),
+    "detect_isolation_forest_planted": (finds_planted(lambda rows: isolation_forest(rows, {"contamination": 0.05})), PLANTED_SQL),
+    "detect_one_class_svm_planted": (finds_planted(lambda rows: one_class_svm(rows, {"nu": 0.05})), PLANTED_SQL),
+    "detect_autoencoder_planted": (finds_planted(lambda rows: autoencoder(rows, {"contamination": 0.05})), PLANTED_SQL),
+    "detect_isolation_forest_depths": (tree_depths, "SELECT event_type AS joint_id, count(*) AS rows, 0 AS differing FROM events GROUP BY event_type"),
+    "detect_autoencoder_reconstruction": (reconstruction, "SELECT event_type AS joint_id, count(*) AS rows, true AS better FROM events GROUP BY event_type"),
     "detect_isolation_forest_rates": (flagged(forest), flagged_sql(0.1)),
     "detect_one_class_svm_rates": (flagged(svm), flagged_sql(0.05)),
     "detect_autoencoder_rates": (flagged(neural), flagged_sql(0.1)),

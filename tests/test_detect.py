@@ -69,12 +69,20 @@ def test_scaling(spark):
     assert x["a", 3][1] == 0 and x["a", 0][2] == 0 and x["a", 4][3] == 0 and x["b", 0] == [0, 0, 0, 0]
 
 
-def test_subsamples_are_bounded(spark):
+def test_subsamples_are_bounded_and_drawn_alike(spark):
     rows = spark.range(20_000).select(F.lit("a").alias("joint_id"), F.col("id").alias("seq"), F.lit(20_000).alias("n"), F.array(F.rand(1)).alias("x"))
-    picked = forest.subsamples(rows, 20, 100, 1)
-    assert picked.count() == 2000 and picked.groupBy("block").count().agg(F.max("count")).first()[0] == 1000
-    small = forest.subsamples(rows.filter("seq < 50").withColumn("n", F.lit(50)), 20, 100, 1)
-    assert small.count() == 100  # every block of trees may draw from all 50 rows
+    sizes = [r["count"] for r in forest.subsamples(rows, 20, 100, 1).groupBy("block").count().collect()]
+    assert len(sizes) == 2 and all(1000 <= n <= 1000 + 20 * 1000**0.5 + 200 for n in sizes)
+    for n in (50, 999, 1100):  # fewer rows than a block may take: all of them, for every block
+        few = forest.subsamples(rows.filter(F.col("seq") < n).withColumn("n", F.lit(n)), 20, 100, 1)
+        assert few.count() == 2 * n and few.select("size").distinct().count() == 1
+    share = forest.subsamples(rows, 10, 0.01, 1)
+    assert share.first()["size"] == 200 and 2000 <= share.count() <= 2000 + 20 * 2000**0.5 + 200
+
+
+def test_numbers_or_words():
+    words = {"auto": 256}
+    assert [common.numeric_or(v, words) for v in ("auto", "64", "0.5", 0.25, 7, "many", " 1e-3 ")] == [256, 64, 0.5, 0.25, 7, 256, 0.001]
 
 
 def brute_lof(x, k):

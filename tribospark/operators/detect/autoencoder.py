@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import apply_models, by_joint, joint_seed, label_errors, matrix, renewed
+from tribospark.operators.detect.common import apply_models, by_joint, chunk_models, joint_seed, label_errors, matrix, renewed
 from tribospark.operators.ordering import CHUNK_ROWS
 from tribospark.session import materialise
 
@@ -111,7 +111,7 @@ def autoencoder_errors(rows: DataFrame, params: dict, seed: int = 42, chunk_rows
 
     for number, local in enumerate([e for e in plan if e]):
         placed = points.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
-        copies = renewed(placed.select("joint_id", "chunk").distinct().join(models, "joint_id"))
+        copies = renewed(chunk_models(placed, models))
         trained = placed.groupBy("joint_id", "chunk").cogroup(copies.groupBy("joint_id", "chunk")).applyInArrow(
             trainer(number, local), "joint_id string, features int, i int, w double, n long")
         mean = trained.groupBy("joint_id", "features", "i").agg((F.sum("w") / F.sum("n")).alias("w"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribospark.operators.ordering import CHUNK_ROWS
@@ -14,10 +15,21 @@ from tribospark.operators.quantiles import exact_quantiles
 from tribospark.session import materialise
 
 MAX_SHARED_JOINTS = 64
-MAX_SHARED_BYTES = 256 * 2**20
+MAX_SHARED_BYTES = 8 * 2**20
+CHUNKS_PER_COPY = 64
 EPSILON = 2.220446049250313e-16
 
 
+def numeric_or(value, words: dict):
+    """A parameter that is a number, text of a number, or one of some words; any other text means the first word."""
+    if isinstance(value, (int, float)):
+        return value
+    text = str(value).strip()
+    if re.fullmatch(r"\d+", text):
+        return int(text)
+    return float(text) if re.fullmatch(r"(\d+\.?\d*|\.\d+)(e-?\d+)?", text) else words.get(text, next(iter(words.values())))
+
+
 def usable(name: str) -> Column:
     """The value, or null where it is missing, NaN or infinite."""
     v = F.col(name).cast("double")
@@ -32,15 +44,52 @@ def stacked(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     return long.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
 
 
+def column_moments(features: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """by, i, c, m, s: for each batch of rows and each column its usable values, their mean and sum of squared deviations.
+
+    One row for each batch, group and column is all that gets shuffled.
+    """
+    key = by[0] if by else None
+    kinds = dict(features.dtypes)
+
+    def partial(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(str(i)).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))])
+            if key:
+                coded = batch.column(key).dictionary_encode(null_encoding="encode")
+                codes, names = coded.indices.to_numpy(), coded.dictionary
+            else:
+                codes, names = np.zeros(len(x), int), [None]
+            for code in range(len(names)):
+                own = x[codes == code]
+                fine = np.isfinite(own)
+                count = fine.sum(axis=0)
+                filled = np.where(fine, own, 0.0)
+                mean = filled.sum(axis=0) / np.maximum(count, 1)
+                spread = np.where(fine, (own - mean) ** 2, 0.0).sum(axis=0)
+                columns_ = {"i": pa.array(np.arange(len(columns)), pa.int32()), "c": pa.array(count, pa.int64()), "m": pa.array(mean), "s": pa.array(spread)}
+                if key:
+                    columns_ = {key: pa.array([names[code].as_py()] * len(columns), names.type)} | columns_
+                yield pa.record_batch(columns_)
+
+    values = [F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)]
+    schema = (f"`{key}` {kinds[key]}, " if key else "") + "i int, c long, m double, s double"
+    return features.select(*by, *values).mapInArrow(partial, schema).where("c > 0")
+
+
 def scaling_stats(features: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Per group: rows, and arrays with the mean and the scaling unit of every column.
+    """Per group (of one key at most): rows, and arrays with the mean and the scaling unit of every column.
 
     The unit is the population deviation, or 1 for a constant column (a deviation within the rounding
     error of the mean counts as constant).
     """
     counts = features.groupBy(*by).agg(F.count("*").alias("n"))
-    stats = stacked(features, by, columns).groupBy(*by, "i").agg(
-        F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("*").alias("c"))
+    parts = column_moments(features, columns, by)
+    together = Window.partitionBy(*by, "i")
+    mean = F.sum(F.col("c") * F.col("m")).over(together) / F.sum("c").over(together)
+    off = F.col("m") - F.col("mean")
+    stats = parts.withColumn("mean", mean).groupBy(*by, "i").agg(
+        F.max("mean").alias("m"), F.sqrt(F.sum(F.col("s") + F.col("c") * off * off) / F.sum("c")).alias("s"), F.sum("c").alias("c"))
     constant = F.col("s") <= F.col("c") * F.abs(F.col("m")) * EPSILON
     stats = stats.select(*by, "i", "m", F.when((F.col("s") == 0) | constant, 1.0).otherwise(F.col("s")).alias("u"))
     maps = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("m", "u")))).alias("_s"))
@@ -116,28 +165,38 @@ def with_models(
 ) -> DataFrame:
     """Run ``run(model, rows of that joint)`` on batches of ``rows``.
 
-    ``models`` has one row per joint. Small models are shared with all tasks and the rows stay where
-    they are. Beyond that each bounded chunk of a joint is brought together with a copy of its model,
-    so no task and no driver holds all models.
+    ``models`` has one row per joint. Small models (a few MB as text, checked) are shared with all tasks
+    and the rows stay where they are. Beyond that each bounded chunk of a joint is brought together with a
+    copy of its model, so no task and no driver holds all models. A joint of very many chunks has its copies
+    made by several tasks, CHUNKS_PER_COPY each.
     """
     columns = rows.columns
     if shareable(models, max_shared_joints, max_shared_bytes):
-        known = {r["joint_id"]: r.asDict(recursive=True) for r in models.collect()}
-        shared = rows.sparkSession.sparkContext.broadcast(known)
+        known = {r["joint_id"]: r.asDict(recursive=True) for r in models.collect()}  # travels with the function, within max_shared_bytes
 
         def batchwise(batches):
             for batch in batches:
                 for joint, part in by_joint(batch):
-                    yield from run(shared.value[joint], part).combine_chunks().to_batches()
+                    yield from run(known[joint], part).combine_chunks().to_batches()
 
         return rows.mapInArrow(batchwise, schema)
 
     placed = rows.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
-    copies = renewed(placed.select("joint_id", "chunk").distinct().join(models, "joint_id"))
+    copies = renewed(chunk_models(placed, models))
     return placed.groupBy("joint_id", "chunk").cogroup(copies.groupBy("joint_id", "chunk")).applyInArrow(
         lambda left, right: run(right.to_pylist()[0], left.select(columns)), schema)
 
 
+def chunk_models(placed: DataFrame, models: DataFrame) -> DataFrame:
+    """The model of each (joint_id, chunk) of ``placed``."""
+    chunks = placed.select("joint_id", "chunk").distinct()
+    counts = chunks.groupBy("joint_id").agg(F.ceil(F.count("*") / CHUNKS_PER_COPY).alias("_n"))
+    # as many copies of a model as tasks that hand it on
+    spread = models.join(counts, "joint_id").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    dealt = chunks.join(counts, "joint_id").withColumn("_part", F.pmod(F.col("chunk"), F.col("_n"))).drop("_n")
+    return dealt.join(spread.drop("_n"), ["joint_id", "_part"]).drop("_part")
+
+
 def apply_models(rows: DataFrame, models: DataFrame, score: Callable[[dict, np.ndarray], np.ndarray], **sharing) -> DataFrame:
     """Score every row with its joint's model: joint_id, seq, the carried columns and ``value``."""
     kept = ["joint_id", "seq", *carried(rows)]

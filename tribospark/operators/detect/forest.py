@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import apply_models, joint_seed, label_below, matrix
+from tribospark.operators.detect.common import apply_models, joint_seed, label_below, matrix, numeric_or
 from tribospark.session import materialise
 
 AUTO_SAMPLES = 256
@@ -52,17 +52,24 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     return tree
 
 
+def as_arrays(tree: dict) -> dict[str, np.ndarray]:
+    """Turns the lists of a tree into arrays, once for each task: the tree keeps them."""
+    if isinstance(tree["path"], list):
+        tree.update({key: np.asarray(values) for key, values in tree.items()})
+    return tree
+
+
 def mean_path(tree: dict, x: np.ndarray) -> np.ndarray:
     """Path length of each row; all rows descend one level at a time."""
-    feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
-    left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
+    tree = as_arrays(tree)
+    feature, threshold, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
     node, rows = np.zeros(len(x), dtype=int), np.arange(len(x))
     active = rows[feature[node] >= 0]
     while len(active):
         at = node[active]
         node[active] = np.where(x[active, feature[at]] <= threshold[at], left[at], right[at])
         active = active[feature[node[active]] >= 0]
-    return np.asarray(tree["path"])[node]
+    return tree["path"][node]
 
 
 def forest_score(model: dict, x: np.ndarray) -> np.ndarray:
@@ -71,31 +78,34 @@ def forest_score(model: dict, x: np.ndarray) -> np.ndarray:
     return -(2.0 ** (-depth / max(float(average_path(model["samples"])), 1e-12)))
 
 
-def subsamples(rows: DataFrame, trees: int, samples: int, seed: int) -> DataFrame:
-    """Bounded training rows per (joint, block of trees), chosen by a seeded hash.
+def sample_size(samples: int | float, n: Column) -> Column:
+    """Rows for a tree: a number of rows, or a share of the joint's rows (a float of 1 at most)."""
+    if isinstance(samples, float) and samples <= 1:
+        return F.least(F.greatest(F.floor(n * samples), F.lit(1)), n).cast("int")
+    return F.least(F.lit(int(samples)), n).cast("int")
+
 
-    Rows whose hash cannot rank among the wanted ones are dropped before the ranking shuffle.
+def subsamples(rows: DataFrame, trees: int, samples: int | float, seed: int) -> DataFrame:
+    """Training rows for each (joint, block of trees), chosen by a seeded hash of their own.
+
+    A block draws from all rows of its joint whatever its size, about TREES_PER_TASK times the rows of a tree and
+    some more, so that hardly ever fewer are left than a tree needs. ``samples`` bounds what a task holds.
     """
-    wanted = trees * samples
-    h = F.xxhash64("joint_id", "seq", F.lit(seed))
-    share = F.shiftrightunsigned(h, 11) / float(2**53)
-    rows = rows.withColumn("_h", h).filter(share < (wanted + 10 * wanted**0.5 + 100) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("joint_id").orderBy("_h", "seq")) - 1
-    rows = rows.withColumn("_rank", rank).filter(F.col("_rank") < wanted)
-    blocks = -(-trees // TREES_PER_TASK)
-    own = F.array(F.floor(F.col("_rank") / (samples * TREES_PER_TASK)).cast("int"))
-    # A joint too small for separate subsamples lets every block of trees draw from all its rows.
-    every = F.array(*[F.lit(b) for b in range(blocks)])
-    return rows.withColumn("block", F.explode(F.when(F.col("n") >= wanted, own).otherwise(every)))
-
-
-def fit_forest(rows: DataFrame, trees: int = 100, samples: int = AUTO_SAMPLES, seed: int = 42) -> DataFrame:
+    wanted = sample_size(samples, F.col("n")) * TREES_PER_TASK
+    enough = (wanted + 10 * F.sqrt(wanted) + 100) / F.col("n")
+    blocks = F.sequence(F.lit(0), F.lit(-(-trees // TREES_PER_TASK) - 1))
+    share = lambda block: F.shiftrightunsigned(F.xxhash64("joint_id", "seq", F.lit(seed), block), 11) / float(2**53)
+    rows = rows.withColumn("size", sample_size(samples, F.col("n")))
+    return rows.withColumn("block", F.explode(F.filter(blocks, lambda block: share(block) < enough)))
+
+
+def fit_forest(rows: DataFrame, trees: int = 100, samples: int | float = AUTO_SAMPLES, seed: int = 42) -> DataFrame:
     """One row per joint: subsample size and the grown trees."""
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
         joint, block = table["joint_id"][0].as_py(), table["block"][0].as_py()
-        x, size = matrix(table["x"]), min(samples, table["n"][0].as_py())
+        x, size = matrix(table["x"]), table["size"][0].as_py()
         out = []
         for number in range(block * TREES_PER_TASK, min((block + 1) * TREES_PER_TASK, trees)):
             rng = joint_seed(joint, seed, number)
@@ -115,11 +125,7 @@ def fit_forest(rows: DataFrame, trees: int = 100, samples: int = AUTO_SAMPLES, s
 
 
 def isolation_forest(rows: DataFrame, params: dict, seed: int = 42) -> DataFrame:
-    samples = params.get("max_samples", "auto")
-    try:
-        samples = AUTO_SAMPLES if samples == "auto" else int(samples)
-    except ValueError:
-        samples = AUTO_SAMPLES
+    samples = numeric_or(params.get("max_samples", "auto"), {"auto": AUTO_SAMPLES})
     models = materialise(fit_forest(rows, params.get("n_estimators", 100), samples, seed))
     scores = materialise(apply_models(rows, models, forest_score))
     return label_below(scores, params.get("contamination", 0.05), shift=True)

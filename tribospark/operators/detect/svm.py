@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import apply_models, matrix, with_models
+from tribospark.operators.detect.common import apply_models, matrix, numeric_or, with_models
 from tribospark.operators.quantiles import exact_quantiles
 from tribospark.session import materialise
 
@@ -35,17 +35,8 @@ def kernel_width(model: dict, features: int, gamma) -> float:
     return 1.0 / features if gamma == "auto" else gamma
 
 
-def parse_gamma(gamma):
-    if gamma in ("scale", "auto"):
-        return gamma
-    try:
-        return float(gamma)
-    except ValueError:
-        return "scale"
-
-
 def one_class_svm(rows: DataFrame, params: dict, seed: int = 42, steps: int = STEPS, **sharing) -> DataFrame:
-    kernel, nu, gamma = params.get("kernel", "rbf"), params.get("nu", 0.05), parse_gamma(params.get("gamma", "scale"))
+    kernel, nu, gamma = params.get("kernel", "rbf"), params.get("nu", 0.05), numeric_or(params.get("gamma", "scale"), {"scale": "scale", "auto": "auto"})
     if kernel not in ("rbf", "linear"):
         raise ValueError(f"unsupported kernel {kernel!r}; use rbf or linear")
     points = rows.select("joint_id", "seq", "x")

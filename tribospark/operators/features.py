@@ -13,6 +13,7 @@ from tribospark.operators.ordering import CHUNK_ROWS, chunked, own_rows
 from tribospark.session import materialise
 
 WINDOW = 50
+# Modalities that get each set of features.
 SPECTRAL_MODALITIES = {"accelerometer", "gyroscope", "magnetometer", "vibration", "force", "velocity", "motor_current"}
 VIBRATION_MODALITIES = {"accelerometer", "vibration"}
 THERMAL_MODALITIES = {"temperature"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEEDBACK = 1.5
+# Fixed value: the label of the unchanged scenario.
 CURRENT_MATERIAL = "Current Material (assumed worst-case)"
 
 

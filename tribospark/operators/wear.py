@@ -25,6 +25,7 @@ ARM_PARAMETERS = (
     ("wrist_2", 30.0, 0.030, 6.0e-5),
     ("wrist_3", 20.0, 0.025, 4.0e-5),
 )
+# Constants of the wear law.
 BASE_WEAR_COEFFICIENT = 1e-4
 ANOMALY_GAIN = 10.0
 DEFAULT_HARDNESS = 600.0

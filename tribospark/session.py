@@ -33,7 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="tribospark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", root)

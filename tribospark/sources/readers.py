@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Required columns of a materials catalogue, and the cost factor of a missing one.
 MATERIAL_COLUMNS = ("material_name", "hardness", "wear_coefficient", "density", "friction_coefficient")
 DEFAULT_COST_FACTOR = 3
 

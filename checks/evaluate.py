@@ -131,6 +131,22 @@ def permutation(spark, d):
     return evaluation.permutation_importance(features, config, repeats=2)
 
 
+def permutation_planted(spark, d):
+    """A column without any spread can't matter, so shuffling it changes no score; the other one then leads."""
+    features = once(spark, d, "event_pair", lambda: extract_features(event_series(spark, d), selected=["vibration_rms", "vibration_jerk"]))
+    pair = features.select("joint_id", "seq", "timestamp", F.lit(3.0).alias("vibration_still"), "vibration_rms")
+    out = evaluation.permutation_importance(pair, ModelConfig("isolation_forest", {"contamination": 0.1, "n_estimators": 20}), repeats=2)
+    return out.select("feature", "importance", F.col("rank").cast("long").alias("rank"))
+
+
+def comparison_facts(spark, d):
+    """Both detectors flag their share of all rows, and the best is the one of the highest silhouette."""
+    rows = once(spark, d, "compared", lambda: comparison(spark, d))
+    top = F.max_by("model_id", "silhouette_score")
+    return rows.agg(F.count("*").alias("models"), F.count_if(F.abs(F.col("anomaly_rate") - 0.1) < 0.01).alias("of_share"),
+                    (top == F.max_by("model_id", F.col("best").cast("int"))).alias("best_is_highest"))
+
+
 def report_tables(spark, d):
     """Row counts of every table in the combined report."""
     parts = evaluation.diagnostics(labelled(spark, d), truth="fault")
@@ -202,6 +218,8 @@ QUERIES = {
     "evaluate_roc_auc": (lambda s, d: evaluation.roc_auc(materialise(evaluation.roc_steps(by_flag(s, d)))), AUC_SQL),
     "evaluate_correlation_importance": (importance, IMPORTANCE_SQL),
     "evaluate_permutation_importance": (permutation, None),
+    "evaluate_permutation_planted": (permutation_planted, "SELECT 'vibration_rms' AS feature, 1.0::DOUBLE AS importance, 1::BIGINT AS rank UNION ALL SELECT 'vibration_still', 0.0, 2"),
+    "evaluate_comparison_facts": (comparison_facts, "SELECT 2::BIGINT AS models, 2::BIGINT AS of_share, true AS best_is_highest"),
     "evaluate_report_tables": (report_tables, REPORT_SQL),
     "evaluate_model_comparison": (comparison, None),
     "analysis_whole": (whole_analysis, None),

@@ -178,6 +178,22 @@ def scaled(spark, d):
 SCALED_SQL = f"""WITH {LINES}, {_LF} SELECT joint_id, seq, round((accelerometer_x_rms - avg(accelerometer_x_rms) OVER j) / stddev_pop(accelerometer_x_rms) OVER j, 6) AS x_rms,
   round((accelerometer_magnitude_energy - avg(accelerometer_magnitude_energy) OVER j) / stddev_pop(accelerometer_magnitude_energy) OVER j, 6) AS energy
   FROM f WINDOW j AS (PARTITION BY joint_id)"""
+def together(*queries):
+    """Rows of several SQL texts side by side."""
+    parts = [f"({q}) p{i}" for i, q in enumerate(queries)]
+    return f"SELECT * FROM {parts[0]} " + " ".join(f"JOIN {p} USING (joint_id, seq)" for p in parts[1:])
+
+
+def spectra(spark, d):
+    """Every seventh window's power in every bin."""
+    out = features.power_spectra(event_series(spark, d), "vibration", 50, 7)
+    return out.select("joint_id", "seq", F.posexplode("power").alias("bin", "power")).select("joint_id", "seq", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
+
+
+SPECTRA_SQL = f"""WITH {EVENTS}, {spectrum_sql('s')} SELECT joint_id, seq, generate_subscripts(p, 1) - 1 AS bin, round(unnest(p), 4) AS power FROM pw
+  WHERE seq >= 49 AND (seq - 49) % 7 = 0"""
+THERMAL_ACCELERATION_SQL = (f"WITH {EVENTS}, k AS (SELECT *, {STAT_SQL['thermal_rate']} AS a FROM s) "
+                            f"SELECT joint_id, seq, {R(f'a - coalesce(lag(a) OVER {P}, a)')} AS thermal_acceleration FROM k")
 ALL_STATS = ["mean", "std", "variance", "rms", "peak_to_peak", "jerk", "energy"]
 
 QUERIES = {
@@ -192,7 +208,12 @@ QUERIES = {
     "features_power_spectrum": (of_events("spectral_energy", "band_energy"), spectral_sql(EVENTS, ["spectral_energy", "band_energy"])),
     **{f"features_{s}": (of_events(s), spectral_sql(EVENTS, [s])) for s in ("spectral_energy", "dominant_frequency", "spectral_centroid", "band_energy", "harmonic_ratio")},
     "features_spectral_entropy": (of_events("spectral_entropy"), ENTROPY),
-    "features_spectral_all": (of_events(*[s for s in SPECTRAL if s != "spectral_entropy"]), spectral_sql(EVENTS, [s for s in SPECTRAL if s != "spectral_entropy"])),
+    "features_spectral_all": (of_events(*SPECTRAL), together(spectral_sql(EVENTS, [s for s in SPECTRAL if s != "spectral_entropy"]), ENTROPY)),
+    "features_spectrum_bins": (spectra, SPECTRA_SQL),
+    "features_statistical_set": (of_events(*ALL_STATS, "skewness", "kurtosis"),
+        together(stat_sql(*ALL_STATS), moments_sql("skewness", 3, 3), moments_sql("kurtosis", 4, 4))),
+    "features_statistical_set_builtin": (of_events(*ALL_STATS, "skewness", "kurtosis", engine="builtin"),
+        together(stat_sql(*ALL_STATS), moments_sql("skewness", 3, 3), moments_sql("kurtosis", 4, 4))),
     "features_leading_edge_short_joints": (users_short, f"WITH {USERS}, {spectrum_sql('s')}, mm AS (SELECT joint_id, seq, {STAT_SQL['mean']} AS mean FROM s), "
         f"sp AS (SELECT joint_id, seq, n, {SPECTRAL_SQL['dominant_frequency']} AS df, {SPECTRAL_SQL['spectral_energy']} AS se FROM pw), "
         f"q AS (SELECT joint_id, seq, {R(lead_sql('df'))} AS dominant_frequency, {exact_sql('spectral_energy', lead_sql('se'))} AS spectral_energy FROM sp) "
@@ -201,9 +222,8 @@ QUERIES = {
     "features_vibration_all": (of_events(*VIBRATION), stat_sql(*VIBRATION)),
     "features_thermal_drift": (of_events("thermal_drift", modality="temperature"), stat_sql("thermal_drift")),
     "features_thermal_rate": (of_events("thermal_rate", modality="temperature"), stat_sql("thermal_rate")),
-    "features_thermal_acceleration": (of_events("thermal_acceleration", modality="temperature"),
-        f"WITH {EVENTS}, k AS (SELECT *, {STAT_SQL['thermal_rate']} AS a FROM s) SELECT joint_id, seq, {R(f'a - coalesce(lag(a) OVER {P}, a)')} AS thermal_acceleration FROM k"),
-    "features_thermal_all": (of_events(*THERMAL[:2], modality="temperature"), stat_sql(*THERMAL[:2])),
+    "features_thermal_acceleration": (of_events("thermal_acceleration", modality="temperature"), THERMAL_ACCELERATION_SQL),
+    "features_thermal_all": (of_events(*THERMAL, modality="temperature"), together(stat_sql(*THERMAL[:2]), THERMAL_ACCELERATION_SQL)),
     "features_magnetometer_set": (magnetometer_set, MAGNETOMETER_SQL),
     "select_whitelist_blacklist": (chosen, f"WITH {LINES}, {_LF} SELECT joint_id, seq, {R('accelerometer_magnitude_mean')} AS accelerometer_magnitude_mean FROM f"),
     "select_by_variance": (by_variance, VARIANCE_SQL),

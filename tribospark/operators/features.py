@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribospark.functions.batch import feature_batch
-from tribospark.functions.spectral import SPECTRAL
+from tribospark.functions.spectral import SPECTRAL, power_spectrum
 from tribospark.functions.trailing import STATISTICAL, THERMAL, VIBRATION, Trailing
 from tribospark.operators.mapping import SignalTable
 from tribospark.operators.ordering import CHUNK_ROWS, chunked, own_rows
@@ -89,6 +91,19 @@ def sliding_windows(table: SignalTable, signal: str, size: int = WINDOW, step: i
         "joint_id", "seq", F.transform("window", lambda s: s[signal]).alias("window"))
 
 
+def power_spectra(table: SignalTable, signal: str, size: int = WINDOW, step: int = 1, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The power of each frequency bin, from zero to size / 2, of every ``step``-th full window, as an array."""
+
+    def transform(batches):
+        for batch in batches:
+            powers = power_spectrum(np.array([w.as_py() for w in batch.column("window")], float)) if batch.num_rows else []
+            columns = [batch.column("joint_id"), batch.column("seq"), pa.array(list(powers), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["joint_id", "seq", "power"])
+
+    windows = sliding_windows(table, signal, size, step, chunk_rows)
+    return windows.mapInArrow(transform, "joint_id string, seq long, power array<double>")
+
+
 def extract_features(
     table: SignalTable,
     size: int = WINDOW,

@@ -107,6 +107,42 @@ def test_lof_matches_brute_force(spark, block):
         assert np.allclose(got[got.joint_id == joint].value, want), joint
 
 
+def test_lof_blocks_meet_near_blocks_only(spark, monkeypatch):
+    """On clusters the number of compared points must grow far less than with the square of all points."""
+    compared = {}
+    for n in (10, 40):
+        rng = np.random.default_rng(5)
+        centres = rng.normal(size=(n, 8)) * 100
+        x = (centres[:, None, :] + rng.normal(size=(n, 64, 8))).reshape(-1, 8)
+        df = spark.createDataFrame([("hot", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+        pairs = spark.sparkContext.accumulator(0)
+        real = lof.nearest
+
+        def counting(q, p, k, power, real=real, pairs=pairs):
+            pairs.add(q.num_rows * p.num_rows)
+            return real(q, p, k, power)
+
+        monkeypatch.setattr(lof, "nearest", counting)
+        got = lof.outlier_factors(df, 6, block_points=32).orderBy("seq").toPandas()
+        monkeypatch.setattr(lof, "nearest", real)
+        assert np.allclose(got.value, brute_lof(x, 6))
+        compared[n] = pairs.value
+    assert compared[40] < 8 * compared[10] and compared[40] < 0.25 * (40 * 64) ** 2
+
+
+@pytest.mark.parametrize("metric,power", [("chebyshev", np.inf), ("manhattan", 1)])
+def test_lof_metrics(spark, metric, power):
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    d = np.linalg.norm(x[:, None] - x[None], ord=power, axis=-1)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    nd = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(nd, nd[:, -1][near]).mean(1) + 1e-10)
+    got = lof.outlier_factors(df, 5, metric, block_points=13).orderBy("seq").toPandas()
+    assert np.allclose(got.value, -lrd[near].mean(1) / lrd)
+
+
 def test_lof_with_many_copies(spark):
     """A third of the rows is one point; all copies get the same factor, and nothing is dropped."""
     rng = np.random.default_rng(2)

@@ -1,10 +1,11 @@
 """Exact local outlier factor per joint (Breunig, Kriegel, Ng and Sander, 2000).
 
-Equal points are kept once with their number of copies. Points are ranked by norm and cut into
-blocks of fixed size; two blocks meet only if the gap between their norms does not exceed the
-neighbour distance already found inside the block, since norms differ by at most the distance. A
-task compares two blocks and returns the k nearest per point, never the pairs. The work is still
-quadratic when norms do not separate the blocks, as for any exact method in high dimension.
+Equal points are kept once with their number of copies. Every joint has some pivots, far from each other; a point's
+distances to them bound its distance to any other point from below. Points are sorted by their nearest pivot and the distance to
+it, and cut into blocks of fixed size. A block first finds the neighbours inside itself. Then it meets the blocks that
+could hold nearer ones by the pivot distances, and only with the points for which that is so. A
+task compares two blocks and returns the k nearest per point, never the pairs. Where the pivots do not tell
+blocks apart, as in one cloud of many dimensions, the work stays quadratic, as for any exact method.
 """
 
 from __future__ import annotations
@@ -14,24 +15,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import carried, label_below, matrix, renewed
+from tribospark.operators.detect.common import carried, label_below, matrix, renewed, with_models
 from tribospark.operators.ordering import number_rows
 from tribospark.session import materialise
 
 BLOCK_POINTS = 2_048
-METRICS = {"minkowski": 2, "euclidean": 2, "l2": 2, "manhattan": 1, "cityblock": 1, "l1": 1}
+PIVOTS = 16
+#: Points that a joint's pivots are chosen from, at most about.
+PIVOT_SAMPLE = 256
+#: Blocks of a joint that one task compares with all its others.
+SPANS_PER_TASK = 256
+METRICS = {"minkowski": 2, "euclidean": 2, "l2": 2, "manhattan": 1, "cityblock": 1, "l1": 1, "chebyshev": np.inf}
 SMOOTHING = 1e-10
 EDGE_SCHEMA = "joint_id string, point long, neighbour long, distance double, copies long"
 
 
-def distances(a: np.ndarray, b: np.ndarray, power: int) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray, power: float) -> np.ndarray:
+    # Difference form row by row: exact zeros for equal points, no cancellation.
     if power == 1:
         return np.stack([np.abs(b - row).sum(axis=1) for row in a])
-    # Difference form row by row: exact zeros for equal points, no cancellation.
+    if power == np.inf:
+        return np.stack([np.abs(b - row).max(axis=1, initial=0.0) for row in a])
     return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
 
 
-def nearest(queries: pa.Table, points: pa.Table, k: int, power: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def far_apart(x: np.ndarray, power: float) -> np.ndarray:
+    """PIVOTS of the rows at most: each next one is the farthest from those chosen."""
+    chosen = [0]
+    apart = distances(x[:1], x, power)[0]
+    while len(chosen) < min(PIVOTS, len(x)) and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, distances(x[chosen[-1:]], x, power)[0])
+    return x[chosen]
+
+
+def nearest(queries: pa.Table, points: pa.Table, k: int, power: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query: (neighbour ids, distances, copies) of just enough nearest points to make k."""
     d = distances(matrix(queries["x"]), matrix(points["x"]), power)
     ids, copies = points["point"].to_numpy(), points["copies"].to_numpy()
@@ -49,28 +67,44 @@ def nearest(queries: pa.Table, points: pa.Table, k: int, power: int) -> list[tup
     return out
 
 
-def neighbour_edges(points: DataFrame, k: int, power: int, block_points: int) -> DataFrame:
+def pivot_distances(points: DataFrame, power: float) -> DataFrame:
+    """The points with ``d``, their distances to PIVOTS pivots of their joint (the last one repeats if there are fewer)."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        pivots = far_apart(matrix(table.sort_by("point")["x"]), power)
+        pivots = np.concatenate([pivots, np.repeat(pivots[-1:], PIVOTS - len(pivots), axis=0)])
+        return pa.table({"joint_id": table["joint_id"][:1], "pivots": pa.array([pivots.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    sizes = points.groupBy("joint_id").agg(F.count("*").alias("n"))
+    share = F.shiftrightunsigned(F.xxhash64("joint_id", "point"), 11) / float(2**53)
+    first = points.groupBy("joint_id").agg(F.min("point").alias("first"))  # so that every joint has one at least
+    sample = points.join(sizes, "joint_id").join(first, "joint_id").where((share < PIVOT_SAMPLE / F.col("n")) | (F.col("point") == F.col("first")))
+    models = materialise(sample.select("joint_id", "point", "x").groupBy("joint_id").applyInArrow(choose, "joint_id string, pivots array<array<double>>"))
+
+    def measure(model: dict, table: pa.Table) -> pa.Table:
+        d = distances(matrix(table["x"]), np.asarray(model["pivots"]), power)
+        return table.append_column("d", pa.array(list(d), pa.list_(pa.float64())))
+
+    rows = points.withColumn("seq", F.col("point")).select("joint_id", "seq", "point", "copies", "x")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", d array<double>"
+    return with_models(rows, models, measure, schema).drop("seq")
+
+
+def _gap(low: str, high: str, other_low: str, other_high: str) -> F.Column:
+    """The most by which two boxes of pivot distances are apart; no two points in them are nearer."""
+    below = F.zip_with(other_low, high, lambda x, y: x - y)
+    above = F.zip_with(low, other_high, lambda x, y: x - y)
+    return F.array_max(F.zip_with(below, above, lambda x, y: F.greatest(x, y)))
+
+
+def neighbour_edges(points: DataFrame, k: int, power: float, block_points: int) -> DataFrame:
     """(joint, point) -> its k nearest neighbours with multiplicities."""
-    ranked = number_rows(points, ["joint_id"], ["norm", "point"], "place")
-    blocks = materialise(ranked.withColumn("block", F.floor(F.col("place") / block_points)).drop("place"))
-
-    def inner_bound(table: pa.Table) -> pa.Table:
-        found = [d[-1] if w.sum() >= k else np.inf for _, d, w in nearest(table, table, k, power)]
-        norms = table["norm"].to_numpy()
-        return pa.table({"joint_id": table["joint_id"][:1], "block": table["block"][:1], "lo": [norms.min()],
-                         "hi": [norms.max()], "bound": [float(max(found))]})
-
-    spans = materialise(blocks.groupBy("joint_id", "block").applyInArrow(
-        inner_bound, "joint_id string, block long, lo double, hi double, bound double"))
-    slack = 1 + 1e-9
-    near = (
-        (F.col("a.joint_id") == F.col("b.joint_id"))
-        & (F.col("b.lo") - F.col("a.hi") <= F.col("a.bound") * slack)
-        & (F.col("a.lo") - F.col("b.hi") <= F.col("a.bound") * slack)
-    )
-    meetings = spans.alias("a").join(spans.alias("b"), near).select("a.joint_id", F.col("a.block").alias("left"), F.col("b.block").alias("right"))
-    queries = blocks.withColumnRenamed("block", "left").join(meetings, ["joint_id", "left"])
-    others = renewed(blocks.withColumnRenamed("block", "right").join(meetings, ["joint_id", "right"]))
+    measured = pivot_distances(points, power)
+    near = F.array_min("d")
+    measured = measured.withColumns({"near": near, "home": F.array_position("d", near)})
+    ranked = number_rows(measured, ["joint_id"], ["home", "near", "point"], "place")
+    blocks = materialise(ranked.withColumn("block", F.floor(F.col("place") / block_points)).drop("place", "home", "near"))
 
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
         found = nearest(q, p, k, power)
@@ -83,7 +117,26 @@ def neighbour_edges(points: DataFrame, k: int, power: int, block_points: int) ->
             "distance": pa.array(np.concatenate([empty, *[d for _, d, _ in found]])),
             "copies": pa.array(np.concatenate([empty, *[w for _, _, w in found]]).astype(np.int64))})
 
-    edges = queries.groupBy("joint_id", "left", "right").cogroup(others.groupBy("joint_id", "left", "right")).applyInArrow(meet, EDGE_SCHEMA)
+    inside = materialise(blocks.groupBy("joint_id", "block").applyInArrow(lambda t: meet(t, t), EDGE_SCHEMA))
+    enough = F.when(F.sum("copies") >= k, F.max("distance"))
+    bounds = inside.groupBy("joint_id", "point").agg(enough.alias("bound"))
+    # the bound is widened by more than the rounding error of the distances it is compared with
+    wide = F.coalesce(F.col("bound"), F.lit(float("inf"))) * (1 + 1e-9) + 1e-9 * F.array_max("d")
+    bounded = materialise(blocks.join(bounds, ["joint_id", "point"], "left").withColumn("bound", wide))
+    edge = lambda f: F.array(*[f(F.get("d", F.lit(i))) for i in range(PIVOTS)])
+    spans = materialise(bounded.groupBy("joint_id", "block").agg(edge(F.min).alias("lo"), edge(F.max).alias("hi"), F.max("bound").alias("bound")))
+    # a joint of very many blocks is met by several tasks, each with all its blocks on one side and some on the other
+    tasks = spans.groupBy("joint_id").agg(F.ceil(F.count("*") / SPANS_PER_TASK).alias("tasks"))
+    left = spans.join(tasks, "joint_id").withColumn("task", F.pmod("block", "tasks")).alias("a")
+    right = spans.join(tasks, "joint_id").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).alias("b")
+    same = (F.col("a.joint_id") == F.col("b.joint_id")) & (F.col("a.task") == F.col("b.task")) & (F.col("a.block") != F.col("b.block"))
+    meetings = left.join(right, same).where(_gap("a.lo", "a.hi", "b.lo", "b.hi") <= F.col("a.bound")).select(
+        "a.joint_id", F.col("a.block").alias("left"), F.col("b.block").alias("right"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
+    queries = bounded.withColumnRenamed("block", "left").join(meetings, ["joint_id", "left"])
+    queries = queries.where(_gap("d", "d", "lo", "hi") <= F.col("bound")).drop("d", "bound", "lo", "hi")
+    others = blocks.drop("d").withColumnRenamed("block", "right").join(queries.select("joint_id", "left", "right").distinct(), ["joint_id", "right"])
+    edges = queries.groupBy("joint_id", "left", "right").cogroup(renewed(others).groupBy("joint_id", "left", "right")).applyInArrow(meet, EDGE_SCHEMA)
+    edges = inside.unionByName(edges)
     before = Window.partitionBy("joint_id", "point").orderBy("distance", "neighbour").rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("_have", F.coalesce(F.sum("copies").over(before), F.lit(0))).filter(F.col("_have") < k)
     return edges.withColumn("copies", F.least(F.col("copies"), k - F.col("_have"))).drop("_have")
@@ -94,10 +147,9 @@ def outlier_factors(rows: DataFrame, k: int = 20, metric: str = "minkowski", blo
     if metric not in METRICS:
         raise ValueError(f"unsupported metric {metric!r}; use one of {sorted(METRICS)}")
     power = METRICS[metric]
-    size = F.aggregate("x", F.lit(0.0), lambda s, v: s + (F.abs(v) if power == 1 else v * v))
     rows = rows.select("joint_id", "seq", "x")
     points = rows.groupBy("joint_id", "x").agg(F.min("seq").alias("point"), F.count("*").alias("copies"))
-    points = materialise(points.withColumn("norm", size if power == 1 else F.sqrt(size)))
+    points = materialise(points)
     edges = materialise(neighbour_edges(points, k, power, block_points))
     reach = edges.groupBy("joint_id", "point").agg(F.max("distance").alias("k_distance"))
     by_neighbour = reach.select("joint_id", F.col("point").alias("neighbour"), F.col("k_distance").alias("_kd"))

@@ -117,26 +117,32 @@ def successors(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("next.doc_id").alias("next_id"), "need")
 
 
+def _key(doc_id: Column) -> Column:
+    """The id as text that is never null, so that joins on it keep the partitioning by it."""
+    return F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit(""))
+
+
 def edited(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited, entries, edited_entries, next_entries): one row for each document.
+    """(doc_id, n_chars, edited, entries, edited_entries, next_id, next_entries): one row for each document.
 
     ``edited`` is the text whose last floor(n / 2) code points are replaced by the first as many, or all,
     of the next document by descending doc_id, after the last the first. A null text counts as empty.
     Rows of one doc_id share the next document; if that id has several rows, the smallest text is taken.
     A null doc_id comes last. Other columns are ignored.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", text.alias("text")).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
-    links = materialise(successors(rows.select("doc_id", "half")))
-    # one shuffle of the texts by id serves both as the documents and as those that follow another
-    dealt = rows.withColumn("entries", signature(F.col("text"))).repartition("doc_id")
-    to = links.select(F.col("doc_id").alias("to_id"), "next_id", "need")
-    prefix = F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("entries").alias("next_entries"))
-    given = dealt.join(to, dealt["doc_id"].eqNullSafe(to["next_id"])).select("to_id", prefix.alias("given"))
+    text, half = F.coalesce("text", F.lit("")), lambda t: F.floor(F.length(t) / 2).cast("int")
+    rows = documents.select("doc_id", text.alias("text"))
+    links = materialise(successors(rows.select("doc_id", half("text").alias("half"))))
+    # One shuffle of the texts by key serves both sides, as documents and as those that follow another;
+    # for that both read the same columns.
+    dealt = rows.select(_key(F.col("doc_id")).alias("key"), "doc_id", "text", signature(F.col("text")).alias("entries")).repartition("key")
+    to = links.select(_key(F.col("next_id")).alias("key"), _key(F.col("doc_id")).alias("to"), "need")
+    given = F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("doc_id").alias("next_id"), F.col("entries").alias("next_entries"))
+    given = dealt.join(to, "key").select(F.col("to").alias("key"), given.alias("given"))
     if rows.count() > links.count():  # repeated ids only: one text for each
-        given = given.groupBy("to_id").agg(F.min("given").alias("given"))
-    both = dealt.join(given, dealt["doc_id"].eqNullSafe(given["to_id"]))
-    keep = F.substring("text", F.lit(1), F.length("text") - F.col("half"))
-    new = F.concat(keep, F.substring("given.prefix", F.lit(1), F.col("half")))
-    made = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), new.alias("edited"), "entries", "given.next_entries")
+        given = given.groupBy("key").agg(F.min("given").alias("given"))
+    both = dealt.join(given, "key")
+    keep = F.substring("text", F.lit(1), F.length("text") - half("text"))
+    new = F.concat(keep, F.substring("given.prefix", F.lit(1), half("text")))
+    made = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), new.alias("edited"), "entries", "given.next_id", "given.next_entries")
     return made.withColumn("edited_entries", signature(F.col("edited")))

@@ -97,6 +97,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_minhash.hex_of(F.col("edited_entries")).alias("edited_fingerprint"),
         order_minhash.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
         order_minhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
+        "next_id",
     )
 
 

@@ -244,6 +244,25 @@ DIST = """mo AS (SELECT joint_id, count(*) AS n, avg((rx + ry + rz + rv) / 4) AS
     FROM mo JOIN hd USING (joint_id))"""
 
 
+def distance_by(kind, keep, rename=None):
+    """The same motion as another kind of signal."""
+
+    def make(spark, d):
+        scored_ = line_scored(spark, d)
+        names = [c for c in scored_.columns if c.endswith(keep)] if keep else []
+        rows = scored_.select("joint_id", *[F.col(c).alias(c.replace("accelerometer", rename) if rename else c) for c in names])
+        out = wear.motion_summary(rows).join(merged(spark, d), "joint_id")
+        return out.select("joint_id", "kind", F.round(wear.sliding_distance(RATE_HZ), 6).alias("sliding_distance")).where(F.col("kind") == kind)
+
+    return make
+
+
+def distance_sql(kind, level, s):
+    return f"""WITH {SCORED}, {CATALOGUE}, {PARAMS}, mo AS (SELECT joint_id, count(*) AS n, {level} AS level FROM sc GROUP BY joint_id)
+  SELECT mo.joint_id, '{kind}' AS kind, round(CASE WHEN pr.sliding_velocity IS NOT NULL THEN pr.sliding_velocity * 0.05 * n ELSE {s} END, 6) AS sliding_distance
+  FROM mo JOIN pr USING (joint_id)"""
+
+
 def physics(spark, d):
     scored = line_scored(spark, d)
     return wear.physics_wear(wear.anomaly_rates(scored), wear.mean_energy(scored), scored, merged(spark, d), catalogue(spark, d), RATE_HZ)
@@ -403,6 +422,9 @@ QUERIES = {
     "wear_effective_k": (k_effective, f"{PHYSICS} SELECT joint_id, round(k, 8) AS k_eff FROM wr"),
     "wear_hardness_lookup": (hardness, f"WITH {CATALOGUE}, {PARAMS}, {HARD} SELECT joint_id, material, h AS hardness FROM hd"),
     "wear_sliding_distance": (distance, f"{PHYSICS} SELECT joint_id, round(s, 6) AS sliding_distance FROM ds"),
+    "wear_sliding_distance_gyroscope": (distance_by("gyroscope", "_rms", "gyroscope"), distance_sql("gyroscope", "avg((rx + ry + rz + rv) / 4)", "level * joint_radius * 0.05 * n")),
+    "wear_sliding_distance_energy": (distance_by("energy", "magnitude_energy"), distance_sql("energy", "avg(energy)", "sqrt(level) * joint_radius * 0.01")),
+    "wear_sliding_distance_none": (distance_by("none", None), distance_sql("none", "NULL", "1.0")),
     "wear_archard_volume": (volume_only, f"SELECT l_linenumber, {R('sum(1e-4::DOUBLE * l_quantity * l_extendedprice / 1000 / CASE WHEN l_linenumber = 1 THEN 600 ELSE l_suppkey + 100 END)')} AS volume "
                             "FROM lineitem GROUP BY l_linenumber"),
     "wear_physics": (physics_view, f"{PHYSICS} SELECT joint_id, {R('anomaly_rate')} AS anomaly_rate, {R('signal_energy')} AS signal_energy, load_force, round(s, 6) AS sliding_distance, h AS hardness, "

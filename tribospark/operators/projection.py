@@ -40,11 +40,9 @@ def project_wear(wear: DataFrame, horizon: int = 100, step: int = 5) -> DataFram
 
 def project_materials(wear: DataFrame, materials: DataFrame, baseline: Column, horizon: int = 100, step: int = 5) -> DataFrame:
     """The same for every joint with every given material; its coefficient scales the rate."""
-    # A scenario set is a handful of materials: carried as one array value, not as a join.
-    chosen = materials.agg(F.sort_array(F.collect_list(F.struct("material_name", "wear_coefficient")))).scalar()
-    both = _relative_rate(wear).withColumns({"_baseline": baseline, "_chosen": chosen})
-    both = both.withColumn("_m", F.explode("_chosen")).withColumns(
-        {"material_name": F.col("_m.material_name"), "_coefficient": F.col("_m.wear_coefficient")})
+    # every joint with every material is what is asked for; the optimiser sizes both sides
+    chosen = materials.select("material_name", F.col("wear_coefficient").alias("_coefficient"))
+    both = _relative_rate(wear).withColumn("_baseline", baseline).crossJoin(chosen)
     rate = F.col("_share") * F.coalesce(F.try_divide(F.col("_coefficient"), F.col("_baseline")), F.lit(1.0))
     return _points(both, rate, horizon, step).select("joint_id", "time", "projected_wear", "material_name")
 

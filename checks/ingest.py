@@ -97,6 +97,29 @@ def profile(spark, d):
     return rounded(out, ["min_val", "max_val", "mean_val", "std_val", "q1", "q3"])
 
 
+def profile_sketch(spark, d):
+    """The sketch form: what is exact in it as it is, distinct counts and quartile ranks against the table within their errors."""
+    lines = table(spark, d, "lineitem").select(*LINE_TYPES)
+    out = quality.profile_columns(lines, exact=False).select("column", "missing_count", "unique_count", r("min_val").alias("min_val"), r("max_val").alias("max_val"), r("mean_val").alias("mean_val"), "q1", "q3")
+    true = lines.agg(*[F.count_distinct(c).alias(c) for c in LINE_TYPES]).unpivot([], list(LINE_TYPES), "column", "_distinct")
+    marks = {row["column"]: (row["q1"], row["q3"]) for row in out.collect()}
+    ranks = [F.struct(F.lit(c).alias("column"), *[F.avg((F.col(c) <= q).cast("double")).alias(n) for n, q in zip(("_r1", "_r3"), marks[c])],
+                      *[F.avg((F.col(c) < q).cast("double")).alias(n) for n, q in zip(("_l1", "_l3"), marks[c])]) for c in NUMERIC]
+    ranks = lines.agg(F.array(*ranks).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    both = out.join(true, "column").join(ranks, "column", "left")
+    near = (F.col("_l1") <= 0.251) & (F.col("_r1") >= 0.249) & (F.col("_l3") <= 0.751) & (F.col("_r3") >= 0.749)
+    return both.select("column", "missing_count", "min_val", "max_val", "mean_val",
+                       (F.abs(F.col("unique_count") - F.col("_distinct")) <= 0.08 * F.col("_distinct") + 1).alias("distinct_near"), F.coalesce(near, F.lit(True)).alias("quartiles_near"))
+
+
+def _sketch_sql():
+    parts = []
+    for c in LINE_TYPES:
+        stats = ", ".join(R(f"{f}(CAST({c} AS DOUBLE))") for f in ("min", "max", "avg")) if c in NUMERIC else ", ".join(["CAST(NULL AS DOUBLE)"] * 3)
+        parts.append(f"SELECT '{c}', count(*) - count({c}), {stats}, true, true FROM lineitem")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS p(\"column\", missing_count, min_val, max_val, mean_val, distinct_near, quartiles_near)"
+
+
 def _profile_sql():
     parts = []
     for c, kind in LINE_TYPES.items():
@@ -286,6 +309,7 @@ QUERIES = {
     "quality_duplicates": (duplicates, """SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority
         FROM orders)) AS duplicate_rows FROM orders"""),
     "quality_column_profile": (profile, _profile_sql()),
+    "quality_column_profile_sketch": (profile_sketch, _sketch_sql()),
     "quality_outliers": (outliers, "SELECT c AS \"column\", CAST(CASE WHEN c = 'value' THEN (SELECT count(*) FROM events, (SELECT quantile_cont(value, 0.25) AS a, "
                          "quantile_cont(value, 0.75) AS b FROM events) WHERE value < a - 3 * (b - a) OR value > b + 3 * (b - a)) ELSE 0 END AS BIGINT) AS outlier_count "
                          "FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props')) AS v(c)"),

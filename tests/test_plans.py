@@ -27,7 +27,7 @@ def test_csv_to_wear(spark, tmp_path):
     assert all(abs(w["anomaly_rate"] - 0.1) < 0.01 and w["hardness"] == 700.0 for w in wear.values())
     assert [r["material_name"] for r in result.ranked.collect()] == ["Film", "Hardened Steel"]
     assert result.trajectories.count() == 63 and result.scenarios.count() == 63 * 3 and result.timeline.count() == 200
-    assert result.reports["importance"].count() == 20
+    assert result.reports["importance"].count() == result.reports["model"].first()["n_features_used"] == 56
 
 
 def test_single_joint_is_split_and_selection_applies(spark):
@@ -39,3 +39,15 @@ def test_single_joint_is_split_and_selection_applies(spark):
     assert features.columns == ["joint_id", "seq", "timestamp", "vibration_vib_rms"]
     assert {r["joint_id"]: r["count"] for r in features.groupBy("joint_id").count().collect()} == {
         "base": 21, "shoulder": 21, "elbow": 21, "wrist_1": 21, "wrist_2": 21, "wrist_3": 25}
+
+
+def test_scope_drops_its_tables(spark):
+    from pathlib import Path
+
+    from tribospark.session import materialise, scratch_root, scratch_scope
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    kept = materialise(spark.range(3))
+    with scratch_scope(spark):
+        assert materialise(spark.range(5)).count() == 5 and len(list(root.glob("scope-*/*"))) == 1
+    assert not list(root.glob("scope-*")) and kept.count() == 3 and materialise(spark.range(2)).count() == 2

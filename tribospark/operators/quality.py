@@ -34,6 +34,10 @@ def epoch_divisor(reference: Column) -> Column:
     return F.when(size > 1e17, 1e9).when(size > 1e14, 1e6).when(size > 1e11, 1e3).otherwise(1.0)
 
 
+#: Of the sketches: relative error of distinct counts, and one over the error of a quartile's rank.
+SKETCH_ERROR, SKETCH_ACCURACY = 0.02, 10_000
+
+
 def _numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
@@ -72,53 +76,43 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: type, missing and distinct counts; for numeric columns also the moments,
     quartiles and outliers outside the 3-IQR fences.
 
-    ``exact=False`` replaces distinct counts and quartiles by mergeable sketches, which removes the
-    shuffle of cell values.
+    The exact form reads the table once: distinct cells with their number of copies are counted, and all else
+    follows from those. ``exact=False`` replaces distinct counts and quartiles by mergeable sketches, which removes
+    the shuffle of cell values and reads the table twice (the second time for the outliers).
     """
     numeric, columns, types = _numeric_columns(df), df.columns, dict(df.dtypes)
     frame = df.sparkSession.createDataFrame(
         [(i, c, types[c]) for i, c in enumerate(columns)], "position int, column string, dtype string")
     totals = materialise(df.agg(F.count("*").alias("total_rows")))
+    cells = _cells(df, columns, set(numeric))
+    value, copies = F.col("value"), F.col("copies")
     if exact:
-        cells = _cells(df, columns, set(numeric))
         counted = materialise(cells.groupBy("column", "whole", "value", "text").agg(F.count("*").alias("copies")))
-        cells = counted.groupBy("column").agg(F.sum("copies").alias("_present"), F.count("*").alias("unique_count"))
+        present = counted.groupBy("column").agg(
+            F.sum(copies).alias("_present"), F.count("*").alias("unique_count"), F.min(value).alias("min_val"), F.max(value).alias("max_val"),
+            (F.sum(value * copies) / F.sum(F.when(value.isNotNull(), copies))).alias("mean_val"))
         quartiles = exact_quantiles(counted, ["column"], "value", [0.25, 0.75], "quartiles", weight="copies")
     else:
-        cells = _cells(df, columns, set(numeric)).groupBy("column").agg(
-            F.count("*").alias("_present"), F.approx_count_distinct(F.coalesce(F.col("value").cast("string"), "text")).alias("unique_count"))
-        quartiles = _cells(df, numeric, set(numeric)).groupBy("column").agg(F.percentile_approx("value", [0.25, 0.75]).alias("quartiles"))
-    # One row per value of a numeric column: a wide aggregate over many columns outgrows the JIT compiler.
-    names = F.array(*[F.lit(c) for c in numeric])
-    long = df.select(F.posexplode(F.array(*[_value(c) for c in numeric])).alias("i", "v")) if numeric else None
-    stats = frame.withColumn("total_rows", totals.select("total_rows").scalar()).join(cells, "column", "left").join(quartiles, "column", "left")
-    if numeric:
-        moments = long.groupBy("i").agg(F.min("v").alias("min_val"), F.max("v").alias("max_val"), F.avg("v").alias("mean_val"),
-                                        F.stddev_samp("v").alias("std_val"))
-        stats = stats.join(moments.withColumn("column", names[F.col("i")]).drop("i"), "column", "left")
-    else:
-        stats = stats.withColumns({c: F.lit(None).cast("double") for c in ("min_val", "max_val", "mean_val", "std_val")})
+        counted = cells.withColumn("copies", F.lit(1).cast("long"))
+        text = F.coalesce(F.col("whole").cast("string"), value.cast("string"), "text")
+        present = cells.groupBy("column").agg(
+            F.count("*").alias("_present"), F.approx_count_distinct(text, SKETCH_ERROR).alias("unique_count"), F.min(value).alias("min_val"),
+            F.max(value).alias("max_val"), F.avg(value).alias("mean_val"), F.percentile_approx(value, [0.25, 0.75], SKETCH_ACCURACY).alias("quartiles"))
+        present, quartiles = present.drop("quartiles"), present.select("column", "quartiles")
+    stats = frame.withColumn("total_rows", totals.select("total_rows").scalar()).join(present, "column", "left").join(quartiles, "column", "left")
     stats = stats.fillna(0, ["unique_count", "_present"]).withColumn("missing_count", F.col("total_rows") - F.col("_present"))
-    stats = materialise(stats)
     stats = stats.withColumns({"q1": F.col("quartiles")[0], "q3": F.col("quartiles")[1]}).drop("quartiles")
-    fences = {
-        r["column"]: (r["q1"] - IQR_FACTOR * (r["q3"] - r["q1"]), r["q3"] + IQR_FACTOR * (r["q3"] - r["q1"]))
-        for r in stats.filter(
-            (F.col("total_rows") - F.col("missing_count") >= MIN_OUTLIER_ROWS) & (F.col("q3") - F.col("q1") >= 1e-12)
-        ).select("column", "q1", "q3").collect()
-    }
-    # One fence pair per column is schema-sized metadata; the count is one more scan, no shuffle.
-    counts = [
-        F.struct(F.lit(name).alias("column"), (
-            F.count_if((_value(name) < fences[name][0]) | (_value(name) > fences[name][1]))
-            if name in fences else F.lit(0).cast("long")).alias("outlier_count"))
-        for name in columns
-    ]
-    outliers = df.agg(F.count("*"), F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    stats = materialise(stats)  # one row for each column
+    spread = F.col("q3") - F.col("q1")
+    fenced = (F.col("_present") >= MIN_OUTLIER_ROWS) & (spread >= 1e-12)
+    out = fenced & ((value < F.col("q1") - IQR_FACTOR * spread) | (value > F.col("q3") + IQR_FACTOR * spread))
+    around = counted.where(value.isNotNull()).join(stats.select("column", "mean_val", "q1", "q3", "_present"), "column").groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum(copies * (value - F.col("mean_val")) * (value - F.col("mean_val"))), F.sum(copies) - 1)).alias("std_val"),
+        F.sum(F.when(out, copies).otherwise(0)).alias("outlier_count"))
     missing_pct = F.round(F.try_divide(F.col("missing_count"), F.col("total_rows")) * 100, 2)
-    return stats.join(outliers, "column").select(
+    return stats.join(around, "column", "left").select(
         "position", "column", "dtype", "missing_count", F.coalesce(missing_pct, F.lit(0.0)).alias("missing_pct"),
-        "unique_count", "min_val", "max_val", "mean_val", "std_val", "q1", "q3", "outlier_count", "total_rows",
+        "unique_count", "min_val", "max_val", "mean_val", "std_val", "q1", "q3", F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"), "total_rows",
     )
 
 

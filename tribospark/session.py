@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session setting with the folder, below the scratch root, that intermediate tables go to.
+SCOPE = "tribospark.scratch.scope"
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     return (
@@ -41,6 +47,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; results must be written or collected before.
+
+    Without a scope the tables are left to the retention rules of the scratch folder.
+    """
+    outer, folder = spark.conf.get(SCOPE, "tables"), f"scope-{uuid.uuid4().hex}"
+    spark.conf.set(SCOPE, folder)
+    try:
+        yield
+    finally:
+        spark.conf.set(SCOPE, outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{folder}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
@@ -49,7 +71,7 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     tables become broadcast joins only while they are small enough.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{spark.conf.get(SCOPE, 'tables')}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -55,7 +55,7 @@ def main() -> None:
     run("evaluate_distribution", lambda: evaluation.score_distribution(scored))
     run("evaluate_histogram", lambda: evaluation.score_histogram(scored))
     run("evaluate_importance", lambda: evaluation.correlation_importance(scored))
-    run("evaluate_silhouette", lambda: evaluation.silhouette(evaluation.cluster_sample(scored, names)))
+    run("evaluate_silhouette", lambda: evaluation.silhouette(evaluation.cluster_points(scored, names)))
     parts = catalogue(spark, sf_dir)
     run("wear_physics", lambda: wear.physics_wear(
         wear.anomaly_rates(scored), wear.mean_energy(scored), scored,

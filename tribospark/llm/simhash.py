@@ -162,26 +162,27 @@ def linked(cells: DataFrame, radius: int) -> DataFrame:
         return pd.DataFrame(ends, dtype=object)
 
     def compare_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by cell: each cell lies in consecutive rows."""
+        """Rows sorted by cell. Whole cells are put together to about a block, as any close pair in it is a link."""
         cell, rows = None, []
         for batch in batches:
             for c, fp in zip(batch.column("cell").to_pylist(), batch.column("fp").to_pylist()):
-                if c != cell:
-                    yield from small_cell(rows)
-                    cell, rows = c, []
+                if c != cell and len(rows) >= BLOCK:
+                    yield from cells_together(rows)
+                    rows = []
+                cell = c
                 rows.append(fp)
-        yield from small_cell(rows)
+        yield from cells_together(rows)
 
-    def small_cell(rows: list) -> Iterator[pa.RecordBatch]:
+    def cells_together(rows: list) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
-        words = np.array(rows, dtype=np.int64).view(np.uint64)
-        a, b = close_pairs(words, words, radius)
-        at = forest(len(rows), a, b)
-        moved = np.nonzero(at != np.arange(len(rows)))[0]
+        words = np.unique(np.array(rows, dtype=np.int64), axis=0)
+        a, b = close_pairs(words.view(np.uint64), words.view(np.uint64), radius)
+        at = forest(len(words), a, b)
+        moved = np.nonzero(at != np.arange(len(words)))[0]
         if len(moved):
             kind = pa.list_(pa.int64())
-            ends = [pa.array([rows[k] for k in moved], kind), pa.array([rows[k] for k in at[moved]], kind)]
+            ends = [pa.array(list(words[moved]), kind), pa.array(list(words[at[moved]]), kind)]
             yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     kind = "a array<bigint>, b array<bigint>"

@@ -40,8 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of what they decode to."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, keep_text=False)
-    return bpe.decode(encoded, vocabulary).select(
+    docs = docs.select("doc_id", "lang", "source", "text")
+    return bpe.encode(docs, vocabulary, keep_text=False, decoded="decoded").select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

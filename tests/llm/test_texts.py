@@ -141,16 +141,21 @@ def tokenizer(vocabulary):
     return bpe.Tokenizer(vocabulary)
 
 
+@pytest.fixture(scope="module")
+def speller(vocabulary):
+    return bpe.Speller(vocabulary)
+
+
 PARTS = ["a", "in", "the", "ing", "er", "th", "z", "!", "'", "'s", "é", "é", "日", "😀", "ß", " ", "\n", "0", "½", "ﬁ", "<|endoftext|>", "..", "<|startoftext|>", "İ", "Σ", "\x1c", "\x00", "\x7f", "​", "힣"]
 
 
 @given(st.lists(st.sampled_from(PARTS), max_size=120).map("".join))
 @settings(max_examples=300, deadline=None)
-def test_ids_and_decoding_as_the_library(tokenizer, library, text):
+def test_ids_and_decoding_as_the_library(tokenizer, speller, library, text):
     want = library.encode(text, add_special_tokens=False).ids
     got = np.frombuffer(tokenizer.encode(text), np.int32)
     assert got.tolist() == want
-    assert tokenizer.decode_tokens(pa.array(got)).decode() == library.decode(want, skip_special_tokens=False)
+    assert speller.decode_tokens(pa.array(got)).decode() == library.decode(want, skip_special_tokens=False)
 
 
 @given(st.text(alphabet="abeinorst", min_size=400, max_size=1500))
@@ -170,9 +175,9 @@ def test_long_pieces(tokenizer, library):
         assert np.frombuffer(tokenizer.encode(piece), np.int32).tolist() == library.encode(piece, add_special_tokens=False).ids
 
 
-def test_text_decoding_joins_split_characters(tokenizer, vocabulary):
+def test_text_decoding_joins_split_characters(tokenizer, speller):
     ids = np.frombuffer(tokenizer.encode("日本語 naïve 😀!"), np.int32).tolist()
-    parts = list(bpe.decode_text(tokenizer, ids))
+    parts = list(bpe.decode_text(speller, ids))
     assert "".join(parts) == "日本語 naïve 😀 ! ".replace("😀 !", "😀!") and all("�" not in p for p in parts)
     stream = bpe.Utf8Stream()
     assert stream.feed("é".encode()[:1]) == "" and stream.feed("é".encode()[1:]) == "é" and stream.feed(b"\xe6\x97") + stream.finish() == "�"
@@ -186,6 +191,10 @@ def test_encode_and_decode_tables(spark, vocabulary, library):
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False)
     assert bpe.decode(bpe.encode(empty(spark), vocabulary), vocabulary).count() == 0
+    both = bpe.encode(df, vocabulary, keep_text=False, decoded="score")
+    assert both.columns == ["doc_id", "entries", "ids", "score"]
+    apart = bpe.decode(encoded, vocabulary).select("doc_id", "entries", "ids", F.col("decoded").alias("score"))
+    assert both.exceptAll(apart).isEmpty() and both.count() == df.count()
     words = bpe.decode(encoded.where("doc_id = 6"), vocabulary, words=True).first()["decoded"]
     assert words == "日本 語 "
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")

@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and neighbour tests that a worker remembers, at most.
-PIECES, NEIGHBOURS = 300_000, 500_000
+#: Pieces in each of the two generations that a worker remembers, and neighbour tests, at most.
+PIECES, NEIGHBOURS = 150_000, 150_000
 #: Texts encoded into one result batch, which bounds a task's memory.
 ROWS = 500
 END = "</w>"
@@ -85,6 +85,7 @@ class Merges:
             self.birth.setdefault(made, rank)
         self.size = {i: len(t.removesuffix(END)) for t, i in self.ids.items()}
         self.longest = max(self.size.values())
+        self.reach, self.reach_end = self._reach("", END), self._reach(END, "")
         self.right = {i: self._spine(i, 1) for i in self.ids.values()}
         self.left = {i: self._spine(i, 0) for i in self.ids.values()}
         self.lookahead = self._lookahead()
@@ -98,6 +99,16 @@ class Merges:
             out.append((token, ends))
         return out
 
+    def _reach(self, end: str, other: str) -> dict[str, int]:
+        """For the last three symbols of a token, with or without a word end, the length of the longest such token."""
+        out: dict[str, int] = {}
+        for token in self.ids:
+            if token.endswith(end) and not (other and token.endswith(other)):
+                plain = token.removesuffix(END) if end else token
+                if len(plain) > 2:
+                    out[plain[-3:]] = max(out.get(plain[-3:], 0), len(plain))
+        return out
+
     def _lookahead(self) -> int:
         """Symbols to the right that can still change a token's end.
 
@@ -192,10 +203,14 @@ def encode_window(symbols: str, merges: Merges) -> list[int]:
     """A piece no longer than the lookahead: the same transducer, all given back at its end."""
     n = len(symbols)
     last, start = [-1] * (n + 1), [0] * (n + 1)
-    ids, known, longest = merges.ids, merges.known, merges.longest
+    ids, known, reach = merges.ids, merges.known, merges.reach
     for at in range(1, n + 1):
-        for begin in range(max(0, at - longest), at):
-            token = ids.get(symbols[begin:at] if at < n else symbols[begin:] + END)
+        if at == n:
+            symbols, reach = symbols + END, merges.reach_end
+        stop = at if at < n else len(symbols)
+        first = at - reach.get(symbols[at - 3 : at], 2) if at > 2 else 0
+        for begin in range(first if first > 0 else 0, at):
+            token = ids.get(symbols[begin:stop])
             if token is None:
                 continue
             before = last[begin]
@@ -223,15 +238,20 @@ def encode_piece(piece: str, merges: Merges) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids, as bytes, of pieces met before; starts anew when full, so it takes bounded memory."""
+    """Ids, as bytes, of pieces met before. When full it becomes the older generation, from which pieces
+    that are met again come back, so frequent ones stay in bounded memory."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(encode_piece(piece, self.merges), np.int32).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(encode_piece(piece, self.merges), np.int32).tobytes()
         if len(self) >= PIECES:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -246,11 +266,6 @@ class Tokenizer:
         self.special = regex.compile("(" + "|".join(names) + ")") if names else None
         self.special_ids = {name: np.array([at], np.int32).tobytes() for name, at in vocabulary.specials}
         self.names = vocabulary.specials
-        self.token_bytes = pa.array([t.encode() + b" " for t in vocabulary.tokens], pa.large_binary())
-        self.spelled = [
-            t.encode() if t in self.special_ids else b"".join(FROM_LETTERS[c] for c in t.removesuffix(END)) + b" " * t.endswith(END)
-            for t in vocabulary.tokens
-        ]
 
     def _plain(self, text: str) -> bytes:
         """Composed, lower-cased letter by letter (a final sigma like any other), cut into pieces."""
@@ -263,6 +278,18 @@ class Tokenizer:
             return self._plain(text)
         return b"".join(self.special_ids.get(part) or self._plain(part) for part in self.special.split(text))
 
+
+class Speller:
+    """What ids stand for; needs no merges."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        special = {name for name, _ in vocabulary.specials}
+        self.token_bytes = pa.array([t.encode() + b" " for t in vocabulary.tokens], pa.large_binary())
+        self.spelled = [
+            t.encode() if t in special else b"".join(FROM_LETTERS[c] for c in t.removesuffix(END)) + b" " * t.endswith(END)
+            for t in vocabulary.tokens
+        ]
+
     def decode_tokens(self, ids: pa.Array) -> bytes:
         """The tokens themselves with a space between them, as a decoder without rules joins them."""
         taken = pc.take(self.token_bytes, ids)
@@ -288,48 +315,63 @@ class Utf8Stream:
         return self.machine.decode(b"", final=True)
 
 
-def decode_text(tokenizer: Tokenizer, ids: Iterable[int]) -> Iterator[str]:
+def decode_text(speller: Speller, ids: Iterable[int]) -> Iterator[str]:
     """Text of a stream of ids, piece by piece; a token may end inside a character."""
     stream = Utf8Stream()
-    for data in tokenizer.decode_bytes(ids):
+    for data in speller.decode_bytes(ids):
         if part := stream.feed(data):
             yield part
     if part := stream.finish():
         yield part
 
 
-_READY: dict[str, Tokenizer] = {}
+def decode_ids(speller: Speller, ids: pa.Array, words: bool) -> str:
+    if words:
+        return "".join(decode_text(speller, ids.to_pylist()))
+    stream = Utf8Stream()
+    return stream.feed(speller.decode_tokens(ids)) + stream.finish()
+
 
+_READY: dict[tuple[type, str], object] = {}
 
-def tokenizer_of(vocabulary: Vocabulary) -> Tokenizer:
-    """One tokenizer for each Python worker and vocabulary."""
-    if vocabulary.digest not in _READY:
-        _READY[vocabulary.digest] = Tokenizer(vocabulary)
-    return _READY[vocabulary.digest]
 
+def ready(kind: type, vocabulary: Vocabulary):
+    """One tokenizer or speller for each Python worker and vocabulary."""
+    key = (kind, vocabulary.digest)
+    if key not in _READY:
+        _READY[key] = kind(vocabulary)
+    return _READY[key]
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+
+def encode(
+    documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None
+) -> DataFrame:
     """The columns of ``documents`` and ``ids`` array<int>; a null text counts as empty, which has no ids.
 
-    A column of ``documents`` named as ``ids`` is replaced; the text is left out unless ``keep_text``.
+    A column of ``documents`` named as ``ids`` or ``decoded`` is replaced; the text is left out unless ``keep_text``. With
+    ``decoded`` the ids are decoded again in the same pass, as ``decode`` does it.
     """
-    kept = [f for f in documents.schema.fields if f.name != ids and (keep_text or f.name != text)]
+    added = [ids] + [decoded] * bool(decoded)
+    kept = [f for f in documents.schema.fields if f.name not in added and (keep_text or f.name != text)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(vocabulary)
+        tokenizer = ready(Tokenizer, vocabulary)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 rows = [tokenizer.encode(t.as_py() or "") for t in batch.column("__text")]
                 ends = np.cumsum([0, *map(len, rows)]) // 4
                 values = pa.array(np.frombuffer(b"".join(rows), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                columns = [*(batch.column(f.name) for f in kept), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), ids])
+                columns = [*(batch.column(f.name) for f in kept), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+                if decoded:
+                    speller = ready(Speller, vocabulary)
+                    spans = zip(ends[:-1].tolist(), ends[1:].tolist())
+                    columns.append(pa.array([decode_ids(speller, values.slice(a, b - a), False) for a, b in spans], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    source = documents.select(*[f"`{f.name}`" for f in kept], F.col(text).alias("__text"))
-    return source.mapInArrow(make, f"{schema}, `{ids}` array<int>")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    source = documents.select(*[f"`{f.name}`" for f in kept], F.col(f"`{text}`").alias("__text"))
+    return source.mapInArrow(make, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded", words: bool = False) -> DataFrame:
@@ -341,20 +383,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded
     kept = [f for f in encoded.schema.fields if f.name != decoded]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(vocabulary)
+        speller = ready(Speller, vocabulary)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                texts = []
-                for value in batch.column(ids):
-                    own = value.values if value.is_valid else pa.array([], pa.int32())
-                    if words:
-                        texts.append("".join(decode_text(tokenizer, own.to_pylist())))
-                    else:
-                        stream = Utf8Stream()
-                        texts.append(stream.feed(tokenizer.decode_tokens(own)) + stream.finish())
-                columns = [*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), decoded])
+                lists = (v.values if v.is_valid else pa.array([], pa.int32()) for v in batch.column(ids))
+                texts = pa.array([decode_ids(speller, own, words) for own in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), texts], names=[*(f.name for f in kept), decoded])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return encoded.mapInArrow(make, f"{schema}, `{decoded}` string")

@@ -28,9 +28,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str = "") -> DataFrame:
     """Ids of every document and their decoding, as digests."""
     vocabulary = bpe.read_vocabulary(path or public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep_text=False)
-    decoded = bpe.decode(encoded, vocabulary)
-    return decoded.select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(documents, vocabulary, keep_text=False, decoded="decoded").select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -128,7 +128,7 @@ def test_links_order_errors_and_json(spark):
     assert linked(spark, [], []).count() == 0
 
 
-def test_levels_are_longest_chains(spark):
+def test_levels_are_longest_chains(spark, monkeypatch):
     rng = np.random.default_rng(6)
     calls, want = [], {}
     for conv in range(6):
@@ -136,8 +136,14 @@ def test_levels_are_longest_chains(spark):
         for i in range(12):
             want[conv, f"c{i}"] = max((want[conv, f"c{j}"] + 1 for j in needs[i]), default=0)
             calls.append((conv, f"c{i}", [f"c{j}" for j in needs[i]]))
+    for i in range(300):  # a long chain, and one that branches now and then
+        calls += [(7, f"c{i}", [f"c{i - 1}"] if i else []), (8, f"c{i}", [f"c{j}" for j in {i - 1, i - 2 if i % 60 == 0 else i - 1} if j >= 0])]
+        want[7, f"c{i}"] = want[8, f"c{i}"] = i
     df = spark.createDataFrame(calls, "conv_id int, call_id string, needs array<string>")
+    written = []
+    monkeypatch.setattr(tool_calls, "materialise", lambda frame, real=materialise: written.append(1) or real(frame))
     assert {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(df).collect()} == want
+    assert len(written) < 70  # two tables a round: far fewer rounds than the chains have calls
 
 
 def test_canonical_json():

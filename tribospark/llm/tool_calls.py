@@ -75,28 +75,40 @@ def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the length of the longest chain of calls that a call waits for.
 
     ``calls`` has conv_id, call_id, needs array<string>. Needs that no call of the conversation answers are left
-    out. Each round places the calls all of whose needs are placed, so there are as many rounds as the longest
-    chain has calls. Calls on a circle, or behind one, get no row.
+    out. An open call has a row (need, dist, level) for each call it waits for: its own level is at least ``level``, and at least
+    ``dist`` above that of the need. Each round settles the calls whose needs are all placed; then rows that wait for a
+    call with one need only are moved on to that one. So chains are halved, and the rounds are about the logarithm of
+    the longest chain, and one for each branching on it. Calls on a circle, or behind one, get no row.
     """
     key = ["conv_id", "call_id"]
     named = calls.select("conv_id", F.col("call_id").alias("need"))
     wants = calls.select(*key, F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
-    open_ = materialise(wants.join(named, ["conv_id", "need"]).select(*key, "need").withColumn("level", F.lit(0)))
-    waiting = open_.select(*key).distinct()
-    placed = materialise(calls.select(*key).join(waiting, key, "left_anti").withColumn("level", F.lit(0)))
+    wants = wants.join(named, ["conv_id", "need"]).select(*key, "need", F.lit(1).alias("dist"), F.lit(0).alias("level"))
+    open_ = materialise(wants)
+    placed = materialise(calls.select(*key).join(open_.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
     rounds = [placed]
     while not placed.isEmpty():
-        # needs just placed leave their level behind; a call is ready when none of its needs is still open
         done = placed.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at"))
+        met = F.col("at").isNotNull()
         open_ = materialise(
             open_.join(done, ["conv_id", "need"], "left").select(
-                *key, F.when(F.col("at").isNull(), F.col("need")).alias("need"), F.greatest("level", F.coalesce(F.col("at") + 1, F.lit(0))).alias("level")
+                *key, F.when(~met, F.col("need")).alias("need"), "dist",
+                F.when(met, F.greatest("level", F.col("at") + F.col("dist"))).otherwise(F.col("level")).alias("level"),
             )
+        )
+        state = open_.groupBy(*key).agg(
+            F.count("need").alias("open"), F.max("level").alias("level"), F.max("need").alias("via"), F.max(F.when(F.col("need").isNotNull(), F.col("dist"))).alias("via_dist")
         )
-        ready = open_.groupBy(*key).agg(F.count("need").alias("open"), F.max("level").alias("level")).where("open = 0")
-        placed = materialise(ready.select(*key, "level"))
-        open_ = open_.join(placed.select(*key), key, "left_anti")
+        state = materialise(state)
+        placed = state.where("open = 0").select(*key, "level")
         rounds.append(placed)
+        single = state.where("open = 1").select("conv_id", F.col("call_id").alias("need"), "via", "via_dist", F.col("level").alias("via_level"))
+        rest = open_.join(placed.select(*key), key, "left_anti").join(single, ["conv_id", "need"], "left")
+        moved = F.col("via").isNotNull()
+        open_ = rest.select(
+            *key, F.coalesce("via", "need").alias("need"), F.when(moved, F.col("dist") + F.col("via_dist")).otherwise(F.col("dist")).alias("dist"),
+            F.when(moved, F.greatest("level", F.col("via_level") + F.col("dist"))).otherwise(F.col("level")).alias("level"),
+        )
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

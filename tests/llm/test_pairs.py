@@ -166,3 +166,53 @@ def test_recall_on_the_given_vectors(spark):
     want = {r["vec_id"]: int(n) - 1 for r, n in zip(rows, (x @ x.T >= 0.95).sum(axis=1))}
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
     assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
+# --- near-copies by the exact similarity -------------------------------------------------------
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_all_pairs(texts, least=0.8):
+    """Smallest id of each group whose links are the pairs of a five-word Jaccard similarity of ``least`` or more."""
+    sets, holders, links = {i: five_words(t) for i, t in texts.items()}, {}, []
+    for i in sorted(sets):
+        common = {}
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                common[j] = common.get(j, 0) + 1
+            holders[s].append(i)
+        links += [(j, i) for j, n in common.items() if n / (len(sets[i]) + len(sets[j]) - n) >= least]
+    empty_ids = sorted(i for i in sets if not sets[i])
+    return set(roots(sets, links + [(empty_ids[0], i) for i in empty_ids[1:]]).values())
+
+
+def test_near_copies_on_both_sides_of_the_threshold(spark):
+    """Pairs just above, at and just below 0.8, short sets, and a copy whose second half is repeated."""
+    texts, far = {}, 1000
+    for k in range(60):  # n - 4 shingles; a changed last word ends one of them, so d changed at the end cost d
+        words = [f"w{k}x{i}" for i in range(94)]  # 90 shingles
+        d = (9, 10, 11, 12)[k % 4]  # (90 - d) / (90 + d): 0.818, 0.8, 0.782, 0.765
+        texts[k], texts[far + k] = " ".join(words), " ".join(words[:-d] + [f"o{k}x{i}" for i in range(d)])
+    for k in range(100, 140):
+        words = [f"s{k}x{i}" for i in range(9)]  # 5 shingles, and 4 of them: 0.8
+        texts[k], texts[far + k] = " ".join(words), " ".join(words[:-1])
+    for k in range(140, 160):
+        words = [f"r{k}x{i}" for i in range(200)]  # a half repeated six times has four new shingles
+        texts[k], texts[far + k] = " ".join(words), " ".join(words[:100] + words[100:] * 6)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_each(df).select("doc_id").collect()}
+    assert got == kept_by_all_pairs(texts) and len(got) == len(texts) - 30 - 40 - 20
+
+
+def test_near_copies_of_the_documents(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = kept_by_all_pairs(texts)
+    assert len(want) < len(texts)
+    for block in (2048, 2):  # in one block, and over many
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r["doc_id"] for r in simhash.one_of_each(docs).select("doc_id").collect()} == want
+        docs = docs.where("doc_id < 100")
+        want = kept_by_all_pairs({i: t for i, t in texts.items() if i < 100})

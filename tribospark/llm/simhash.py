@@ -3,13 +3,15 @@
 Any pair within the radius meets in a cell. With ``pigeonhole`` cells that is certain: the bits are
 split into radius + m parts, and two fingerprints that differ in ``radius`` bits agree in m of them.
 With ``minwise`` cells (for wide radii, where no such split is selective) it is as likely as the
-documents' shingles are alike. Cells are cut into blocks of a fixed size, so a hot cell is many tasks.
+documents' shingles are alike; what they find are candidates, and ``alike`` compares the shingle sets.
+Cells are cut into blocks of a fixed size, so a hot cell is many tasks.
 A block pair returns a spanning forest of its links, never the pairs themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import accumulate, combinations
 from math import acos, comb, pi
 
@@ -29,6 +31,10 @@ from tribospark.session import materialise
 BLOCK = 2048
 #: Shingles whose bits are summed at once, which bounds a task's memory for very long texts.
 SUM_ROWS = 65536
+#: Characters of the texts of a block whose shingle sets are compared.
+BLOCK_CHARS = 1 << 23
+#: Sets whose common shingles are counted at once.
+RUN = 256
 SEED = 42
 
 
@@ -75,9 +81,16 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1, bands: int = 0, rows: int = 5) -> DataFrame:
+def set_digest(hashes: np.ndarray) -> np.ndarray:
+    """Two words that stand for a set of hashes (sorted, without repeats)."""
+    return np.frombuffer(blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8")
+
+
+def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1, bands: int = 0, rows: int = 4, sets: bool = False) -> DataFrame:
     """(doc_id, fp array<long>, keys array<long>): one row for each document.
 
+    With ``sets`` a repeated shingle counts once, and fp ends with two more words, a digest of the shingle set.
+
     A null text counts as empty; a text without words has the fingerprint zero. Other columns are
     ignored. Only doc_id and text are read.
     """
@@ -87,15 +100,25 @@ def fingerprints(documents: DataFrame, words: int = 3, lanes: int = 1, bands: in
             fps, keys = [], []
             for text in byte_values(batch.column("text")):
                 hashes = shingle_hashes(text, words)
-                fps.append(simhash(hashes, lanes).view(np.int64))
-                keys.append(band_keys(np.unique(hashes), bands, rows).view(np.int64))
+                own = np.unique(hashes)
+                fp = simhash(own if sets else hashes, lanes).view(np.int64)
+                fps.append(np.concatenate([fp, set_digest(own)]) if sets else fp)
+                keys.append(band_keys(own, bands, rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "keys"],
+                [batch.column("doc_id"), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), *map(batch.column, extra)],
+                names=["doc_id", "fp", "keys", *extra],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp array<bigint>, keys array<bigint>")
+    schema, columns, extra = f"doc_id {kind}, fp array<bigint>, keys array<bigint>", ["doc_id", "text"], []
+    if sets:  # what finds the text again
+        schema, extra = f"{schema}, text_key bigint, chars bigint", ["text_key", "chars"]
+        columns += [text_key().alias("text_key"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars")]
+    return documents.select(*columns).mapInArrow(make, schema)
+
+
+def text_key() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def pigeonhole_cells(prints: DataFrame, radius: int, n: int) -> DataFrame:
@@ -129,8 +152,8 @@ def minwise_cells(prints: DataFrame) -> DataFrame:
     return prints.select("fp", key).select("fp", F.xxhash64("band", "key").alias("cell")).distinct()
 
 
-def linked(cells: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links that span, for each pair of blocks of a cell, all fingerprints within ``radius``.
+def linked(cells: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+    """(a, b) links that span, for each pair of blocks of a cell, all fingerprints within ``radius`` in their first ``lanes`` words.
 
     Cells are cut into ceil(size / BLOCK) blocks by a hash of the fingerprint. Small cells travel
     together: the tasks group by a bucket of cells, and compare within each cell.
@@ -154,7 +177,7 @@ def linked(cells: DataFrame, radius: int) -> DataFrame:
         words = np.array(frame["fp"].tolist(), dtype=np.int64).view(np.uint64)
         i, j, own = int(frame["i"].iloc[0]), int(frame["j"].iloc[0]), frame["own"].to_numpy()
         left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-        a, b = close_pairs(words[left], words[right], radius)
+        a, b = close_pairs(words[left, :lanes], words[right, :lanes], radius)
         a, b = left[a], right[b]
         at = forest(len(words), a, b)
         moved = np.nonzero(at != np.arange(len(words)))[0]
@@ -177,7 +200,8 @@ def linked(cells: DataFrame, radius: int) -> DataFrame:
         if len(rows) < 2:
             return
         words = np.unique(np.array(rows, dtype=np.int64), axis=0)
-        a, b = close_pairs(words.view(np.uint64), words.view(np.uint64), radius)
+        heads = words[:, :lanes].view(np.uint64)
+        a, b = close_pairs(heads, heads, radius)
         at = forest(len(words), a, b)
         moved = np.nonzero(at != np.arange(len(words)))[0]
         if len(moved):
@@ -197,7 +221,120 @@ def linked(cells: DataFrame, radius: int) -> DataFrame:
     return large.unionByName(small)
 
 
-def groups(prints: DataFrame, radius: int, minwise: bool = False) -> DataFrame:
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Smallest position reachable from each set over those pairs (a, b) whose Jaccard similarity is at least ``similarity``.
+
+    ``sets`` hold sorted hashes without repeats. Pairs that links already join are not counted out.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(sets))
+    low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    able = (a != b) & (low > 0) & (low >= similarity * high - 1e-6)  # the common part is the smaller set at most
+    a, b = np.minimum(a, b)[able], np.maximum(a, b)[able]
+    if not len(a):
+        return root
+    used = np.unique(np.concatenate([a, b]))
+    values, ids = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    parts = dict(zip(used.tolist(), np.split(ids.astype(np.int32), np.cumsum(sizes[used])[:-1])))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    starts = np.nonzero(np.r_[True, a[1:] != a[:-1]])[0]
+    seen = np.zeros(len(values), bool)
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+        i = int(a[start])
+        seen[parts[i]] = True
+        for at in range(start, end, RUN):
+            others = np.unique(b[at : min(at + RUN, end)])
+            others = others[root[others] != root[i]]
+            if len(others):
+                edges = np.r_[0, np.cumsum(sizes[others])[:-1]]
+                common = np.add.reduceat(seen[np.concatenate([parts[j] for j in others.tolist()])].astype(np.int64), edges)
+                met = others[common / (sizes[others] + sizes[i] - common) >= similarity]
+                if len(met):
+                    trees = np.unique(root[[i, *met.tolist()]])
+                    root[np.isin(root, trees)] = trees[0]
+        seen[parts[i]] = False
+    return root
+
+
+def alike_links(texts: DataFrame, radius: int, lanes: int, words: int, similarity: float) -> DataFrame:
+    """(a, b) links that span all fingerprints of a candidate group whose shingle sets have this Jaccard similarity.
+
+    ``texts``: group, fp, text, n (blocks of the group). As in ``linked``, groups are cut into blocks, small groups travel
+    together, and only pairs within ``radius`` are compared. A block has about BLOCK fingerprints and BLOCK_CHARS characters at most; texts are bytes.
+    """
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    large = texts.where("n > 1").withColumn("own", own).withColumn("other", other)
+    large = large.select("group", "fp", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def found(fps: list, texts: list, own: list | None = None, i: int = 0, j: int = 0) -> Iterator[pa.RecordBatch]:
+        fp, first = np.unique(np.array(fps, dtype=np.int64), axis=0, return_index=True)
+        heads = np.ascontiguousarray(fp[:, :lanes]).view(np.uint64)
+        place = np.zeros(len(fp), int) if own is None else np.array(own)[first]
+        left, right = np.nonzero(place == i)[0], np.nonzero(place == j)[0]
+        if len(fp) < 2 or not len(left) or not len(right):
+            return
+        a, b = close_pairs(heads[left], heads[right], radius)
+        a, b = left[a], right[b]
+        needed = np.zeros(len(fp), bool)
+        needed[a[a != b]] = needed[b[a != b]] = True
+        none = np.zeros(0, np.uint64)
+        sets = [np.unique(shingle_hashes(texts[k], words)) if need else none for k, need in zip(first, needed)]
+        at = alike(sets, a, b, similarity)
+        moved = np.nonzero(at != np.arange(len(fp)))[0]
+        if len(moved):
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(fp[moved]), kind), pa.array(list(fp[at[moved]]), kind)], names=["a", "b"])
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        ends = {"a": [], "b": []}
+        for batch in found(frame["fp"].tolist(), frame["text"].tolist(), frame["own"].tolist(), i, j):
+            ends = {n: batch.column(n).to_pylist() for n in ends}
+        return pd.DataFrame(ends, dtype=object)
+
+    def compare_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, fps, texts, chars = None, [], [], 0
+        for batch in batches:
+            for g, fp, text in zip(batch.column("group"), batch.column("fp"), batch.column("text")):
+                g = g.as_py()
+                if g != group and (len(fps) >= BLOCK or chars >= BLOCK_CHARS):
+                    yield from found(fps, texts)
+                    fps, texts, chars = [], [], 0
+                group, text = g, text.as_py()
+                fps.append(fp.as_py())
+                texts.append(text)
+                chars += len(text)
+        if fps:
+            yield from found(fps, texts)
+
+    kind = "a array<bigint>, b array<bigint>"
+    small = texts.where("n = 1").select("group", "fp", "text").repartition("group").sortWithinPartitions("group")
+    return large.groupBy("group", "i", "j").applyInPandas(compare, kind).unionByName(small.mapInArrow(compare_many, kind))
+
+
+def alike_groups(documents: DataFrame, words: int, similarity: float, lanes: int, bands: int, rows: int, radius: int) -> DataFrame:
+    """(doc_id, fp, component_id): one row for each document; documents link if their shingle sets have this Jaccard similarity.
+
+    Fingerprints within ``radius`` that share a band are candidates only. Each group that candidates connect is compared
+    by its texts, which travel once for each block of the group. Equal shingle sets are compared once.
+    """
+    prints = materialise(fingerprints(documents, words, lanes, bands, rows, sets=True))
+    rep = F.min(F.struct("doc_id", "text_key", "chars")).alias("rep")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), rep))
+    near = materialise(components(linked(minwise_cells(prints), radius, lanes)).withColumnRenamed("node", "fp"))
+    members = near.join(distinct.select("fp", "rep.*"), "fp").withColumn("group", F.xxhash64("component"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("count"), F.sum("chars").alias("all"))
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("all") / BLOCK_CHARS, F.lit(1.0))).cast("int")
+    members = materialise(members.join(sizes, "group").select("group", "fp", F.col("doc_id").alias("id"), "text_key", blocks.alias("n")))
+    there = documents.select(F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), text_key().alias("key"))
+    same = there["doc_id"].eqNullSafe(members["id"]) & (there["key"] == members["text_key"])
+    texts = there.join(members, same).select("group", "fp", "text", "n")
+    return named(prints, distinct, components(alike_links(texts, radius, lanes, words, similarity)))
+
+
+def groups(prints: DataFrame, radius: int) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``prints``.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id that
@@ -205,15 +342,18 @@ def groups(prints: DataFrame, radius: int, minwise: bool = False) -> DataFrame:
     """
     prints = materialise(prints)
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    cells = minwise_cells(prints) if minwise else pigeonhole_cells(distinct, radius, distinct.count())
-    links = components(linked(cells, radius))
-    named = (
+    return named(prints, distinct, components(linked(pigeonhole_cells(distinct, radius, distinct.count()), radius)))
+
+
+def named(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``prints``: the smallest doc_id of all that ``links`` (node, component) put together."""
+    known = (
         distinct.select("fp", "least")
         .join(links.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))
     )
-    low = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = named.join(low, "component").select("fp", "component_id")
+    low = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = known.join(low, "component").select("fp", "component_id")
     return prints.select("doc_id", "fp").join(found, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -223,20 +363,24 @@ def hex_print(fp) -> F.Column:
 
 
 def radius_of(similarity: float, lanes: int) -> int:
-    """Differing bits, of ``lanes`` words, below which 5 in 6 pairs of shingle sets of this Jaccard similarity lie."""
-    share = acos(2 * similarity / (1 + similarity)) / pi
+    """Differing bits, of ``lanes`` words, that hold all but some 1 in 10^5 pairs of shingle sets of this Jaccard similarity.
+
+    Sets of equal size are the farthest. Small sets differ by more than the angle says (4 against 5 shingles in 3 bits of 16),
+    hence a quarter on top of the angle, and 4.5 standard deviations.
+    """
+    share = 1.25 * acos(2 * similarity / (1 + similarity)) / pi
     bits = lanes * 64
-    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return round(bits * share + 4.5 * (bits * share * (1 - share)) ** 0.5)
 
 
-def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bands: int = 20) -> DataFrame:
+def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, bands: int = 25) -> DataFrame:
     """The documents without near-copies: of each group the one with the smallest doc_id, all columns as they were.
 
-    Documents are near if their fingerprints of ``lanes`` words are as near as this Jaccard similarity of
-    ``words``-word shingles makes likely. Rows of one doc_id are one document: the smallest text stays. Rows without a
-    doc_id stay.
+    Documents are near if the sets of their ``words``-word shingles have at least this Jaccard similarity. Pairs are found by
+    bands of minima and a wide radius of fingerprints, which together lose about 1 pair in 10^5 at the similarity itself, and
+    decided by their sets. Rows of one doc_id are one document: the smallest text stays. Rows without a doc_id stay.
     """
-    found = materialise(groups(fingerprints(documents, words, lanes, bands), radius_of(similarity, lanes), minwise=True))
+    found = materialise(alike_groups(documents, words, similarity, lanes, bands, 4, radius_of(similarity, lanes)))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     stay = documents.join(gone, "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():

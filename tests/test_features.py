@@ -170,3 +170,21 @@ def test_selection(series):
     profile = {r["name"]: r for r in selection.profile_features(steady.select("joint_id", "still", "accelerometer_x_jerk")).collect()}
     assert profile["still"]["n_unique"] == 1 and profile["still"]["pct_zero"] == 0 and profile["accelerometer_x_jerk"]["pct_zero"] > 0
     assert selection.category_counts(selection.profile_features(matrix)).filter("category = 'statistical'").first()["features"] == 33
+
+
+def test_registered_spectra_of_every_window(spark):
+    """One query has the power of all windows, each as by a plain transform."""
+    from checks import features as registered
+    from checks.fixtures import event_series
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r["joint_id"], r["seq"], r["bin"]): r["power"] for r in registered.QUERIES["features_spectrum_bins_all"][0](spark, sf).collect()}
+    series = {}
+    for r in event_series(spark, sf).rows.orderBy("joint_id", "seq").collect():
+        series.setdefault(r["joint_id"], []).append(r["vibration"])
+    want = {}
+    for joint, values in series.items():
+        for seq in range(49, len(values)):
+            for bin_, power in enumerate(np.abs(np.fft.rfft(values[seq - 49 : seq + 1])) ** 2):
+                want[joint, seq, bin_] = power
+    assert set(got) == set(want) and all(abs(got[k] - w) <= 1e-4 + 1e-9 * w for k, w in want.items())

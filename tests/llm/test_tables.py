@@ -169,6 +169,19 @@ def test_op4_conversations(spark):
         assert r["valid"] == (1 <= len(text) <= (200 if name == "configure" else 300) and len(text.split(" ")) <= 60)
 
 
+def test_op4_keeps_every_turn(spark):
+    """A turn without a role, repeated turns and an answer to nothing each have their text in the result."""
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "reply"), (1, 2, None, "no role"), (1, 4, "user", "twice b"), (1, 4, "user", "twice a"),
+            (1, 4, "user", "twice a"), (1, 5, "assistant", "two"), (1, 5, "assistant", "one"), (2, 0, "assistant", "to nobody"), (None, 3, "assistant", "lost")]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = tool_calls.link(*conversation_calls(turns), CALL_SCHEMAS, every_row=True).collect()
+    texts = Counter(t for r in got for v in [json.loads(r["line"])] for t in (v.get("arguments", {}).get("text"), v["result"]) if t is not None)
+    assert texts == Counter(text for *_, text in rows)
+    errors = sorted(e for r in got if (r["conv_id"], r["call_id"]) == (1, "c4") for e in r["errors"])
+    assert errors == ["repeated call"] * 3 + ["repeated result"] * 2
+    assert {r["line"] for r in got if r["conv_id"] == 2} == {'{"id":"c-1","result":"to nobody"}'}
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 def shingles(text):
     words = text.lower().split()

@@ -52,18 +52,19 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = conversations.select("conv_id", "turn", "role", "text")
     call = lambda shift: F.concat(F.lit("c"), (F.col("turn") - shift).cast("string"))
     words = F.size(F.split("text", " ")).alias("words")
-    calls = turns.where("role <> 'assistant'").select(
+    answers = F.col("role").eqNullSafe("assistant")  # a turn without a role calls, as a user's does
+    calls = turns.where(~answers).select(
         "conv_id", call(0).alias("call_id"), "turn", F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
         F.to_json(F.struct("turn", "text", words)).alias("arguments"),
         F.when(F.col("turn") >= 2, F.array(call(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
-    results = turns.where("role = 'assistant'").select("conv_id", call(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where(answers).select("conv_id", call(1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, linked, ordered, validated and written as canonical JSON."""
-    return tool_calls.link(*conversation_calls(table(spark, sf_dir, "conversations")), CALL_SCHEMAS)
+    return tool_calls.link(*conversation_calls(table(spark, sf_dir, "conversations")), CALL_SCHEMAS, every_row=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,14 +115,28 @@ def levels(calls: DataFrame) -> DataFrame:
     return out
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def repeated(rows: DataFrame, fields: list[str], first: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of each identifier in ``first`` without the one that is there, repeats included.
+
+    Equal rows are counted with partial sums and written out again from their number, so a hot identifier is no hot group.
+    """
+    kept = first.select(*key, F.struct(*fields).alias("kept"))
+    counted = rows.groupBy(*key, *fields).agg(F.count("*").alias("times")).join(kept, key)
+    times = F.col("times") - F.col("kept").eqNullSafe(F.struct(*fields)).cast("bigint")
+    left = counted.withColumn("times", times).where("times > 0")
+    return left.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*key, *fields)
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_row: bool = False) -> DataFrame:
     """One row for each call, and for each result without a call: conv_id, call_id, turn, level, name, answered, valid, errors, line.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON), needs array<string>. ``results``: conv_id, call_id,
     turn, content. Calls and results meet in a join on (conv_id, call_id). Of several calls, or results, of one
-    identifier the first by turn counts, and the error "repeated call" or "repeated result" is added. Within a
+    identifier the first by turn counts, and the error "repeated call" or "repeated result" is added; with
+    ``every_row`` each further one has a row of its own with that error, without level and link. Within a
     conversation (level, turn, call_id) is a topological order; level is null for circles. ``line`` is the canonical
-    JSON of the call with its result (null if unanswered), and null if the arguments are no JSON. Rows with a null
+    JSON of the call with its result (null if unanswered), and null if the arguments are no JSON or there is no call; with
+    ``every_row`` it then is that of what there is (id, and name and arguments as text, or result). Rows with a null
     conv_id or call_id link with nothing and have the error "no identifier". Other columns are ignored.
     """
     key = ["conv_id", "call_id"]
@@ -133,11 +147,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     fields = F.struct("turn", "name", "arguments", "needs")
     first = calls.where(has_key).groupBy(*key).agg(F.min(fields).alias("c"), F.count("*").alias("n_calls"))
     first = materialise(first.select(*key, "c.*", "n_calls"))
+    # the others of an identifier: all rows like the first but one, and all unlike it
+    more_calls = repeated(calls.where(has_key), ["turn", "name", "arguments", "needs"], first.where("n_calls > 1"), key)
     answer = results.where(has_key).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    answer = materialise(answer)
+    more_results = repeated(results.where(has_key), ["turn", "content"], answer.where("n_results > 1").select(*key, "r.*"), key)
     linked = first.join(answer, key, "full").join(levels(first), key, "left")
-    loose = calls.where(~has_key).select("*", F.lit(1).cast("bigint").alias("n_calls")).unionByName(
-        results.where(~has_key).select(*key, "turn"), allowMissingColumns=True
-    )
+    called = F.lit(1).cast("bigint").alias("n_calls")
+    loose = calls.where(~has_key).select("*", called, F.lit("no identifier").alias("error"))
+    for part in (
+        results.where(~has_key).select("*", F.lit("no identifier").alias("error")),
+        *([more_calls.select("*", called, F.lit("repeated call").alias("error"))] if every_row else []),
+        *([more_results.select("*", F.lit("repeated result").alias("error"))] if every_row else []),
+    ):
+        loose = loose.unionByName(part, allowMissingColumns=True)
     known = F.array_distinct(F.coalesce("needs", F.array().cast("array<string>")))
     both = linked.select(
         *key, F.coalesce("turn", "r.turn").alias("turn"), "level", "name", "arguments", known.alias("needs"),
@@ -151,8 +174,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
     lost = loose.select(
         *key, "turn", F.lit(None).cast("int").alias("level"), "name", "arguments", known.alias("needs"),
-        F.col("n_calls").isNotNull().alias("called"), F.lit(False).alias("answered"), F.lit(None).cast("string").alias("content"),
-        F.array(F.lit("no identifier")).alias("errors"),
+        F.col("n_calls").isNotNull().alias("called"), F.lit(False).alias("answered"), "content",
+        F.array("error").alias("errors"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
 
@@ -161,7 +184,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             columns = {n: batch.column(n).to_pylist() for n in ("call_id", "name", "arguments", "needs", "called", "answered", "content", "errors")}
             valid, errors, lines = [], [], []
             for call_id, name, arguments, needs, called, answered, content, wrong in zip(*columns.values()):
-                line = None
+                line = None if called or not every_row else canonical({"id": call_id, "result": content})
                 if called:
                     try:
                         value = parse(arguments)
@@ -169,6 +192,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                         line = canonical({"arguments": value, "id": call_id, "name": name, "needs": needs, "result": content if answered else None})
                     except (ValueError, RecursionError):
                         wrong = wrong + ["arguments are no JSON"]
+                        if every_row:
+                            line = canonical({"arguments_text": arguments, "id": call_id, "name": name, "needs": needs, "result": content if answered else None})
                 valid.append(bool(called) and not wrong)
                 errors.append(wrong)
                 lines.append(line)

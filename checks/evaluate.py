@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import R, SCORED, catalogue, event_series, line_features, line_scored, line_series, once, r, rounded, table
+from checks.fixtures import LINE_TIES, R, SCORED, catalogue, event_series, line_features, line_scored, line_series, once, r, rounded, table
 from tribospark.operators import evaluation, presentation
+from tribospark.operators.detect import registry
 from tribospark.operators.detect.registry import ModelConfig
 from tribospark.operators.features import extract_features
 from tribospark.plans import analysis
@@ -126,9 +127,9 @@ IMPORTANCE_SQL = f"""WITH {SCORED}, c AS ({' UNION ALL '.join(f"SELECT {i} AS pl
 
 
 def permutation(spark, d):
-    features = once(spark, d, "event_pair", lambda: extract_features(event_series(spark, d), selected=["vibration_rms", "vibration_jerk"]))
-    config = ModelConfig("isolation_forest", {"contamination": 0.1, "n_estimators": 20})
-    return evaluation.permutation_importance(features, config, repeats=2)
+    """All features of the events, 100 trees and five repeats: the operators' defaults."""
+    features = once(spark, d, "event_features", lambda: extract_features(event_series(spark, d)))
+    return evaluation.permutation_importance(features, registry.with_contamination(None, 0.1))
 
 
 def permutation_planted(spark, d):
@@ -147,6 +148,13 @@ def comparison_facts(spark, d):
                     (top == F.max_by("model_id", F.col("best").cast("int"))).alias("best_is_highest"))
 
 
+def comparison_facts_all(spark, d):
+    """As ``comparison_facts``, of all detectors."""
+    rows = once(spark, d, "compared_all", lambda: comparison(spark, d, tuple(registry.MODELS)))
+    top = F.max_by("model_id", "silhouette_score")
+    return rows.agg(F.count("*").alias("models"), (top == F.max_by("model_id", F.col("best").cast("int"))).alias("best_is_highest"))
+
+
 def report_tables(spark, d):
     """Row counts of every table in the combined report."""
     parts = evaluation.diagnostics(labelled(spark, d), truth="fault")
@@ -165,15 +173,22 @@ REPORT_SQL = f"""WITH {TRUTH}, j AS (SELECT count(DISTINCT joint_id) AS j FROM s
   UNION ALL SELECT 'roc', 1 + count(*) FILTER (i = 1 OR i = k OR p2 <> p OR n2 <> n) FROM cu"""
 
 
-def comparison(spark, d):
+def comparison(spark, d, models=("isolation_forest", "local_outlier_factor")):
     options = analysis.Options(selection=None, deselected=())
     table_ = event_series(spark, d)
-    rows, best = analysis.compare_models(table_, options, ("isolation_forest", "local_outlier_factor"))
+    rows, best = analysis.compare_models(table_, options, models)
     return rows.join(best.select("model_id", F.lit(True).alias("best")), "model_id", "left").fillna(False, ["best"])
 
 
 def whole_analysis(spark, d):
-    done = analysis.analyse(line_series(spark, d), catalogue(spark, d), features=line_features(spark, d))
+    """From the table to wear: roles, quality, series, and all features of all axes."""
+    rows = table(spark, d, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("joint_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("acc_x"),
+        (F.col("l_extendedprice") / 1000).alias("acc_y"), (F.col("l_discount") * 100).alias("acc_z"), *[F.col(c).alias(f"_file_{c}") for c in LINE_TIES])
+    options = analysis.Options(selection=None, deselected=(), overrides={
+        "timestamp": "timestamp", "joint": "joint_id", "sensors": {"accelerometer": ["acc_x", "acc_y", "acc_z"]}})
+    data = analysis.ingest(rows, ["timestamp", *[f"_file_{c}" for c in LINE_TIES]], options)
+    done = analysis.analyse(data.table, catalogue(spark, d), options=options)
     return done.wear.select("joint_id", F.round("anomaly_rate", 2).alias("anomaly_rate"), "wear_index", "wear_status")
 
 
@@ -221,7 +236,8 @@ QUERIES = {
     "evaluate_permutation_planted": (permutation_planted, "SELECT 'vibration_rms' AS feature, 1.0::DOUBLE AS importance, 1::BIGINT AS rank UNION ALL SELECT 'vibration_still', 0.0, 2"),
     "evaluate_comparison_facts": (comparison_facts, "SELECT 2::BIGINT AS models, 2::BIGINT AS of_share, true AS best_is_highest"),
     "evaluate_report_tables": (report_tables, REPORT_SQL),
-    "evaluate_model_comparison": (comparison, None),
+    "evaluate_comparison_facts_all": (comparison_facts_all, "SELECT 4::BIGINT AS models, true AS best_is_highest"),
+    "evaluate_model_comparison": (lambda s, d: once(s, d, "compared_all", lambda: comparison(s, d, tuple(registry.MODELS))), None),
     "analysis_whole": (whole_analysis, None),
     "report_timeline": (timeline, TIMELINE_SQL),
     "report_timeline_from_features": (timeline_from_features, FEATURE_LINE_SQL),

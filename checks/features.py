@@ -205,6 +205,8 @@ QUERIES = {
     "features_skewness": (of_events("skewness"), moments_sql("skewness", 3, 3)),
     "features_kurtosis": (of_events("kurtosis"), moments_sql("kurtosis", 4, 4)),
     "features_statistical_all_axes": (of_lines(ALL_STATS, ["accelerometer_magnitude"]), lines_sql(ALL_STATS, "v", "accelerometer_magnitude")),
+    "features_statistical_every_axis": (of_lines(ALL_STATS, [*ACCEL, "accelerometer_magnitude"]),
+        together(*[lines_sql(ALL_STATS, c, a) for c, a in zip("xyzv", [*ACCEL, "accelerometer_magnitude"])])),
     "features_statistical_builtin": (of_lines(ALL_STATS, ["accelerometer_y"], engine="builtin"), lines_sql(ALL_STATS, "y", "accelerometer_y")),
     "features_statistical_small_chunks": (of_lines(ALL_STATS, ["accelerometer_x"], chunk_rows=512), lines_sql(ALL_STATS, "x", "accelerometer_x")),
     "features_power_spectrum": (of_events("spectral_energy", "band_energy"), spectral_sql(EVENTS, ["spectral_energy", "band_energy"])),

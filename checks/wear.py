@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import CATALOGUE, EVENTS, R, SCORED, W, catalogue, event_series, line_features, line_scored, once, r, rounded, table
+from checks.fixtures import CATALOGUE, EVENTS, R, SCORED, W, catalogue, event_series, line_features, line_scored, line_series, once, r, rounded, table
 from tribospark.operators import materials, presentation, projection, wear
 from tribospark.operators.detect import registry
 from tribospark.operators.detect.autoencoder import autoencoder, autoencoder_errors, component_errors
@@ -73,7 +73,7 @@ def svm(spark, d):
 
 def neural(spark, d):
     def make():
-        return label_errors(materialise(autoencoder_errors(event_matrix(spark, d), {"epochs": 20})), 0.1)
+        return label_errors(materialise(autoencoder_errors(event_matrix(spark, d), {"epochs": 50})), 0.1)
 
     return once(spark, d, "neural", make)
 
@@ -153,9 +153,8 @@ def scored_labels(spark, d):
 
 def detect_whole(spark, d):
     """Feature matrix with labels from the default detector at the analysis-wide share."""
-    names = ["accelerometer_magnitude_rms", "accelerometer_magnitude_energy", "accelerometer_x_rms"]
     config = registry.with_contamination(None, 0.1)
-    out = registry.detect_anomalies(line_features(spark, d), config, names)
+    out = registry.detect_anomalies(once(spark, d, "line_features_all", lambda: extract_features(line_series(spark, d))), config)
     return wear.anomaly_rates(out).select("joint_id", "total_readings", F.round("anomaly_rate", 2).alias("anomaly_rate"))
 
 

@@ -151,3 +151,35 @@ def test_timeline(spark, scored):
     thin = presentation.thinned(presentation.timeline(scored, SignalTable(raw, {"vibration": "vibration"})), points=100).orderBy("index").collect()
     assert [r["index"] for r in thin] == list(range(0, 400, 4))
     assert presentation.magnitude_column(scored.withColumn("x_magnitude_mean", F.lit(1.0))) == "x_magnitude_mean"
+
+
+def test_registered_queries_take_everything(spark, monkeypatch):
+    """All detectors, all features of all axes, and the operators' own numbers of trees, repeats and epochs."""
+    from checks import evaluate as registered
+    from checks import wear
+    from tribospark.operators.detect import registry
+
+    class Stop(Exception):
+        pass
+
+    sf, seen = "/root/testdata/sf0.001", []
+
+    def asked(*args, **options):
+        seen.append((args, options))
+        raise Stop
+
+    def first_call(where, name, query):
+        with monkeypatch.context() as patch, pytest.raises(Stop):
+            patch.setattr(where, name, asked)
+            query(spark, sf)
+        return seen.pop()
+
+    queries = {**registered.QUERIES, **wear.QUERIES}
+    (features, _), _ = first_call(registered.analysis, "detect_anomalies", queries["analysis_whole"][0])
+    assert len(features.columns) - 3 == 76
+    (_, _, models), _ = first_call(registered.analysis, "compare_models", queries["evaluate_model_comparison"][0])
+    assert set(models) == set(registry.MODELS)
+    (features, config), options = first_call(registered.evaluation, "permutation_importance", queries["evaluate_permutation_importance"][0])
+    assert len(features.columns) - 3 == 19 and config.params == {"contamination": 0.1} and options == {}
+    (_, params), _ = first_call(wear, "autoencoder_errors", queries["detect_autoencoder"][0])
+    assert params["epochs"] == 50

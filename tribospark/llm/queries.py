@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import backoff_lm, bpe, embedding_dedup, license_align, mixing, order_minhash, quality, simhash, tool_calls, toxicity
+from tribospark.llm import backoff_lm, bpe, embedding_dedup, host_rules, license_align, mixing, order_minhash, quality, simhash, tool_calls, toxicity
 from tribospark.llm.text import fold, table
 
 
@@ -113,6 +113,56 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, and whether its own text and its host (the source) pass."""
+    judged = host_rules.judge(table(spark, sf_dir, "documents"), host="source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
+#: Windows are grouped by (document, five words); rates and the prior follow host_rules.beta_prior.
+HOST_RULES_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), windows AS (
+  SELECT r, i, w[i:i+4] AS five FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY r
+), counted AS (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN covered USING (r)
+), fails AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats, 10 * n_symbols > n_words AS symbols,
+    word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length, 10 * n_dup_lines > 3 * n_lines AS dup_lines
+  FROM counted
+), rules AS (
+  UNPIVOT (SELECT host, short, repeats, symbols, word_length, dup_lines FROM fails WHERE host IS NOT NULL)
+  ON short, repeats, symbols, word_length, dup_lines INTO NAME rule VALUE fails
+), hosts AS (
+  SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(fails) AS DOUBLE) AS f FROM rules GROUP BY host, rule
+), moments AS (
+  SELECT rule, count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(f) / sum(n) AS m, sum(f * f / n) AS f2 FROM hosts GROUP BY rule
+), spread AS (
+  SELECT *, m * (1 - m) * (nn - n2 / nn - (k - 1)) AS room, f2 - nn * m * m - m * (1 - m) * (k - 1) AS excess FROM moments
+), prior AS (
+  SELECT rule, m, CASE WHEN room > 0 AND excess > 0 THEN least(greatest(room / excess - 1, 1), 1e6) ELSE 1e6 END AS strength FROM spread
+), verdicts AS (
+  SELECT host, bool_or((f + m * strength) / (n + strength) > 0.5) AS host_failed FROM hosts JOIN prior USING (rule) GROUP BY host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT coalesce(host_failed, false) AS kept, coalesce(host_failed, false) AS host_failed
+FROM fails LEFT JOIN verdicts USING (host)
+"""
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -124,4 +174,5 @@ QUERIES = {
     "op8_order_minhash": (op8_order_minhash, None),
     "op9_license_align": (op9_license_align, None),
     "op10_backoff_lm": (op10_backoff_lm, None),
+    "op12_host_rules": (op12_host_rules, HOST_RULES_SQL),
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribospark.llm import backoff_lm, bpe, embedding_dedup, host_rules, license_align, mixing, order_minhash, quality, simhash, tool_calls, toxicity
+from tribospark.llm import backoff_lm, bpe, embedding_dedup, host_rules, lexical_search, license_align, mixing, order_minhash, quality, simhash, tool_calls, toxicity, turn_alignment
 from tribospark.llm.text import fold, table
 
 
@@ -113,6 +115,32 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns as the contract damages them, by the crc32 of ``conv_id:turn``: dropped, emptied, without
+    sentence ends, repeated, or said by the user. Nulls are one space."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    role = F.when(fault == 4, "user").otherwise(spaced("role"))
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    marked = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+    return marked.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("col")
+
+
+def op11_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every damaged conversation."""
+    conversations = table(spark, sf_dir, "conversations")
+    edits, summary = turn_alignment.repair(damaged(conversations))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    texts = {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    parts = conversations.select("conv_id").distinct().select("conv_id", *[null(c, "bigint") for c in counts], *[null(c, "string") for c in texts])
+    parts = parts.unionByName(summary.select("conv_id", *counts, *[null(c, "string") for c in texts]))
+    parts = parts.unionByName(turn_alignment.digests(edits).select("conv_id", *[null(c, "bigint") for c in counts], *texts))
+    found = parts.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in (*counts, *texts)])
+    return found.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], *[F.coalesce(c, F.lit(v)).alias(c) for c, v in texts.items()])
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and whether its own text and its host (the source) pass."""
     judged = host_rules.judge(table(spark, sf_dir, "documents"), host="source")
@@ -163,6 +191,35 @@ FROM fails LEFT JOIN verdicts USING (host)
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+LEXICAL_SEARCH_SQL = r"""
+WITH tokens AS (
+  SELECT d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents)
+), asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+), lengths AS (SELECT d, count(*) AS n FROM tokens GROUP BY d
+), corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), postings AS (SELECT d, doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY d, doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM postings, corpus GROUP BY term
+), impacts AS (
+  SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact
+  FROM postings JOIN lengths USING (d) JOIN weights USING (term), corpus
+), scores AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY i, item_id, d, doc_id
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+) WHERE rank <= 50
+"""
+
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -174,5 +231,7 @@ QUERIES = {
     "op8_order_minhash": (op8_order_minhash, None),
     "op9_license_align": (op9_license_align, None),
     "op10_backoff_lm": (op10_backoff_lm, None),
+    "op11_turn_alignment": (op11_turn_alignment, None),
     "op12_host_rules": (op12_host_rules, HOST_RULES_SQL),
+    "op13_lexical_search": (op13_lexical_search, LEXICAL_SEARCH_SQL),
 }

@@ -141,6 +141,75 @@ def op11_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], *[F.coalesce(c, F.lit(v)).alias(c) for c, v in texts.items()])
 
 
+#: crc32 bit by bit; then the least (cost, audit) for each turn and last role, turn by turn.
+TURN_ALIGNMENT_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), faulted AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fault
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulted
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS kind
+  FROM damaged
+), turns AS (
+  SELECT conv_id, turn, role, text, i, kind, lag(kind) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '.' END AS fault
+  FROM placed
+), facts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count_if(fault = 'b') AS BIGINT) AS blank, CAST(count_if(fault = 'd') AS BIGINT) AS duplicate,
+    CAST(count_if(fault = 't') AS BIGINT) AS truncated, CAST(count_if(before || kind NOT IN ('su', 'ua', 'au')) AS BIGINT) AS illegal
+  FROM turns GROUP BY conv_id
+), inserts AS (
+  SELECT * FROM (VALUES ('-', 0, '-'), ('s', 0, 's'), ('u', 0, 'u'), ('a', 0, 'a'), ('-', 1, 'u'), ('s', 1, 'u'), ('u', 1, 'a'), ('a', 1, 'u'),
+    ('-', 2, 'a'), ('s', 2, 'a'), ('u', 2, 'u'), ('a', 2, 'a')) AS t(old, k, new)
+), moves AS (
+  SELECT * FROM (VALUES ('-', 's', 's'), ('-', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a'),
+    ('-', '', '-'), ('s', '', 's'), ('u', '', 'u'), ('a', '', 'a')) AS t(old, said, new)
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS state, {'cost': 0::BIGINT, 'audit': ''} AS b FROM facts
+  UNION ALL
+  SELECT turns.conv_id, turns.i, moves.new, min({
+    'cost': b.cost + 5 * k + CASE WHEN said = '' THEN 2 ELSE CASE WHEN fault = 't' THEN 5 ELSE 0 END + CASE WHEN said = kind THEN 0 ELSE 1 END END,
+    'audit': b.audit || repeat('I', k) || CASE WHEN said = '' THEN 'D' WHEN said = kind THEN 'K' ELSE 'R' END})
+  FROM best JOIN turns ON turns.conv_id IS NOT DISTINCT FROM best.conv_id AND turns.i = best.i + 1
+    JOIN inserts ON inserts.old = state JOIN moves ON moves.old = inserts.new
+  WHERE said = '' OR (fault NOT IN ('b', 'd') AND (said = kind OR said <> 's'))
+  GROUP BY turns.conv_id, turns.i, moves.new
+), repaired AS (
+  SELECT best.conv_id, min({'cost': b.cost + 5 * k, 'audit': b.audit || repeat('I', k)}) AS b
+  FROM best JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id AND facts.n = best.i JOIN inserts ON inserts.old = state
+  WHERE inserts.new IN ('-', 'a') GROUP BY best.conv_id
+), letters AS (
+  SELECT conv_id, p, b.audit[p] AS edit, length(replace(b.audit[:p], 'I', '')) AS i, length(replace(b.audit[:p], 'D', '')) AS o
+  FROM (SELECT conv_id, b, unnest(range(1, length(b.audit) + 1)) AS p FROM repaired)
+), said AS (
+  SELECT letters.*, role, text, bool_or(edit = 'K' AND kind = 's') OVER (PARTITION BY letters.conv_id) AS system
+  FROM letters LEFT JOIN turns ON turns.conv_id IS NOT DISTINCT FROM letters.conv_id AND turns.i = letters.i
+  WHERE edit <> 'D'
+), hashed AS (
+  SELECT conv_id, sha256(string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (o - CAST(system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END,
+    chr(10) ORDER BY p)) AS h
+  FROM said GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashed ON hashed.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and whether its own text and its host (the source) pass."""
     judged = host_rules.judge(table(spark, sf_dir, "documents"), host="source")
@@ -231,7 +300,7 @@ QUERIES = {
     "op8_order_minhash": (op8_order_minhash, None),
     "op9_license_align": (op9_license_align, None),
     "op10_backoff_lm": (op10_backoff_lm, None),
-    "op11_turn_alignment": (op11_turn_alignment, None),
+    "op11_turn_alignment": (op11_turn_alignment, TURN_ALIGNMENT_SQL),
     "op12_host_rules": (op12_host_rules, HOST_RULES_SQL),
     "op13_lexical_search": (op13_lexical_search, LEXICAL_SEARCH_SQL),
 }

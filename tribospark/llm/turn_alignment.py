@@ -17,7 +17,7 @@ the same as if it had been aligned in one piece.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -121,10 +121,13 @@ def align(kinds: str, faults: str, entry: int, to_come: tuple[int, ...], last: b
     must, pay = [f in "bd" for f in faults], [CUT_OFF if f == "t" else 0 for f in faults]
     gone = sum(must)
     limit = min(DELETE * n + INSERT * m + to_come[_left_by(entry, grammar_string(entry, m))] for m in range(3))
+    opens = entry == 0 and any(k == "s" and not gone_ for k, gone_ in zip(kinds, must, strict=True))
+    if opens:  # one system turn may stay
+        limit = min(limit, DELETE * (n - 1) + CUT_OFF + to_come[STATES.index("s")])
     if limit >= INF:
         return None
     targets = []
-    for system in (False, True) if entry == 0 and "s" in kinds else (False,):
+    for system in (False, True) if opens else (False,):
         for m in range(1 if system else 0, n - gone + limit // INSERT + 1):
             target = grammar_string(entry, m, system)
             left = _left_by(entry, target)
@@ -145,6 +148,13 @@ def align(kinds: str, faults: str, entry: int, to_come: tuple[int, ...], last: b
     return best
 
 
+def costs_between(kinds: str, faults: str, last: bool) -> list[int]:
+    """4 x 4 least costs of a block, by rows the state it is entered in, by columns the one it is left in."""
+    ends = [tuple(0 if x == left else INF for x in range(4)) for left in range(4)]
+    found = [align(kinds, faults, entry, end, last) for entry in range(4) for end in ends]
+    return [best[0] if best else INF for best in found]
+
+
 def cost_of(edits: list[str], faults: str) -> int:
     total = 0
     for edit, fault in zip(edits, faults, strict=True):
@@ -164,7 +174,7 @@ def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def chain(matrices: DataFrame, start: tuple[int, ...], backward: bool, fan: int = FAN) -> DataFrame:
+def chain(matrices: DataFrame, start: tuple[int, ...], backward: bool, fan: int) -> DataFrame:
     """(conv_id, at, vector): the costs with which each block is met, coming from the end or the start.
 
     ``matrices`` holds (conv_id, at, matrix) with ``at`` from 0 and 4 x 4 costs by rows. Neighbours
@@ -205,16 +215,16 @@ def chain(matrices: DataFrame, start: tuple[int, ...], backward: bool, fan: int
 
 
 # --- conversations -----------------------------------------------------------------------------
-def _numbered(turns: DataFrame, max_window_rows: int, range_rows: int) -> DataFrame:
+def _numbered(turns: DataFrame, block: int, max_window_rows: int, range_rows: int) -> DataFrame:
     """Turns in order (by turn, nulls first, then role and text), with the place of each in its conversation."""
     turns = turns.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")])
     turns = turns.withColumn("_known", F.col("turn").isNotNull())
     placed = number_rows(turns, ["conv_id"], ["_known", "turn", "role", "text"], "pos", max_window_rows, range_rows)
-    return materialise(placed.drop("_known").withColumn("block", F.floor(F.col("pos") / BLOCK).cast("bigint")))
+    return materialise(placed.drop("_known").withColumn("block", F.floor(F.col("pos") / block).cast("bigint")))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(conv_id, block, marks, firsts, ahead, more): what one block needs, of at most ``BLOCK`` turns.
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(conv_id, block, marks, firsts, ahead, more): what one block needs, of at most ``block`` turns.
 
     marks has two letters for each turn, its role and its fault by itself; firsts the places of turns
     that nothing equal goes before; ahead the role of the turn before the block; more is true if
@@ -228,9 +238,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     nothing = F.lit(None)
     own = marked.select("conv_id", "block", F.struct("pos", "mark").alias("row"), nothing.cast("bigint").alias("first"), nothing.cast("string").alias("ahead"), nothing.cast("boolean").alias("more"))
     first = rows.groupBy("conv_id", "role", F.sha2("text", 256).alias("digest")).agg(F.min("pos").alias("first"))
-    first = first.select("conv_id", F.floor(F.col("first") / BLOCK).cast("bigint").alias("block"), nothing.alias("row"), "first", nothing.alias("ahead"), nothing.alias("more"))
-    before = marked.where(F.col("pos") % BLOCK == BLOCK - 1).select("conv_id", F.col("block") + 1, nothing, nothing, F.substring("mark", 1, 1), nothing)
-    after = marked.where((F.col("pos") % BLOCK == 0) & (F.col("pos") > 0)).select("conv_id", F.col("block") - 1, nothing, nothing, nothing, F.lit(True))
+    first = first.select("conv_id", F.floor(F.col("first") / block).cast("bigint").alias("block"), nothing.alias("row"), "first", nothing.alias("ahead"), nothing.alias("more"))
+    before = marked.where(F.col("pos") % block == block - 1).select("conv_id", F.col("block") + 1, nothing, nothing, F.substring("mark", 1, 1), nothing)
+    after = marked.where((F.col("pos") % block == 0) & (F.col("pos") > 0)).select("conv_id", F.col("block") - 1, nothing, nothing, nothing, F.lit(True))
     parts = own.union(first).union(before).union(after)
     blocks = parts.groupBy("conv_id", "block").agg(
         F.sort_array(F.collect_list("row")).alias("rows"), F.collect_list("first").alias("firsts"), F.max("ahead").alias("ahead"), F.max("more").alias("more"),
@@ -239,29 +249,29 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return blocks.select("conv_id", "block", marks.alias("marks"), "firsts", "ahead", F.coalesce("more", F.lit(False)).alias("more"))
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solver(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Faults and illegal pairs of each block; edits where the conversation has one block, else costs from each state to each."""
-    for batch in batches:
-        kinds, faults, illegal, edits, matrices = [], [], [], [], []
-        for block, marks, firsts, ahead, more in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-            kind, fault, new = marks[::2], marks[1::2], {p - block * BLOCK for p in firsts}
-            fault = "".join(f if f == "b" or i in new else "d" for i, f in enumerate(fault))
-            chars = (ahead or "") + kind
-            kinds.append(kind)
-            faults.append(fault)
-            illegal.append(sum(chars[i : i + 2] not in LEGAL for i in range(len(chars) - 1)))
-            if block == 0 and not more:
-                edits.append(align(kind, fault, 0, END, True)[1])
-                matrices.append(None)
-            else:
-                edits.append(None)
-                best = [align(kind, fault, a, tuple(0 if x == b else INF for x in range(4)), not more) for a in range(4) for b in range(4)]
-                matrices.append([found[0] if found else INF for found in best])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(5), pa.array(kinds, pa.string()), pa.array(faults, pa.string()),
-             pa.array(illegal, pa.int64()), pa.array(edits, pa.list_(pa.string())), pa.array(matrices, pa.list_(pa.int64()))],
-            ["conv_id", "block", "more", "kinds", "faults", "illegal", "edits", "matrix"],
-        )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, faults, illegal, edits, matrices = [], [], [], [], []
+            for block, marks, firsts, ahead, more in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                kind, fault, new = marks[::2], marks[1::2], {p - block * rows for p in firsts}
+                fault = "".join(f if f == "b" or i in new else "d" for i, f in enumerate(fault))
+                chars = (ahead or "") + kind
+                kinds.append(kind)
+                faults.append(fault)
+                illegal.append(sum(chars[i : i + 2] not in LEGAL for i in range(len(chars) - 1)))
+                alone = block == 0 and not more
+                edits.append(align(kind, fault, 0, END, True)[1] if alone else None)
+                matrices.append(None if alone else costs_between(kind, fault, not more))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(5), pa.array(kinds, pa.string()), pa.array(faults, pa.string()),
+                 pa.array(illegal, pa.int64()), pa.array(edits, pa.list_(pa.string())), pa.array(matrices, pa.list_(pa.int64()))],
+                ["conv_id", "block", "more", "kinds", "faults", "illegal", "edits", "matrix"],
+            )
+
+    return solve
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +289,15 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _long_edits(solved: DataFrame) -> DataFrame:
+def _long_edits(solved: DataFrame, fan: int) -> DataFrame:
     """(conv_id, block, edits) of conversations of several blocks."""
     kind = solved.schema["conv_id"].dataType.simpleString()
     blocks = solved.where(F.col("matrix").isNotNull()).withColumnRenamed("block", "at")
-    to_come = chain(blocks.select("conv_id", "at", "matrix"), END, True).withColumnsRenamed({"conv_id": "_conv", "at": "_at"})
+    to_come = chain(blocks.select("conv_id", "at", "matrix"), END, True, fan).withColumnsRenamed({"conv_id": "_conv", "at": "_at"})
     met = blocks.join(to_come, _same(F.col("conv_id"), F.col("_conv")) & (F.col("at") == F.col("_at")))
     chosen = met.select("conv_id", "at", "kinds", "faults", "more", "vector").mapInArrow(_choose, f"conv_id {kind}, at bigint, choices array<array<string>>, matrix array<bigint>")
     chosen = materialise(chosen)
-    entered = chain(chosen.select("conv_id", "at", "matrix"), (0, INF, INF, INF), False).withColumnsRenamed({"conv_id": "_conv", "at": "_at"})
+    entered = chain(chosen.select("conv_id", "at", "matrix"), (0, INF, INF, INF), False, fan).withColumnsRenamed({"conv_id": "_conv", "at": "_at"})
     met = chosen.join(entered, _same(F.col("conv_id"), F.col("_conv")) & (F.col("at") == F.col("_at")))
     return met.select("conv_id", F.col("at").alias("block"), F.element_at("choices", F.array_position("vector", F.lit(0).cast("bigint")).cast("int")).alias("edits"))
 
@@ -299,7 +309,7 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost, pa.int64())], [*batch.schema.names, "cost"])
 
 
-def repair(turns: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+def repair(turns: DataFrame, block: int = BLOCK, fan: int = FAN, max_window_rows: int = MAX_WINDOW_ROWS, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """(edits, summary) of the conversations in ``turns`` (conv_id, turn, role, text).
 
     edits: conv_id, pos, step, edit (D, I, K, R), turn, old_role, role, text, in the order (conv_id,
@@ -310,21 +320,20 @@ def repair(turns: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS, range_rows:
     text. A role counts by its first letter; one that is not s, u or a (an empty one too) can't be kept.
     Null ids are one conversation. Other columns are ignored, and an empty table gives no rows.
     """
-    spark = turns.sparkSession
-    rows = _numbered(turns, max_window_rows, range_rows)
+    rows = _numbered(turns, block, max_window_rows, range_rows)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    solved = _blocks(rows).mapInArrow(_solve, f"conv_id {kind}, block bigint, more boolean, kinds string, faults string, illegal bigint, edits array<string>, matrix array<bigint>")
+    solved = _blocks(rows, block).mapInArrow(_solver(block), f"conv_id {kind}, block bigint, more boolean, kinds string, faults string, illegal bigint, edits array<string>, matrix array<bigint>")
     solved = materialise(solved)
     facts = solved.select("conv_id", "block", "faults", "illegal", "edits")
     if not solved.where(F.col("matrix").isNotNull()).isEmpty():
-        found = _long_edits(solved).withColumnsRenamed({"conv_id": "_conv", "block": "_block", "edits": "_edits"})
+        found = _long_edits(solved, fan).withColumnsRenamed({"conv_id": "_conv", "block": "_block", "edits": "_edits"})
         long = facts.where(F.col("edits").isNull()).join(found, _same(F.col("conv_id"), F.col("_conv")) & (F.col("block") == F.col("_block")))
         facts = facts.where(F.col("edits").isNotNull()).unionByName(long.select("conv_id", "block", "faults", "illegal", F.col("_edits").alias("edits")))
     facts = materialise(facts.mapInArrow(_costs, f"conv_id {kind}, block bigint, faults string, illegal bigint, edits array<string>, cost bigint"))
 
     plan = facts.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.col("edits").alias("_edits"))
     met = rows.join(plan, _same(F.col("conv_id"), F.col("_conv")) & (F.col("block") == F.col("_block")))
-    steps = F.regexp_extract_all(F.get("_edits", (F.col("pos") % BLOCK).cast("int")), F.lit("(..)"), 1)
+    steps = F.regexp_extract_all(F.get("_edits", (F.col("pos") % block).cast("int")), F.lit("(..)"), 1)
     met = met.select("conv_id", "pos", "turn", "role", "text", F.posexplode(steps).alias("step", "_step"))
     edit, to = F.substring("_step", 1, 1), F.substring("_step", 2, 1)
     added, named = edit == "I", F.when(to == "u", ROLES["u"]).otherwise(ROLES["a"])

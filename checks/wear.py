@@ -10,7 +10,7 @@ from tribospark.operators.detect import registry
 from tribospark.operators.detect.autoencoder import autoencoder, autoencoder_errors, component_errors
 from tribospark.operators.detect.common import apply_models, label_below, label_errors, standardise
 from tribospark.operators.detect.forest import fit_forest, forest_score, isolation_forest
-from tribospark.operators.detect.lof import outlier_factors
+from tribospark.operators.detect.lof import found_share, neighbour_edges, outlier_factors, projected_edges
 from tribospark.operators.detect.svm import one_class_svm
 from tribospark.operators.features import extract_features
 from tribospark.session import materialise
@@ -44,8 +44,34 @@ def lof_manhattan(spark, d):
     return outlier_factors(vectors(spark, d), 5, "manhattan").select("joint_id", "seq", r("value").alias("value"))
 
 
+def lof_cosine(spark, d):
+    return outlier_factors(vectors(spark, d), 10, "cosine").select("joint_id", "seq", r("value").alias("value"))
+
+
+def lof_cubic(spark, d):
+    return outlier_factors(vectors(spark, d), 10, "minkowski", p=3).select("joint_id", "seq", r("value").alias("value"))
+
+
+def lof_projected(spark, d):
+    """All vectors as one joint in blocks of 64: do projections find nine in ten of the 20 nearest of all pairs?"""
+    rows = vectors(spark, d).groupBy("x").agg(F.min("seq").alias("point"), F.count("*").alias("copies"))
+    points = materialise(rows.select(F.lit("all").alias("joint_id"), "point", "copies", "x"))
+    true = materialise(neighbour_edges(points, 20, 2, 1 << 20))
+    share = found_share(projected_edges(points, 20, 2, 64), true)
+    sizes = points.groupBy("joint_id").agg(F.sum("copies").alias("vectors"))
+    return share.join(sizes, "joint_id").select("joint_id", "vectors", (F.col("recall") >= 0.9).alias("found"))
+
+
+LOF_DISTANCES = {
+    "l2": "list_distance(a.x, b.x)",
+    "l1": "list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2])))",
+    "l3": "pow(list_sum(list_transform(list_zip(a.x, b.x), lambda p: pow(abs(p[1] - p[2]), 3))), 1 / 3.0::DOUBLE)",
+    "cosine": "list_cosine_distance(a.x, b.x)",
+}
+
+
 def _lof_sql(k, metric):
-    dist = "list_distance(a.x, b.x)" if metric == "l2" else "list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2])))"
+    dist = LOF_DISTANCES[metric]
     return f"""WITH v AS (SELECT CAST(label AS VARCHAR) AS joint_id, vec_id AS seq, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
   d AS (SELECT a.joint_id, a.seq AS p, b.seq AS q, {dist} AS dist FROM v a JOIN v b ON a.joint_id = b.joint_id AND a.seq <> b.seq),
   nn AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY joint_id, p ORDER BY dist, q) <= {k}),
@@ -396,6 +422,9 @@ QUERIES = {
     "detect_local_outlier_factor": (lof, f"{_lof_sql(20, 'l2')} SELECT joint_id, seq, {R('value')} AS value FROM lf"),
     "detect_local_outlier_factor_blocks": (lof_blocks, f"{_lof_sql(20, 'l2')} SELECT joint_id, seq, {R('value')} AS value FROM lf"),
     "detect_local_outlier_factor_l1": (lof_manhattan, f"{_lof_sql(5, 'l1')} SELECT joint_id, seq, {R('value')} AS value FROM lf"),
+    "detect_local_outlier_factor_cosine": (lof_cosine, f"{_lof_sql(10, 'cosine')} SELECT joint_id, seq, {R('value')} AS value FROM lf"),
+    "detect_local_outlier_factor_l3": (lof_cubic, f"{_lof_sql(10, 'l3')} SELECT joint_id, seq, {R('value')} AS value FROM lf"),
+    "detect_local_outlier_projected": (lof_projected, "SELECT 'all' AS joint_id, count(*) AS vectors, true AS found FROM embeddings"),
     "detect_local_outlier_labels": (lof_labels, LOF_LABEL_SQL),
     "detect_isolation_forest": (forest, None),
     "detect_one_class_svm": (svm, None),

@@ -130,17 +130,27 @@ def test_lof_blocks_meet_near_blocks_only(spark, monkeypatch):
     assert compared[40] < 8 * compared[10] and compared[40] < 0.25 * (40 * 64) ** 2
 
 
-@pytest.mark.parametrize("metric,power", [("chebyshev", np.inf), ("manhattan", 1)])
-def test_lof_metrics(spark, metric, power):
+@pytest.mark.parametrize("block", [13, 4096])
+@pytest.mark.parametrize("metric,power", [("chebyshev", np.inf), ("manhattan", 1), ("minkowski", 3), ("minkowski", 1.5), ("cosine", None)])
+def test_lof_metrics(spark, metric, power, block):
     x = np.random.default_rng(9).normal(size=(60, 3))
+    if metric == "cosine":
+        x[7] = 0  # at right angles to all others
+        unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+        d = 1 - unit @ unit.T
+    else:
+        d = (np.abs(x[:, None] - x[None]) ** power).sum(-1) ** (1 / power) if power != np.inf else np.abs(x[:, None] - x[None]).max(-1)
     df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
-    d = np.linalg.norm(x[:, None] - x[None], ord=power, axis=-1)
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, :5]
     nd = np.take_along_axis(d, near, 1)
     lrd = 1 / (np.maximum(nd, nd[:, -1][near]).mean(1) + 1e-10)
-    got = lof.outlier_factors(df, 5, metric, block_points=13).orderBy("seq").toPandas()
-    assert np.allclose(got.value, -lrd[near].mean(1) / lrd)
+    got = lof.outlier_factors(df, 5, metric, block_points=block, p=power or 2).orderBy("seq").toPandas()
+    want = -lrd[near].mean(1) / lrd
+    if metric == "cosine":  # all others are as far from the zero vector, up to rounding
+        assert got.value[7] < -2
+        want[7] = got.value[7]
+    assert np.allclose(got.value, want)
 
 
 def test_lof_with_many_copies(spark):
@@ -150,8 +160,50 @@ def test_lof_with_many_copies(spark):
     df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
     got = lof.outlier_factors(df, 10, block_points=16).orderBy("seq").toPandas()
     assert len(got) == 150 and got.value[:50].nunique() == 1 and np.isclose(got.value[0], -1)
-    with pytest.raises(ValueError):
-        lof.outlier_factors(df, 5, "cosine")
+    for wrong in ({"metric": "hamming"}, {"method": "guess"}, {"p": 0.5}):
+        with pytest.raises(ValueError):
+            lof.outlier_factors(df, 5, **wrong)
+
+
+def blobs(n, seed=5, width=12):
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(size=(25, width)) * 4)[rng.integers(25, size=n)] + rng.normal(size=(n, width))
+    x[: n // 3] = x[0]  # a third are copies
+    return x
+
+
+def test_lof_of_projected_neighbours(spark):
+    """Joints above a block by projections, the small one exactly; factors nearly those of all pairs."""
+    x = blobs(1500)
+    rows = [("hot", i, r.tolist()) for i, r in enumerate(x)] + [("small", i, r.tolist()) for i, r in enumerate(x[-40:])]
+    df = spark.createDataFrame(rows, "joint_id string, seq long, x array<double>")
+    exact = lof.outlier_factors(df, 10, block_points=4096).orderBy("joint_id", "seq").toPandas()
+    got = lof.outlier_factors(df, 10, block_points=100, method="lsh").orderBy("joint_id", "seq").toPandas()
+    again = lof.outlier_factors(df.repartition(3), 10, block_points=100, method="lsh").orderBy("joint_id", "seq").toPandas()
+    assert np.array_equal(got.value, again.value) and len(got) == 1540
+    assert np.allclose(got.value[1500:], exact.value[1500:])
+    assert np.abs(got.value - exact.value).mean() < 0.02 and (np.isclose(got.value, exact.value)).mean() > 0.6
+
+
+def test_projections_reach_the_wanted_share(spark):
+    x = blobs(1200)[400:]
+    points = spark.createDataFrame([("hot", i, 1, r.tolist()) for i, r in enumerate(x)], "joint_id string, point long, copies long, x array<double>")
+    exact = lof.neighbour_edges(points, 10, 2, 4096)
+    for wanted in (0.5, 0.97):
+        found = lof.projected_edges(points, 10, 2, 64, wanted)
+        assert lof.found_share(found, exact).first()["recall"] >= wanted - 0.03
+        per = found.groupBy("point").agg(F.sum("copies").alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).first()
+        assert tuple(per) == (10, 10, 800)
+
+
+def test_projected_meetings_grow_with_the_points(spark):
+    """One round compares TABLES blocks' worth for each point, whatever the number of points."""
+    for n in (600, 2400):
+        x = blobs(n)[n // 3 :]
+        points = spark.createDataFrame([("hot", i, 1, r.tolist()) for i, r in enumerate(x)], "joint_id string, point long, copies long, x array<double>")
+        sizes = lof._table_blocks(points, 50, 0, 1).groupBy("table", "block").count().toPandas()
+        assert (sizes["count"] <= 50).all() and sizes["count"].sum() == lof.TABLES * len(x)
+        assert len(sizes) == lof.TABLES * -(-len(x) // 50)
 
 
 def test_registry_checks():

@@ -1,21 +1,30 @@
-"""Exact local outlier factor per joint (Breunig, Kriegel, Ng and Sander, 2000).
+"""Local outlier factor per joint (Breunig, Kriegel, Ng and Sander, 2000), exact or from projected neighbours.
 
-Equal points are kept once with their number of copies. Every joint has some pivots, far from each other; a point's
+Equal points are kept once with their number of copies. A joint of one block of points is scored by one
+task. For a larger joint there are two ways to its neighbours.
+
+``method="exact"``: every joint has some pivots, far from each other; a point's
 distances to them bound its distance to any other point from below. Points are sorted by their nearest pivot and the distance to
 it, and cut into blocks of fixed size. A block first finds the neighbours inside itself. Then it meets the blocks that
 could hold nearer ones by the pivot distances, and only with the points for which that is so. A
 task compares two blocks and returns the k nearest per point, never the pairs. Where the pivots do not tell
 blocks apart, as in one cloud of many dimensions, the work stays quadratic, as for any exact method.
+
+``method="lsh"``: several tables of random projections. In each, a point's side of some hyperplanes (through
+the middle of a sample, across the line between two of its points) is its bucket; points are ordered by
+bucket and one more projection and cut into blocks of fixed size, so that no bucket is too large for a
+task, and only points of a block are compared. The work is linear in the points. A sample of each joint's
+points is compared with all others, and tables are added until the wanted share of its neighbours is found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import carried, label_below, matrix, renewed, with_models
+from tribospark.operators.detect.common import carried, joint_seed, label_below, matrix, renewed, with_models
 from tribospark.operators.ordering import number_rows
 from tribospark.session import materialise
 
@@ -25,7 +34,11 @@ PIVOTS = 16
 PIVOT_SAMPLE = 256
 #: Blocks of a joint that one task compares with all its others.
 SPANS_PER_TASK = 256
-METRICS = {"minkowski": 2, "euclidean": 2, "l2": 2, "manhattan": 1, "cityblock": 1, "l1": 1, "chebyshev": np.inf}
+METRICS = {"minkowski": None, "euclidean": 2, "l2": 2, "manhattan": 1, "cityblock": 1, "l1": 1, "chebyshev": np.inf, "cosine": 2}
+#: Tables that are tried before neighbours are looked at again, rounds of them at most, and points the hyperplanes are taken from.
+TABLES, ROUNDS, PLANE_SAMPLE = 4, 16, 4_096
+#: Points of a joint, at most about, by which the share of found neighbours is measured; and the share wanted.
+MEASURED, RECALL = 128, 0.95
 SMOOTHING = 1e-10
 EDGE_SCHEMA = "joint_id string, point long, neighbour long, distance double, copies long"
 
@@ -36,6 +49,8 @@ def distances(a: np.ndarray, b: np.ndarray, power: float) -> np.ndarray:
         return np.stack([np.abs(b - row).sum(axis=1) for row in a])
     if power == np.inf:
         return np.stack([np.abs(b - row).max(axis=1, initial=0.0) for row in a])
+    if power != 2:
+        return np.stack([(np.abs(b - row) ** power).sum(axis=1) ** (1 / power) for row in a])
     return np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
 
 
@@ -67,6 +82,29 @@ def nearest(queries: pa.Table, points: pa.Table, k: int, power: float) -> list[t
     return out
 
 
+def edge_table(queries: pa.Table, points: pa.Table, k: int, power: float, bounded: bool = False) -> pa.Table:
+    """The nearest points of each query as edges; with ``bounded`` only those within the query's ``bound``."""
+    found = nearest(queries, points, k, power)
+    counts = [len(i) for i, _, _ in found]
+    empty = np.zeros(0)
+    table = pa.table({
+        "joint_id": pa.array([queries["joint_id"][0].as_py()] * sum(counts), pa.string()),
+        "point": pa.array(np.repeat(queries["point"].to_numpy(), counts), pa.int64()),
+        "neighbour": pa.array(np.concatenate([empty, *[i for i, _, _ in found]]).astype(np.int64)),
+        "distance": pa.array(np.concatenate([empty, *[d for _, d, _ in found]])),
+        "copies": pa.array(np.concatenate([empty, *[w for _, _, w in found]]).astype(np.int64))})
+    if not bounded:
+        return table
+    return table.filter(pa.array(table["distance"].to_numpy() <= np.repeat(queries["bound"].to_numpy(), counts)))
+
+
+def just_enough(edges: DataFrame, k: int) -> DataFrame:
+    """The nearest edges of each point that make k neighbours, copies counted; the last ones are cut to fit."""
+    before = Window.partitionBy("joint_id", "point").orderBy("distance", "neighbour").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_have", F.coalesce(F.sum("copies").over(before), F.lit(0))).filter(F.col("_have") < k)
+    return edges.withColumn("copies", F.least(F.col("copies"), k - F.col("_have"))).drop("_have")
+
+
 def pivot_distances(points: DataFrame, power: float) -> DataFrame:
     """The points with ``d``, their distances to PIVOTS pivots of their joint (the last one repeats if there are fewer)."""
 
@@ -107,15 +145,7 @@ def neighbour_edges(points: DataFrame, k: int, power: float, block_points: int)
     blocks = materialise(ranked.withColumn("block", F.floor(F.col("place") / block_points)).drop("place", "home", "near"))
 
     def meet(q: pa.Table, p: pa.Table) -> pa.Table:
-        found = nearest(q, p, k, power)
-        counts = [len(i) for i, _, _ in found]
-        empty = np.zeros(0)
-        return pa.table({
-            "joint_id": pa.array([q["joint_id"][0].as_py()] * sum(counts), pa.string()),
-            "point": pa.array(np.repeat(q["point"].to_numpy(), counts), pa.int64()),
-            "neighbour": pa.array(np.concatenate([empty, *[i for i, _, _ in found]]).astype(np.int64)),
-            "distance": pa.array(np.concatenate([empty, *[d for _, d, _ in found]])),
-            "copies": pa.array(np.concatenate([empty, *[w for _, _, w in found]]).astype(np.int64))})
+        return edge_table(q, p, k, power)
 
     inside = materialise(blocks.groupBy("joint_id", "block").applyInArrow(lambda t: meet(t, t), EDGE_SCHEMA))
     enough = F.when(F.sum("copies") >= k, F.max("distance"))
@@ -136,21 +166,127 @@ def neighbour_edges(points: DataFrame, k: int, power: float, block_points: int)
     queries = queries.where(_gap("d", "d", "lo", "hi") <= F.col("bound")).drop("d", "bound", "lo", "hi")
     others = blocks.drop("d").withColumnRenamed("block", "right").join(queries.select("joint_id", "left", "right").distinct(), ["joint_id", "right"])
     edges = queries.groupBy("joint_id", "left", "right").cogroup(renewed(others).groupBy("joint_id", "left", "right")).applyInArrow(meet, EDGE_SCHEMA)
-    edges = inside.unionByName(edges)
-    before = Window.partitionBy("joint_id", "point").orderBy("distance", "neighbour").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("_have", F.coalesce(F.sum("copies").over(before), F.lit(0))).filter(F.col("_have") < k)
-    return edges.withColumn("copies", F.least(F.col("copies"), k - F.col("_have"))).drop("_have")
+    return just_enough(inside.unionByName(edges), k)
 
 
-def outlier_factors(rows: DataFrame, k: int = 20, metric: str = "minkowski", block_points: int = BLOCK_POINTS) -> DataFrame:
-    """joint_id, seq and ``value``: minus the local outlier factor (about -1 for inliers)."""
-    if metric not in METRICS:
-        raise ValueError(f"unsupported metric {metric!r}; use one of {sorted(METRICS)}")
-    power = METRICS[metric]
-    rows = rows.select("joint_id", "seq", "x")
-    points = rows.groupBy("joint_id", "x").agg(F.min("seq").alias("point"), F.count("*").alias("copies"))
-    points = materialise(points)
-    edges = materialise(neighbour_edges(points, k, power, block_points))
+# --- projected neighbours ----------------------------------------------------------------------
+def _planes(points: DataFrame, block_points: int, number: int, seed: int) -> DataFrame:
+    """joint_id, planes, cuts: for each of TABLES tables as many hyperplanes as halve the joint down to blocks, and a direction."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point")
+        x, n, joint = matrix(table["x"]), table["n"][0].as_py(), table["joint_id"][0].as_py()
+        rng = joint_seed(joint, seed, number)
+        halvings = max(1, int(np.ceil(np.log2(n / block_points))))
+        planes = x[rng.integers(len(x), size=(TABLES * (halvings + 1)))] - x[rng.integers(len(x), size=(TABLES * (halvings + 1)))]
+        same = ~planes.any(axis=1)
+        planes[same] = rng.normal(size=(int(same.sum()), x.shape[1]))
+        cuts = np.median(x @ planes.T, axis=0)
+        return pa.table({"joint_id": table["joint_id"][:1], "planes": pa.array([planes.tolist()], pa.list_(pa.list_(pa.float64()))), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
+
+    sizes = points.groupBy("joint_id").agg(F.count("*").alias("n"), F.min("point").alias("first"))
+    share = F.shiftrightunsigned(F.xxhash64("joint_id", "point", F.lit(number)), 11) / float(2**53)
+    sample = points.join(sizes, "joint_id").where((share < PLANE_SAMPLE / F.col("n")) | (F.col("point") == F.col("first")))
+    return sample.select("joint_id", "point", "n", "x").groupBy("joint_id").applyInArrow(choose, "joint_id string, planes array<array<double>>, cuts array<double>")
+
+
+def _table_blocks(points: DataFrame, block_points: int, number: int, seed: int) -> DataFrame:
+    """The points once for each table, with the block they fall into there."""
+    models = materialise(_planes(points, block_points, number, seed))
+
+    def place(model: dict, table: pa.Table) -> pa.Table:
+        x, planes = matrix(table["x"]), np.asarray(model["planes"])
+        per = len(planes) // TABLES
+        at = (x @ planes.T).reshape(len(x), TABLES, per)
+        sides = at[:, :, :-1] > np.asarray(model["cuts"]).reshape(TABLES, per)[:, :-1]
+        codes = (sides * (1 << np.arange(per - 1, dtype=np.int64))[::-1]).sum(axis=2)
+        table = table.append_column("codes", pa.array(codes.tolist(), pa.list_(pa.int64())))
+        return table.append_column("along", pa.array(at[:, :, -1].tolist(), pa.list_(pa.float64())))
+
+    rows = points.withColumn("seq", F.col("point"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", codes array<bigint>, along array<double>"
+    placed = with_models(rows, models, place, schema).drop("seq")
+    each = placed.select(*points.columns, F.posexplode(F.arrays_zip("codes", "along")).alias("table", "_at"))
+    each = each.select(*points.columns, "table", F.col("_at.codes").alias("code"), F.col("_at.along").alias("along"))
+    each = number_rows(each, ["joint_id", "table"], ["code", "along", "point"], "place")
+    return each.withColumn("block", F.floor(F.col("place") / block_points)).drop("place", "code", "along")
+
+
+def _true_edges(points: DataFrame, k: int, power: float) -> DataFrame:
+    """The exact neighbours of about MEASURED points of each joint, compared with all points batch by batch."""
+    sizes = points.groupBy("joint_id").agg(F.count("*").alias("n"), F.min("point").alias("first"))
+    share = F.shiftrightunsigned(F.xxhash64("joint_id", "point", F.lit("measured")), 11) / float(2**53)
+    asked = points.join(sizes, "joint_id").where((share < MEASURED / F.col("n")) | (F.col("point") == F.col("first")))
+    models = materialise(asked.groupBy("joint_id").agg(F.collect_list(F.struct("joint_id", "point", "x")).alias("asked")))
+
+    def compare(model: dict, table: pa.Table) -> pa.Table:
+        asked = model["asked"]
+        queries = pa.table({"joint_id": pa.array([q["joint_id"] for q in asked], pa.string()), "point": pa.array([q["point"] for q in asked], pa.int64()),
+                            "x": pa.chunked_array([pa.array([q["x"] for q in asked], pa.list_(pa.float64()))])})
+        return edge_table(queries, table, k, power)
+
+    rows = points.withColumn("seq", F.col("point"))
+    return just_enough(with_models(rows, models, compare, EDGE_SCHEMA), k)
+
+
+def found_share(edges: DataFrame, true_edges: DataFrame) -> DataFrame:
+    """joint_id, recall: the share of true neighbours that ``edges`` has, or others as near."""
+    true = true_edges.groupBy("joint_id", "point").agg(F.max("distance").alias("_far"), F.sum("copies").alias("_all"))
+    near = F.col("distance") <= F.col("_far") * (1 + 1e-9)
+    met = true.join(edges.select("joint_id", "point", "distance", "copies"), ["joint_id", "point"], "left")
+    met = met.groupBy("joint_id", "point", "_all").agg(F.coalesce(F.sum(F.when(near, F.col("copies"))), F.lit(0)).alias("_found"))
+    return met.groupBy("joint_id").agg((F.sum(F.least("_found", "_all")) / F.sum("_all")).alias("recall"))
+
+
+def projected_edges(points: DataFrame, k: int, power: float, block_points: int, recall: float = RECALL, seed: int = 42) -> DataFrame:
+    """(joint, point) -> k near neighbours, of which the wanted share are its nearest.
+
+    Every round adds TABLES tables. From the second one on a block hands on only edges that are no
+    longer than the k-th so far, so that few are shuffled. Rounds end when each joint's measured
+    points have the wanted share, or after ROUNDS rounds.
+    """
+    true_edges, edges = materialise(_true_edges(points, k, power)), None
+
+    def met(bounded: bool):
+        return lambda table: edge_table(table, table, k, power, bounded)
+
+    for number in range(ROUNDS):
+        asked = points
+        if edges is not None:
+            enough = F.when(F.sum("copies") >= k, F.max("distance"))
+            bounds = edges.groupBy("joint_id", "point").agg(enough.alias("bound"))
+            asked = materialise(points.join(bounds, ["joint_id", "point"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+        blocks = _table_blocks(asked, block_points, number, seed)
+        near = blocks.groupBy("joint_id", "table", "block").applyInArrow(met(edges is not None), EDGE_SCHEMA)
+        near = near if edges is None else near.unionByName(edges)
+        near = near.groupBy("joint_id", "point", "neighbour").agg(F.min("distance").alias("distance"), F.max("copies").alias("copies"))
+        edges = materialise(just_enough(near, k))
+        reached = found_share(edges, true_edges).agg(F.min("recall")).first()[0]
+        if reached is None or reached >= recall:
+            break
+    return edges
+
+
+# --- factors -----------------------------------------------------------------------------------
+def _whole_joint(table: pa.Table, k: int, power: float, cosine: bool) -> pa.Table:
+    """Factors of a joint that fits one task."""
+    table = table.sort_by("point")
+    points, found = table["point"].to_numpy(), nearest(table, table, k, power)
+    value = np.full(len(points), -1.0)
+    if len(points) > 1 or table["copies"][0].as_py() > 1:
+        counts = np.array([len(i) for i, _, _ in found])
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        to = np.searchsorted(points, np.concatenate([i for i, _, _ in found]))
+        d, copies = np.concatenate([d for _, d, _ in found]), np.concatenate([np.append(w[:-1], min(w[-1], k - w[:-1].sum())) for _, _, w in found])
+        d = d * d / 2 if cosine else d
+        far = np.maximum.reduceat(d, starts)
+        mean = lambda v: np.add.reduceat(v * copies, starts) / np.add.reduceat(copies, starts)
+        density = 1 / (mean(np.maximum(d, far[to])) + SMOOTHING)
+        value = -mean(density[to]) / density
+    return pa.table({"joint_id": table["joint_id"], "point": table["point"], "value": pa.array(value)})
+
+
+def _factors(edges: DataFrame) -> DataFrame:
     reach = edges.groupBy("joint_id", "point").agg(F.max("distance").alias("k_distance"))
     by_neighbour = reach.select("joint_id", F.col("point").alias("neighbour"), F.col("k_distance").alias("_kd"))
     total = F.sum("copies")
@@ -159,13 +295,53 @@ def outlier_factors(rows: DataFrame, k: int = 20, metric: str = "minkowski", blo
     density = materialise(density)
     around = edges.join(density.select("joint_id", F.col("point").alias("neighbour"), F.col("density").alias("_nd")), ["joint_id", "neighbour"])
     around = around.groupBy("joint_id", "point").agg((F.sum(F.col("_nd") * F.col("copies")) / total).alias("_around"))
-    factors = density.join(around, ["joint_id", "point"]).select("joint_id", "point", (-F.col("_around") / F.col("density")).alias("value"))
+    return density.join(around, ["joint_id", "point"]).select("joint_id", "point", (-F.col("_around") / F.col("density")).alias("value"))
+
+
+def on_sphere(x: Column) -> Column:
+    """Unit vectors, whose squared distance is twice the cosine distance; a zero vector is at right angles to all others."""
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v))
+    unit = lambda n: F.concat(F.transform(x, lambda v: F.when(n > 0, v / n).otherwise(0.0)), F.array(F.when(n > 0, 0.0).otherwise(1.0)))
+    return F.get(F.transform(F.array(length), unit), F.lit(0))
+
+
+def outlier_factors(
+    rows: DataFrame, k: int = 20, metric: str = "minkowski", block_points: int = BLOCK_POINTS, method: str = "exact", p: float = 2, recall: float = RECALL, seed: int = 42
+) -> DataFrame:
+    """joint_id, seq and ``value``: minus the local outlier factor (about -1 for inliers).
+
+    ``p`` is the power of the minkowski metric (1 or more). ``method`` says how joints of more than
+    ``block_points`` different points find their neighbours, ``exact`` or ``lsh``.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unsupported metric {metric!r}; use one of {sorted(METRICS)}")
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unsupported method {method!r}; use exact or lsh")
+    power = METRICS[metric] or p
+    if power < 1:
+        raise ValueError(f"p = {p} gives no distance; use 1 or more")
+    cosine = metric == "cosine"
+    rows = rows.select("joint_id", "seq", on_sphere(F.col("x")).alias("x") if cosine else "x")
+    points = materialise(rows.groupBy("joint_id", "x").agg(F.min("seq").alias("point"), F.count("*").alias("copies")))
+    sizes = points.groupBy("joint_id").agg(F.count("*").alias("_n"))
+    large, small = None, points
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > block_points:
+        sized = points.join(materialise(sizes), "joint_id")
+        small = sized.where(F.col("_n") <= block_points).drop("_n")
+        large = materialise(sized.where(F.col("_n") > block_points).drop("_n"))
+    parts = [small.groupBy("joint_id").applyInArrow(lambda t: _whole_joint(t, k, power, cosine), "joint_id string, point long, value double")]
+    if large is not None:
+        edges = neighbour_edges(large, k, power, block_points) if method == "exact" else projected_edges(large, k, power, block_points, recall, seed)
+        d = F.col("distance")
+        parts.append(_factors(materialise(edges.withColumn("distance", d * d / 2 if cosine else d))))
+    factors = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     scored = points.join(factors, ["joint_id", "point"], "left").select("joint_id", "x", F.coalesce("value", F.lit(-1.0)).alias("value"))
     return rows.join(scored, ["joint_id", "x"]).select("joint_id", "seq", "value")
 
 
 def local_outlier_factor(rows: DataFrame, params: dict, seed: int = 42) -> DataFrame:
-    scores = materialise(outlier_factors(rows, params.get("n_neighbors", 20), params.get("metric", "minkowski")))
-    labels = label_below(scores, params.get("contamination", 0.05), shift=False)
+    factors = outlier_factors(
+        rows, params.get("n_neighbors", 20), params.get("metric", "minkowski"), method=params.get("method", "exact"), p=params.get("p", 2), seed=seed)
+    labels = label_below(materialise(factors), params.get("contamination", 0.05), shift=False)
     extra = carried(rows)
     return rows.select("joint_id", "seq", *extra).join(labels, ["joint_id", "seq"]) if extra else labels

@@ -29,7 +29,8 @@ MODELS = {
     "isolation_forest": Model("Isolation Forest", isolation_forest, {
         "contamination": (0.05, 0.001, 0.5), "n_estimators": (100, 10, 500), "max_samples": ("auto", None, None)}),
     "local_outlier_factor": Model("Local Outlier Factor", local_outlier_factor, {
-        "contamination": (0.05, 0.001, 0.5), "n_neighbors": (20, 2, 100), "metric": ("minkowski", None, None)}),
+        "contamination": (0.05, 0.001, 0.5), "n_neighbors": (20, 2, 100), "metric": ("minkowski", None, None),
+        "p": (2, 1, 100), "method": ("exact", None, None)}),
     "one_class_svm": Model("One-Class SVM", one_class_svm, {
         "kernel": ("rbf", None, None), "nu": (0.05, 0.001, 0.5), "gamma": ("scale", None, None)}),
     "autoencoder": Model("Autoencoder (Neural Network)", autoencoder, {

@@ -70,8 +70,11 @@ def as_double(df: DataFrame, column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("double")
 
 
-def map_dataset(df: DataFrame, schema: DatasetSchema, tie_break: list[str], **numbering) -> SignalTable:
-    """Apply a column-role schema: canonical signal names, per-joint order, time from zero."""
+def map_dataset(df: DataFrame, schema: DatasetSchema, tie_break: list[str], facts: DataFrame | None = None, **numbering) -> SignalTable:
+    """Apply a column-role schema: canonical signal names, per-joint order, time from zero.
+
+    ``facts`` is the ``sampling_summary`` of the whole table, if the caller has it already.
+    """
     channels = [(column, key, modality) for column, key, modality in schema.channels() if column in df.columns]
     timestamp = schema.timestamp if schema.timestamp in df.columns else None
     joint = schema.joint if schema.joint in df.columns else None
@@ -81,7 +84,9 @@ def map_dataset(df: DataFrame, schema: DatasetSchema, tie_break: list[str], **nu
     if text:
         seen = rows.agg(*[F.count(k).alias(k) for k in text]).first()
         dropped = [k for k in text if not seen[k]]
-    rate = sampling_rate(df, timestamp, tie_break).first() if timestamp else None
+    rate = None
+    if timestamp:
+        rate = (sampling_rate(df, timestamp, tie_break) if facts is None else facts.select("sampling_rate_hz")).first()
     return SignalTable(
         rows.drop(*dropped),
         {key: modality for _, key, modality in channels if key not in dropped},

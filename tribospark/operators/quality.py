@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
+from tribospark.operators.fileorder import steps_by_runs
 from tribospark.operators.ordering import MAX_WINDOW_ROWS, number_rows, with_previous
 from tribospark.operators.quantiles import exact_quantiles
 from tribospark.operators.roles import DatasetSchema
@@ -139,12 +140,20 @@ def time_steps(
     order_cols: list[str],
     by: list[str] | None = None,
     max_window_rows: int = MAX_WINDOW_ROWS,
+    by_runs: bool = True,
     **chunking,
 ) -> DataFrame:
-    """Difference between each time value and the one before it in file order (per ``by`` group)."""
+    """Difference between each time value and the one before it in file order (per ``by`` group).
+
+    Rows that lie in order (``fileorder``) are not sorted, and only those of the runs' edges are
+    shuffled. Other tables are numbered by a sort, as all are with ``by_runs=False``.
+    """
     by = by or []
     times = df.select(*by, *[c for c in order_cols if c not in by and c != timestamp], timestamp)
     times = times.withColumn("_time", time_value(df, timestamp)).filter(F.col("_time").isNotNull())
+    found = steps_by_runs(times, by, order_cols) if by_runs else None
+    if found is not None:
+        return found
     # The file order may contain the time column itself, so keep every order column until numbered.
     keep = [*by, "_seq", "_time"]
     numbered = number_rows(times, by, order_cols, "_seq", max_window_rows).select(*keep)
@@ -206,8 +215,12 @@ def validate_dataset(
     max_duplicate_pct: float = 30.0,
     by_joint: bool = False,
     exact: bool = True,
+    facts: DataFrame | None = None,
 ) -> QualityReport:
-    """All checks. ``order_cols`` give the file order; ``by_joint`` measures time steps inside joints."""
+    """All checks. ``order_cols`` give the file order; ``by_joint`` measures time steps inside joints.
+
+    ``facts`` is the ``sampling_summary`` of the whole table, if the caller has it already.
+    """
     spark = df.sparkSession
     extra = [c for c in order_cols if c.startswith("_file_")]
     data = df.drop(*extra)
@@ -230,7 +243,8 @@ def validate_dataset(
               and isinstance(f.dataType, (NumericType, TimestampType, TimestampNTZType))]
     if timing:
         by = [schema.joint] if by_joint and schema.joint else []
-        facts = sampling_summary(time_steps(df, schema.timestamp, order_cols, by), by)
+        if facts is None or by:
+            facts = sampling_summary(time_steps(df, schema.timestamp, order_cols, by), by)
         if by:
             facts = facts.agg(
                 F.sum("reversals").alias("reversals"), F.max("non_monotonic").alias("non_monotonic"),

@@ -11,7 +11,8 @@ from tribospark.operators.detect.autoencoder import autoencoder, autoencoder_err
 from tribospark.operators.detect.common import apply_models, label_below, label_errors, standardise
 from tribospark.operators.detect.forest import fit_forest, forest_score, isolation_forest
 from tribospark.operators.detect.lof import found_share, neighbour_edges, outlier_factors, projected_edges
-from tribospark.operators.detect.svm import one_class_svm
+from tribospark.operators.detect.svm import GAP_AT, KERNELS, SCALE, one_class_svm
+from tribospark.operators.detect.svm import fit as fit_svm
 from tribospark.operators.features import extract_features
 from tribospark.session import materialise
 
@@ -113,6 +114,17 @@ def flagged_sql(share):
     return f"SELECT event_type AS joint_id, count(*) AS total_readings, {share}::DOUBLE AS anomaly_rate FROM events GROUP BY event_type"
 
 
+def svm_gaps(spark, d):
+    """Whether each kernel's boundary has a duality gap below a thousandth, per type."""
+    out = None
+    for kernel in KERNELS:
+        fit_ = fit_svm(event_matrix(spark, d), kernel, 0.05, "scale", 42)
+        closed = F.get("numbers", F.lit(GAP_AT)) <= 1e-3 * F.get("numbers", F.lit(SCALE))
+        rows = fit_.select(F.lit(kernel).alias("kernel"), "joint_id", closed.alias("closed"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def planted(spark, d):
     """The event matrix with every 40th row of a type moved ten units away from all others."""
     far = F.col("seq") % 40 == 7
@@ -428,6 +440,8 @@ QUERIES = {
     "detect_local_outlier_labels": (lof_labels, LOF_LABEL_SQL),
     "detect_isolation_forest": (forest, None),
     "detect_one_class_svm": (svm, None),
+    "detect_one_class_svm_gaps": (svm_gaps, "SELECT kernel, event_type AS joint_id, true AS closed FROM (SELECT DISTINCT event_type FROM events), "
+                                  "(SELECT unnest(['rbf', 'linear', 'poly', 'sigmoid']) AS kernel)"),
     "detect_autoencoder": (neural, None),
     "detect_isolation_forest_planted": (finds_planted(lambda rows: isolation_forest(rows, {"contamination": 0.05})), PLANTED_SQL),
     "detect_one_class_svm_planted": (finds_planted(lambda rows: one_class_svm(rows, {"nu": 0.05})), PLANTED_SQL),

@@ -41,7 +41,7 @@ def test_planted_outliers_share_and_columns(matrix, model_id):
 
 @pytest.mark.parametrize("run", [
     lambda rows: forest.isolation_forest(rows, {"n_estimators": 20}), lambda rows: autoencoder.autoencoder(rows, {"epochs": 10}),
-    lambda rows: svm.one_class_svm(rows, {}, steps=2), lambda rows: autoencoder.component_detector(rows, {})])
+    lambda rows: svm.one_class_svm(rows, {}, passes=2), lambda rows: autoencoder.component_detector(rows, {})])
 def test_same_seed_same_scores(matrix, run):
     rows = common.standardise(matrix, COLUMNS)
     a, b = (run(r).orderBy("joint_id", "seq").toPandas() for r in (rows, rows.orderBy(F.hash("seq"))))
@@ -55,8 +55,8 @@ def test_models_by_chunk_equal_shared_models(matrix):
     b = common.apply_models(rows, models, forest.forest_score, max_shared_joints=1, chunk_rows=40).orderBy("joint_id", "seq").toPandas()
     c = common.apply_models(rows, models, forest.forest_score, max_shared_bytes=10).orderBy("joint_id", "seq").toPandas()
     assert a.equals(b) and a.equals(c) and a.columns.tolist() == ["joint_id", "seq", "timestamp", "value"]
-    one = svm.one_class_svm(rows, {}, steps=1).orderBy("joint_id", "seq").toPandas()
-    two = svm.one_class_svm(rows, {}, steps=1, max_shared_joints=1).orderBy("joint_id", "seq").toPandas()
+    one = svm.one_class_svm(rows, {}, passes=1).orderBy("joint_id", "seq").toPandas()
+    two = svm.one_class_svm(rows, {}, passes=1, max_shared_joints=1).orderBy("joint_id", "seq").toPandas()
     assert np.allclose(one.anomaly_score, two.anomaly_score)
 
 
@@ -206,6 +206,81 @@ def test_projected_meetings_grow_with_the_points(spark):
         assert len(sizes) == lof.TABLES * -(-len(x) // 50)
 
 
+def dual_optimum(k, nu, steps=200_000):
+    """Least 1/2 a'Ka with a in [0, 1/(nu n)] that sums to one, by moving weight between the worst pair."""
+    n = len(k)
+    top = 1 / (nu * n)
+    a = np.zeros(n)
+    a[: int(1 / top)] = top
+    a[int(1 / top)] = 1 - a.sum()
+    g = k @ a
+    for _ in range(steps):
+        up, down = np.where(a < top - 1e-15)[0], np.where(a > 1e-15)[0]
+        i, j = up[g[up].argmin()], down[g[down].argmax()]
+        if g[j] - g[i] < 1e-9:
+            break
+        move = min((g[j] - g[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - a[i], a[j])
+        a[i], a[j] = a[i] + move, a[j] - move
+        g += move * (k[:, i] - k[:, j])
+    return -0.5 * a @ k @ a
+
+
+@pytest.mark.parametrize("kernel", svm.KERNELS)
+def test_svm_reaches_the_optimum(spark, kernel):
+    """The loss found is within the stated gap of the optimum of the same kernel matrix."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(180, 4)) + [1.5, 0, 0, 0]
+    df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    model = svm.fit(df, kernel, 0.1, 0.2, 42).first().asDict()
+    phi = svm.feature_map(x, kernel, 0.2, 42, np.asarray(model["marks"]).reshape(-1, 4) if model["marks"] else None)
+    if kernel in ("poly", "sigmoid"):  # all rows are landmarks: the features give back the positive part of the kernel
+        values, vectors = np.linalg.eigh(svm.kernel(x, x, kernel, 0.2))
+        assert np.allclose(phi @ phi.T, (vectors * np.maximum(values, 0)) @ vectors.T, atol=1e-5 * values[-1])
+    w = np.asarray(model["w"])
+    loss = 0.5 * w[:-1] @ w[:-1] - w[-1] + np.maximum(w[-1] - phi @ w[:-1], 0).sum() / (0.1 * len(x))
+    gap, scale = model["numbers"][svm.GAP_AT], model["numbers"][svm.SCALE]
+    assert gap <= svm.GAP * scale and scale == pytest.approx((phi**2).sum(1).mean())
+    assert -1e-6 * scale <= loss - dual_optimum(phi @ phi.T, 0.1) <= gap + 1e-6 * scale
+
+
+def test_barrier_terms():
+    z, tau = np.linspace(-3, 3, 301), 0.05
+    loss, slope, bend = svm.barrier_terms(z, tau)
+    h = z[1] - z[0]
+    assert np.allclose(np.gradient(loss, h)[1:-1], slope[1:-1], atol=0.02) and np.allclose(np.gradient(slope, h)[1:-1], bend[1:-1], atol=0.5)
+    assert ((slope > 0) & (slope < 1)).all() and (bend > 0).all()
+    assert np.isfinite(np.concatenate(svm.barrier_terms(np.array([-1e9, -1e-300, 0.0, 1e-300, 1e9]), 1e-12))).all()
+
+
+def test_autoencoder_is_the_same_for_any_cut(spark):
+    x = blobs(600, width=6)
+    df = spark.createDataFrame([(("hot", "cold")[i % 3 == 0], i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    one, many, apart = (
+        autoencoder.fit_autoencoder(d, {"epochs": 12}, **sharing).orderBy("joint_id").collect()
+        for d, sharing in ((df.coalesce(1), {}), (df.repartition(50), {}), (df.repartition(3), {"max_shared_joints": 1, "chunk_rows": 37})))
+    for a, b, c in zip(one, many, apart):
+        assert a["rounds"] == b["rounds"] == c["rounds"] and a["loss"] == pytest.approx(b["loss"]) == pytest.approx(c["loss"])
+        assert np.allclose(a["w"], b["w"], rtol=1e-5, atol=1e-8) and np.allclose(a["w"], c["w"], rtol=1e-5, atol=1e-8)
+
+
+def test_autoencoder_nears_the_components(spark):
+    """Data of two directions: four units that pass positive values only carry both signs of two."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 2)) @ rng.normal(size=(2, 8)) + 0.3 * rng.normal(size=(1500, 8))
+    x = (x - x.mean(0)) / x.std(0)
+    df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    got = autoencoder.autoencoder_errors(df, {"epochs": 200, "learning_rate": 0.01}).agg(F.avg("value")).first()[0]
+    best = autoencoder.component_errors(df, 0.25).agg(F.avg("value")).first()[0]
+    assert got <= 1.05 * best
+
+
+def test_states_are_added_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(common, "FAN", 3)
+    rows = [("ab"[i % 7 == 0], i, np.array([1.0, float(i)]).tobytes()) for i in range(100)]
+    got = {r["joint_id"]: np.frombuffer(r["state"]).tolist() for r in common.add_states(spark.createDataFrame(rows, "joint_id string, part long, state binary"), 100).collect()}
+    assert got == {"a": [85.0, float(sum(i for i in range(100) if i % 7))], "b": [15.0, float(sum(range(0, 100, 7)))]}
+
+
 def test_registry_checks():
     Config = registry.ModelConfig
     assert registry.check_config(Config()) is None and "unknown model" in registry.check_config(Config("kmeans"))

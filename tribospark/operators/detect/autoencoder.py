@@ -1,8 +1,8 @@
 """Reconstruction-error detectors per joint: principal components, and a dense autoencoder.
 
-The autoencoder is trained by local passes and averaging: in each round every bounded chunk of a
-joint starts from the joint's weights, takes its own mini-batch steps, and Spark averages the chunk
-weights element by element.
+The autoencoder starts from mini-batch training on a bounded sample of each joint. Then all rows of a
+joint take part: in each round every batch sums the gradient of its rows, Spark sums the batches, and
+the joint takes one step. How the rows are cut into batches or tasks makes no difference.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tribospark.operators.detect.common import apply_models, by_joint, chunk_models, joint_seed, label_errors, matrix, renewed
-from tribospark.operators.ordering import CHUNK_ROWS
+from tribospark.operators.detect.common import apply_models, by_joint, joint_seed, label_errors, matrix, parts_of, shared_models, summed
 from tribospark.session import materialise
 
 BATCH_ROWS = 256
-ROUNDS = 5
+#: Rows of a joint's first training, at most about.
+FIRST_ROWS = 16_384
+#: Least share by which a round over all rows lowers the loss if it counts; rounds in a row that may not.
+TOLERANCE, PATIENCE = 5e-3, 2
 
 
 def bottleneck(features: int, ratio: float) -> int:
@@ -69,57 +71,95 @@ def gradient(x: np.ndarray, net: list) -> np.ndarray:
     return np.concatenate(parts[::-1])
 
 
-def local_training(flat: np.ndarray, x: np.ndarray, ratio: float, epochs: int, rate: float, rng) -> np.ndarray:
-    """Adam over mini-batches of one chunk, starting at the shared weights."""
-    flat, m, v, t = flat.copy(), 0.0, 0.0, 0
-    net = layers(flat, x.shape[1], ratio)
+def adam(state: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
+    """One step on ``state``: steps so far, weights, and the two moments."""
+    t, (w, m, v) = state[0] + 1, np.split(state[1:], 3)
+    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return np.concatenate([[t], w, m, v])
+
+
+def first_training(x: np.ndarray, ratio: float, epochs: int, rate: float, rng: np.random.Generator) -> np.ndarray:
+    """Adam over mini-batches of the rows, from random weights."""
+    w = start_weights(x.shape[1], ratio, rng)
+    state = np.concatenate([[0.0], w, np.zeros(2 * len(w))])
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for start in range(0, len(x), BATCH_ROWS):
-            g = gradient(x[order[start : start + BATCH_ROWS]], net)
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return flat
+            net = layers(state[1 : 1 + len(w)], x.shape[1], ratio)
+            state = adam(state, gradient(x[order[start : start + BATCH_ROWS]], net), rate)
+    return state
+
+
+def _first_models(points: DataFrame, ratio: float, epochs: int, rate: float, seed: int) -> DataFrame:
+    """joint_id, features and the state after the first training, on about FIRST_ROWS rows of a joint drawn by a hash."""
 
+    def train(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        x, joint = matrix(table["x"]), table["joint_id"][0].as_py()
+        state = first_training(x, ratio, epochs, rate, joint_seed(joint, seed))
+        return pa.table({"joint_id": table["joint_id"][:1], "features": pa.array([x.shape[1]], pa.int32()), "state": pa.array([state], pa.list_(pa.float64()))})
 
-def autoencoder_errors(rows: DataFrame, params: dict, seed: int = 42, chunk_rows: int = CHUNK_ROWS, rounds: int = ROUNDS, **sharing) -> DataFrame:
+    sizes = points.groupBy("joint_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    share = F.shiftrightunsigned(F.xxhash64("joint_id", "seq", F.lit(seed)), 11) / float(2**53)
+    drawn = points.join(sizes, "joint_id").where((share < FIRST_ROWS / F.col("n")) | (F.col("seq") == F.col("first")))
+    return drawn.select("joint_id", "seq", "x").groupBy("joint_id").applyInArrow(train, "joint_id string, features int, state array<double>")
+
+
+def fit_autoencoder(points: DataFrame, params: dict, seed: int = 42, **sharing) -> DataFrame:
+    """joint_id, features, w, loss (mean squared error over all rows) and rounds of each joint's network.
+
+    After the first training every round sums the gradient over all rows of a joint and takes one Adam
+    step, whose moments travel in the model table. A joint rests once a round lowers its best loss by
+    less than TOLERANCE, or after as many rounds as epochs; the weights of the best loss stand.
+    """
+    ratio, epochs, rate = params.get("encoding_dim_ratio", 0.5), params.get("epochs", 50), params.get("learning_rate", 0.001)
+    none = F.lit(None).cast("double")
+    models = materialise(_first_models(points, ratio, epochs, rate, seed).select(
+        "joint_id", "features", "state", F.array().cast("array<double>").alias("w"), none.alias("loss"), F.lit(0).alias("rounds"), F.lit(0).alias("waited")))
+    schema = "joint_id string, features int, state array<double>, w array<double>, loss double, rounds int, waited int"
+
+    def partial(model: dict, x: np.ndarray) -> np.ndarray:
+        if model["waited"] >= PATIENCE:
+            return np.zeros(1)
+        weights = np.asarray(model["state"])[1 : 1 + (len(model["state"]) - 1) // 3]
+        net = layers(weights, x.shape[1], ratio)
+        loss = ((forward(x, net)[-1] - x) ** 2).sum()
+        return np.concatenate([[x.size, loss], gradient(x, net) * x.size])
+
+    def move(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, total = left.to_pylist()[0], np.frombuffer(right["state"][0].as_py())
+        if model["waited"] < PATIENCE:
+            state, loss = np.asarray(model["state"]), total[1] / total[0]
+            if model["loss"] is None or loss < model["loss"] * (1 - TOLERANCE):
+                model |= {"w": state[1 : 1 + (len(state) - 1) // 3].tolist(), "loss": loss, "waited": 0}
+            else:
+                model["waited"] += 1
+            model["rounds"] += 1
+            model["waited"] = PATIENCE if model["rounds"] >= epochs else model["waited"]
+            model["state"] = adam(state, total[2:] / total[0], rate).tolist()
+        return pa.Table.from_pylist([model], schema=left.schema)
+
+    known, widest = shared_models(models, **sharing), parts_of(points, **sharing)
+    while True:
+        sums = summed(points, models.select("joint_id", "state", "waited"), partial, widest, known=known, **sharing)
+        models = materialise(models.groupBy("joint_id").cogroup(sums.groupBy("joint_id")).applyInArrow(move, schema))
+        if known is not None:  # of the size that was checked
+            known = {r["joint_id"]: r.asDict() for r in models.select("joint_id", "state", "waited").collect()}
+            done = all(model["waited"] >= PATIENCE for model in known.values())
+        else:
+            done = models.where(F.col("waited") < PATIENCE).isEmpty()
+        if done:
+            return models
+
+
+def autoencoder_errors(rows: DataFrame, params: dict, seed: int = 42, **sharing) -> DataFrame:
     """The rows with ``value``, the mean squared reconstruction error, in place of ``x``."""
-    ratio, epochs = params.get("encoding_dim_ratio", 0.5), params.get("epochs", 50)
-    rate = params.get("learning_rate", 0.001)
-    points = rows.select("joint_id", "seq", "x")
-    # Rounds of whole epochs that add up to the requested number.
-    plan = [epochs // rounds + (1 if i < epochs % rounds else 0) for i in range(rounds)]
-    models = materialise(points.groupBy("joint_id").agg(F.max(F.size("x")).alias("features"), F.array().cast("array<double>").alias("w")))
-
-    def weights(model):
-        if model["w"]:
-            return np.asarray(model["w"])
-        return start_weights(model["features"], ratio, joint_seed(model["joint_id"], seed))
-
-    def trainer(number: int, local: int):
-        def train(left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left.sort_by("seq")
-            model, x = right.to_pylist()[0], matrix(left["x"])
-            joint, chunk = model["joint_id"], left["chunk"][0].as_py()
-            new = local_training(weights(model), x, ratio, local, rate, joint_seed(joint, seed, number, chunk))
-            n = len(new)
-            return pa.table({"joint_id": pa.array([joint] * n, pa.string()), "features": pa.array([model["features"]] * n, pa.int32()),
-                             "i": pa.array(np.arange(n), pa.int32()), "w": pa.array(new * len(x)), "n": pa.array(np.full(n, len(x)), pa.int64())})
-
-        return train
-
-    for number, local in enumerate([e for e in plan if e]):
-        placed = points.withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
-        copies = renewed(chunk_models(placed, models))
-        trained = placed.groupBy("joint_id", "chunk").cogroup(copies.groupBy("joint_id", "chunk")).applyInArrow(
-            trainer(number, local), "joint_id string, features int, i int, w double, n long")
-        mean = trained.groupBy("joint_id", "features", "i").agg((F.sum("w") / F.sum("n")).alias("w"))
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda s: s["w"])
-        models = materialise(mean.groupBy("joint_id", "features").agg(ordered.alias("w")))
+    ratio = params.get("encoding_dim_ratio", 0.5)
+    models = fit_autoencoder(rows.select("joint_id", "seq", "x"), params, seed, **sharing).select("joint_id", "w")
 
     def error(model, x):
-        return ((forward(x, layers(weights(model), x.shape[1], ratio))[-1] - x) ** 2).mean(axis=1)
+        return ((forward(x, layers(np.asarray(model["w"]), x.shape[1], ratio))[-1] - x) ** 2).mean(axis=1)
 
     return apply_models(rows, models, error, **sharing)
 

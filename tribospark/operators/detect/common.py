@@ -154,6 +154,13 @@ def shareable(models: DataFrame, max_joints: int, max_bytes: int) -> bool:
     return (size or 0) <= max_bytes
 
 
+def shared_models(models: DataFrame, max_shared_joints: int = MAX_SHARED_JOINTS, max_shared_bytes: int = MAX_SHARED_BYTES, chunk_rows: int = 0) -> dict | None:
+    """Each joint's model, to travel with the function that uses it, if all of them are within the bounds."""
+    if not shareable(models, max_shared_joints, max_shared_bytes):
+        return None
+    return {r["joint_id"]: r.asDict(recursive=True) for r in models.collect()}
+
+
 def with_models(
     rows: DataFrame,
     models: DataFrame,
@@ -162,17 +169,19 @@ def with_models(
     max_shared_joints: int = MAX_SHARED_JOINTS,
     max_shared_bytes: int = MAX_SHARED_BYTES,
     chunk_rows: int = CHUNK_ROWS,
+    known: dict | None = None,
 ) -> DataFrame:
     """Run ``run(model, rows of that joint)`` on batches of ``rows``.
 
     ``models`` has one row per joint. Small models (a few MB as text, checked) are shared with all tasks
     and the rows stay where they are. Beyond that each bounded chunk of a joint is brought together with a
     copy of its model, so no task and no driver holds all models. A joint of very many chunks has its copies
-    made by several tasks, CHUNKS_PER_COPY each.
+    made by several tasks, CHUNKS_PER_COPY each. ``known`` is what ``shared_models`` gave, if the caller asked.
     """
     columns = rows.columns
-    if shareable(models, max_shared_joints, max_shared_bytes):
-        known = {r["joint_id"]: r.asDict(recursive=True) for r in models.collect()}  # travels with the function, within max_shared_bytes
+    if known is None:
+        known = shared_models(models, max_shared_joints, max_shared_bytes)
+    if known is not None:
 
         def batchwise(batches):
             for batch in batches:
@@ -210,6 +219,50 @@ def apply_models(rows: DataFrame, models: DataFrame, score: Callable[[dict, np.n
     return with_models(rows.select(*kept, "x"), models, run, schema, **sharing)
 
 
+#: States that one task adds up.
+FAN = 64
+
+
+def add_states(parts: DataFrame, widest: int) -> DataFrame:
+    """joint_id and the sum of all ``state`` (float64 numbers as bytes) of a joint; parts has (joint_id, part, state).
+
+    ``widest`` is about how many parts a joint has at most. FAN states or so meet in a task, level by
+    level, so a joint of any number of batches is summed by many tasks. Sums are taken in the order of ``part``.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        table, total = table.sort_by("part"), 0.0
+        for state in table["state"]:
+            total = total + np.frombuffer(state.as_py())
+        return pa.table({"joint_id": table["joint_id"][:1], "part": table["part"][:1], "state": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "joint_id string, part long, state binary"
+    while widest > FAN:
+        widest = -(-widest // FAN)
+        parts = parts.groupBy("joint_id", F.pmod(F.xxhash64("part"), F.lit(widest)).alias("_group")).applyInArrow(add, schema)
+    return parts.groupBy("joint_id").applyInArrow(add, schema)
+
+
+def parts_of(rows: DataFrame, chunk_rows: int = CHUNK_ROWS, **sharing) -> int:
+    """About how many batches or chunks the rows come in, at most."""
+    batch = int(rows.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    each = rows.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    n, tasks = each.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    return tasks + n // min(max(batch, 1), chunk_rows) + 1
+
+
+def summed(rows: DataFrame, models: DataFrame, partial: Callable[[dict, np.ndarray], np.ndarray], widest: int, **sharing) -> DataFrame:
+    """joint_id, state: ``partial(model, x)``, an array of numbers, summed over all rows of each joint."""
+
+    def run(model: dict, table: pa.Table) -> pa.Table:
+        state = np.ascontiguousarray(partial(model, matrix(table["x"])), dtype=float)
+        first = table["seq"][0].as_py()  # tells the batches of a joint apart whatever task has them
+        return pa.table({"joint_id": pa.array([model["joint_id"]], pa.string()), "part": pa.array([first], pa.int64()), "state": pa.array([state.tobytes()], pa.binary())})
+
+    parts = with_models(rows.select("joint_id", "seq", "x"), models, run, "joint_id string, part long, state binary", **sharing)
+    return add_states(parts, widest).drop("part")
+
+
 def label_below(scores: DataFrame, contamination: float, shift: bool) -> DataFrame:
     """-1 for a ``value`` below the contamination quantile of its joint, else 1.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import EVENTS, LINE_ORDER, R, CATALOGUE, catalogue, event_series, line_series, r, rounded, table
 from tribospark.operators import mapping, quality, roles
 from tribospark.operators.ordering import number_rows
-from tribospark.session import scratch_root
+from tribospark.session import materialise, scratch_root
 from tribospark.sources import readers, samples
 
 LINE_TYPES = {
@@ -97,6 +97,15 @@ def profile(spark, d):
     return rounded(out, ["min_val", "max_val", "mean_val", "std_val", "q1", "q3"])
 
 
+def profile_parts(spark, d):
+    """Facts of each column from sketches kept per return flag and then put together."""
+    lines = table(spark, d, "lineitem").select(*LINE_TYPES)
+    out = quality.merged_sketches(materialise(quality.column_sketches(lines, list(NUMERIC), F.col("l_returnflag"))))
+    std = F.sqrt(F.col("m2") / (F.col("present") - 1))
+    return out.select("column", F.col("n").alias("total_rows"), F.col("present").alias("present"), r("lo").alias("min_val"), r("hi").alias("max_val"),
+                      r("mean").alias("mean_val"), r(std).alias("std_val"))
+
+
 def profile_sketch(spark, d):
     """The sketch form: what is exact in it as it is, distinct counts and quartile ranks against the table within their errors."""
     lines = table(spark, d, "lineitem").select(*LINE_TYPES)
@@ -309,6 +318,9 @@ QUERIES = {
     "quality_duplicates": (duplicates, """SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority
         FROM orders)) AS duplicate_rows FROM orders"""),
     "quality_column_profile": (profile, _profile_sql()),
+    "quality_column_profile_parts": (profile_parts, " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS total_rows, count({c}) AS present, {R(f'min({c})')} AS min_val, {R(f'max({c})')} AS max_val, "
+        f"{R(f'avg({c})')} AS mean_val, {R(f'stddev_samp({c})')} AS std_val FROM lineitem" for c in NUMERIC)),
     "quality_column_profile_sketch": (profile_sketch, _sketch_sql()),
     "quality_outliers": (outliers, "SELECT c AS \"column\", CAST(CASE WHEN c = 'value' THEN (SELECT count(*) FROM events, (SELECT quantile_cont(value, 0.25) AS a, "
                          "quantile_cont(value, 0.75) AS b FROM events) WHERE value < a - 3 * (b - a) OR value > b + 3 * (b - a)) ELSE 0 END AS BIGINT) AS outlier_count "

@@ -183,3 +183,18 @@ def test_registered_queries_take_everything(spark, monkeypatch):
     assert len(features.columns) - 3 == 19 and config.params == {"contamination": 0.1} and options == {}
     (_, params), _ = first_call(wear, "autoencoder_errors", queries["detect_autoencoder"][0])
     assert params["epochs"] == 50
+
+
+def test_co_moments_of_many_batches(spark):
+    from tribospark.operators.detect.common import co_moments
+
+    rng = np.random.default_rng(8)
+    a, o = 1e6 + rng.normal(size=500), rng.normal(size=500)
+    b = np.where(np.arange(500) % 5 == 0, np.nan, o * 2 + rng.normal(size=500))
+    b[3], o[10] = np.inf, -np.inf
+    df = spark.createDataFrame([(float(x), None if i % 50 == 7 else float(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, o))], "a double, b double, o double").repartition(7)
+    got = {r["i"]: r for r in co_moments(df, ["a", "b"], "o").collect()}
+    for i, v in enumerate((a, b)):
+        fine = np.isfinite(v) & np.isfinite(o) & ((np.arange(500) % 50 != 7) | (i == 0))
+        r = got[i]
+        assert r["c"] == fine.sum() and r["x"] / np.sqrt(r["s"] * r["so"]) == pytest.approx(np.corrcoef(v[fine], o[fine])[0, 1], rel=1e-6)

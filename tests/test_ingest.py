@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,38 @@ def test_time_facts_of_a_null_joint(spark):
     assert got == {None: 0.5, "a": 0.5}
     far = {r["joint"]: r["sampling_rate_hz"] for r in quality.sampling_summary(quality.time_steps(df, "t", ["n"], ["joint"], max_window_rows=1), ["joint"]).collect()}
     assert far == got
+
+
+def test_sketches_of_parts_add_up(spark):
+    """Kept sketches of two files, with those of a third added later, tell what one scan of all three tells."""
+    rng = np.random.default_rng(4)
+    rows = [("abc"[i % 3], i, None if i % 11 == 0 else float(rng.normal()) * 10 ** (i % 3), float("nan") if i % 7 == 0 else 1.0, f"t{i % 500}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "file string, whole long, v double, one double, name string")
+    columns = ["whole", "v", "one", "name"]
+    kept = quality.column_sketches(df.where("file <> 'c'"), columns, F.col("file"))
+    assert kept.count() == 8
+    both = kept.unionByName(quality.column_sketches(df.where("file = 'c'"), columns, F.lit("c")))
+    whole = {r["column"]: r for r in quality.column_sketches(df, columns).collect()}
+    marks = F.when(F.col("mean").isNotNull(), F.kll_sketch_get_quantile_double("values", F.array(F.lit(0.25), F.lit(0.75)))).alias("marks")
+    got = {r["column"]: r for r in quality.merged_sketches(both).select("*", F.hll_sketch_estimate("distinct").alias("unique"), marks).collect()}
+    for c in columns:
+        a, b = got[c], whole[c]
+        assert [a[k] for k in ("n", "present", "lo", "hi")] == [b[k] for k in ("n", "present", "lo", "hi")]
+        if c != "name":
+            assert a["mean"] == pytest.approx(b["mean"]) and a["m2"] == pytest.approx(b["m2"], rel=1e-9, abs=1e-9)
+    assert got["whole"]["unique"] == pytest.approx(6000, rel=0.03) and got["name"]["unique"] == pytest.approx(500, rel=0.03) and got["one"]["unique"] == 1
+    v = sorted(r[2] for r in rows if r[2] is not None)
+    for q, mark in zip((0.25, 0.75), got["v"]["marks"]):
+        assert abs(np.searchsorted(v, mark) / len(v) - q) < 0.002
+    assert got["name"]["lo"] is None and got["one"]["present"] == sum(i % 7 > 0 for i in range(6000))
+
+
+def test_profile_of_chosen_exact_columns(spark):
+    rows = [(i, float(i % 50) if i % 9 else 1e6, str(i % 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a long, b double, c string")
+    full, some, none = (({r["column"]: r for r in quality.profile_columns(df, exact).collect()}) for exact in (True, ["b"], False))
+    assert some["b"].asDict() == full["b"].asDict()
+    for c in "abc":
+        for k in ("missing_count", "min_val", "max_val", "mean_val", "outlier_count", "total_rows", "dtype", "position"):
+            assert none[c][k] == pytest.approx(full[c][k]) if isinstance(full[c][k], float) else none[c][k] == full[c][k], (c, k)
+    assert none["a"]["std_val"] == pytest.approx(full["a"]["std_val"]) and none["a"]["unique_count"] == pytest.approx(2000, rel=0.03)

@@ -36,14 +36,6 @@ def usable(name: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def stacked(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
-    """One (i, v) row per usable value of each column. A wide aggregate over many columns outgrows
-    what the JVM compiles; the stacked form aggregates on the column number instead."""
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    long = df.select(*keep, F.posexplode(values).alias("i", "v"))
-    return long.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
-
-
 def column_moments(features: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """by, i, c, m, s: for each batch of rows and each column its usable values, their mean and sum of squared deviations.
 
@@ -54,7 +46,9 @@ def column_moments(features: DataFrame, columns: list[str], by: list[str]) -> Da
 
     def partial(batches):
         for batch in batches:
-            x = np.column_stack([batch.column(str(i)).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))])
+            if not batch.num_rows:
+                continue
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             if key:
                 coded = batch.column(key).dictionary_encode(null_encoding="encode")
                 codes, names = coded.indices.to_numpy(), coded.dictionary
@@ -72,9 +66,42 @@ def column_moments(features: DataFrame, columns: list[str], by: list[str]) -> Da
                     columns_ = {key: pa.array([names[code].as_py()] * len(columns), names.type)} | columns_
                 yield pa.record_batch(columns_)
 
-    values = [F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)]
+    # one array passes to Python in an eighth of the time of as many columns
+    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
     schema = (f"`{key}` {kinds[key]}, " if key else "") + "i int, c long, m double, s double"
-    return features.select(*by, *values).mapInArrow(partial, schema).where("c > 0")
+    return features.select(*by, values).mapInArrow(partial, schema).where("c > 0")
+
+
+def co_moments(rows: DataFrame, columns: list[str], other: str) -> DataFrame:
+    """i, c, m, mo, s, so, x: per column, over rows where it and ``other`` are finite, their number, means, sums
+    of squared deviations and of the deviations' products.
+
+    Every batch adds up its own rows; one row for each batch and column is shuffled and merged.
+    """
+
+    def partial(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            o = batch.column("_o").to_numpy(zero_copy_only=False).astype(float)[:, None]
+            fine = np.isfinite(v) & np.isfinite(o)
+            c = fine.sum(axis=0)
+            v, o = np.where(fine, v, 0.0), np.where(fine, o, 0.0)
+            m, mo = v.sum(axis=0) / np.maximum(c, 1), o.sum(axis=0) / np.maximum(c, 1)
+            v, o = np.where(fine, v - m, 0.0), np.where(fine, o - mo, 0.0)
+            sums = {"m": m, "mo": mo, "s": (v * v).sum(axis=0), "so": (o * o).sum(axis=0), "x": (v * o).sum(axis=0)}
+            yield pa.record_batch({"i": pa.array(np.arange(len(c)), pa.int32()), "c": pa.array(c, pa.int64())} | {k: pa.array(a) for k, a in sums.items()})
+
+    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
+    parts = rows.select(values, F.col(other).cast("double").alias("_o")).mapInArrow(partial, "i int, c long, m double, mo double, s double, so double, x double").where("c > 0")
+    together, c = Window.partitionBy("i"), F.col("c")
+    centre = lambda name: F.sum(c * F.col(name)).over(together) / F.sum("c").over(together)
+    parts = parts.withColumns({"_m": centre("m"), "_mo": centre("mo")})
+    dm, do = F.col("m") - F.col("_m"), F.col("mo") - F.col("_mo")
+    return parts.groupBy("i").agg(
+        F.sum("c").alias("c"), F.max("_m").alias("m"), F.max("_mo").alias("mo"), F.sum(F.col("s") + c * dm * dm).alias("s"),
+        F.sum(F.col("so") + c * do * do).alias("so"), F.sum(F.col("x") + c * dm * do).alias("x"))
 
 
 def scaling_stats(features: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

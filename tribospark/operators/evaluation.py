@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from tribospark.operators.detect.common import matrix, stacked, standardise, usable
+from tribospark.operators.detect.common import EPSILON, co_moments, matrix, standardise, usable
 from tribospark.operators.detect.registry import MODELS, ModelConfig, check_config, default_config
 from tribospark.operators.ordering import number_rows, running_totals
 from tribospark.operators.quantiles import exact_quantiles
@@ -316,11 +316,14 @@ def _ranked(raw: DataFrame, top_n: int | None, extra: tuple[str, ...] = ()) -> D
 
 def correlation_importance(scored: DataFrame, columns: list[str] | None = None, top_n: int | None = None,
                            exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Features by absolute correlation with the score, all in one aggregate."""
+    """Features by absolute correlation with the score, from one scan.
+
+    A column that varies no more than the rounding error of its mean counts as constant.
+    """
     columns = columns or feature_columns(scored, exclude)
-    pairs = stacked(scored.filter(is_finite(F.col("anomaly_score"))), ["anomaly_score"], columns)
-    found = pairs.groupBy("i").agg(# ``corr`` itself raises on a constant column under ANSI rules
-        F.abs(F.try_divide(F.covar_pop("v", "anomaly_score"), F.stddev_pop("v") * F.stddev_pop("anomaly_score"))).alias("r"), F.count("*").alias("c"))
+    varies = lambda spread, mean: F.col(spread) > F.col("c") * F.pow(F.col(mean) * EPSILON, F.lit(2.0)) * F.col("c")
+    found = co_moments(scored, columns, "anomaly_score")
+    found = found.withColumn("r", F.when(varies("s", "m") & varies("so", "mo"), F.abs(F.col("x") / F.sqrt(F.col("s")) / F.sqrt(F.col("so")))))
     defined = (F.col("c") >= 10) & F.col("r").isNotNull() & ~F.isnan("r")
     names = scored.sparkSession.createDataFrame(list(enumerate(columns)), "place int, feature string")
     raw = names.join(found, F.col("place") == F.col("i"), "left").select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from tribospark.operators.fileorder import steps_by_runs
 from tribospark.operators.ordering import MAX_WINDOW_ROWS, number_rows, with_previous
@@ -35,8 +35,9 @@ def epoch_divisor(reference: Column) -> Column:
     return F.when(size > 1e17, 1e9).when(size > 1e14, 1e6).when(size > 1e11, 1e3).otherwise(1.0)
 
 
-#: Of the sketches: relative error of distinct counts, and one over the error of a quartile's rank.
-SKETCH_ERROR, SKETCH_ACCURACY = 0.02, 10_000
+#: Of the sketches: log2 of the registers of distinct counts (error 0.8 %), and the size that bounds the error of a
+#: quartile's rank (below 0.1 %).
+DISTINCT_BITS, QUANTILE_SIZE = 14, 8_192
 
 
 def _numeric_columns(df: DataFrame) -> list[str]:
@@ -44,24 +45,7 @@ def _numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _value(name: str) -> Column:
-    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
-
-
-def _cells(df: DataFrame, columns: list[str], numeric: set[str]) -> DataFrame:
-    """Wide to long: one (column, whole, value, text) row per non-missing cell.
-
-    Integers keep an exact ``whole`` besides ``value``, so that neither needs a text form.
-    """
-    structs = []
-    for name in columns:
-        kind = df.schema[name].dataType
-        whole = F.col(name).cast("long") if isinstance(kind, IntegralType) else F.lit(None).cast("long")
-        value = _value(name) if name in numeric else F.lit(None).cast("double")
-        exact = isinstance(kind, (IntegralType, FractionalType)) and not isinstance(kind, DecimalType)
-        text = F.lit(None).cast("string") if exact else F.col(name).cast("string")
-        structs.append(F.struct(F.lit(name).alias("column"), whole.alias("whole"), value.alias("value"), text.alias("text")))
-    cells = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
-    return cells.filter(F.col("value").isNotNull() | F.col("text").isNotNull())
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -73,48 +57,134 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
+def _counted(df: DataFrame, name: str, numeric: bool) -> DataFrame:
+    """Each value of a column that is not missing, with its number of copies; numbers also as ``value``."""
+    fractional = isinstance(df.schema[name].dataType, (FloatType, DoubleType))
+    raw = (_value(name) if fractional else F.col(f"`{name}`")).alias("raw")
+    counts = df.select(raw).where(F.col("raw").isNotNull()).groupBy("raw").agg(F.count("*").alias("copies"))
+    value = F.col("raw").cast("double") if numeric else F.lit(None).cast("double")
+    return counts.select(F.lit(name).alias("column"), value.alias("value"), "copies")
+
+
+def _exact_facts(df: DataFrame, columns: list[str], numeric: set[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Per column its facts but the outliers, and the counted values of numeric columns.
+
+    Every column is grouped by itself, in its own type, so the table is read column by column and equal
+    values meet before they are shuffled.
+    """
+    facts = [
+        _counted(df, c, False).agg(F.sum("copies").alias("_present"), F.count("*").alias("unique_count")).select(
+            F.lit(c).alias("column"), "_present", "unique_count", *[F.lit(None).cast("double").alias(n) for n in ("min_val", "max_val", "mean_val", "q1", "q3")])
+        for c in columns if c not in numeric]
+    counted = None
+    if numeric & set(columns):
+        value, copies = F.col("value"), F.col("copies")
+        counted = materialise(reduce(DataFrame.unionByName, [_counted(df, c, True) for c in columns if c in numeric]))
+        present = counted.groupBy("column").agg(
+            F.sum(copies).alias("_present"), F.count("*").alias("unique_count"), F.min(value).alias("min_val"), F.max(value).alias("max_val"),
+            (F.sum(value * copies) / F.sum(copies)).alias("mean_val"))
+        quartiles = exact_quantiles(counted, ["column"], "value", [0.25, 0.75], "_q", weight="copies")
+        facts.append(present.join(quartiles, "column", "left").withColumns({"q1": F.col("_q")[0], "q3": F.col("_q")[1]}).drop("_q"))
+    return reduce(DataFrame.unionByName, facts), counted
+
+
+def column_sketches(df: DataFrame, columns: list[str] | None = None, part: Column | None = None) -> DataFrame:
+    """One row per part and column, from one scan: part, column, n, present, lo, hi, mean, m2 and the sketches.
+
+    ``part`` may name the input file or its date: rows of new files are then added to those kept,
+    ``merged_sketches`` joins them, and no old file is read again. Distinct counts are kept as HyperLogLog, values as KLL sketches.
+    """
+    columns = columns or df.columns
+    numeric = set(_numeric_columns(df))
+    none = F.lit(None)
+    facts = []
+    for name in columns:
+        v = _value(name) if name in numeric else none.cast("double")
+        cell = v if name in numeric and isinstance(df.schema[name].dataType, (FloatType, DoubleType)) else F.col(f"`{name}`")
+        present = F.when(cell.isNotNull(), F.xxhash64(cell))
+        facts.append(F.struct(
+            F.lit(name).alias("column"), F.count("*").alias("n"), F.count(cell).alias("present"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"),
+            (F.var_pop(v) * F.count(v)).alias("m2"), F.hll_sketch_agg(present, DISTINCT_BITS).alias("distinct"),
+            (F.kll_sketch_agg_double(v, QUANTILE_SIZE) if name in numeric else none.cast("binary")).alias("values")))
+    wide = df.groupBy((part if part is not None else none.cast("string")).alias("part")).agg(F.array(*facts).alias("_c"))
+    return wide.select("part", F.explode("_c").alias("_c")).select("part", "_c.*")
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """The parts of ``column_sketches`` put together: one row per column, part null."""
+    known = F.when(F.col("mean").isNotNull(), F.col("present"))
+    whole = Window.partitionBy("column")
+    centre = F.try_divide(F.sum(F.col("mean") * known).over(whole), F.sum(known).over(whole))
+    off = F.col("mean") - F.col("_centre")
+    return sketches.withColumn("_centre", centre).groupBy("column").agg(
+        F.lit(None).cast("string").alias("part"), F.sum("n").alias("n"), F.sum("present").alias("present"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.max("_centre").alias("mean"), F.sum(F.col("m2") + known * off * off).alias("m2"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("values", QUANTILE_SIZE).alias("values")).select(*sketches.columns)
+
+
+def _sketched_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    sketches = column_sketches(df, columns)
+    marks = F.when(F.col("mean").isNotNull(), F.kll_sketch_get_quantile_double("values", F.array(F.lit(0.25), F.lit(0.75))))
+    facts = sketches.withColumn("_q", marks)
+    return facts.select(
+        "column", F.col("present").alias("_present"), F.hll_sketch_estimate("distinct").alias("unique_count"), F.col("lo").alias("min_val"), F.col("hi").alias("max_val"),
+        F.col("mean").alias("mean_val"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
+        F.sqrt(F.try_divide("m2", F.when(F.col("mean").isNotNull(), F.col("present")) - 1)).alias("std_val"))
+
+
+def _fences(stats: DataFrame) -> DataFrame:
+    """The stats with the bounds beyond which a value is an outlier; null where none is."""
+    spread = F.col("q3") - F.col("q1")
+    fenced = (F.col("_present") >= MIN_OUTLIER_ROWS) & (spread >= 1e-12)
+    return stats.withColumns({"_low": F.when(fenced, F.col("q1") - IQR_FACTOR * spread), "_high": F.when(fenced, F.col("q3") + IQR_FACTOR * spread)})
+
+
+def profile_columns(df: DataFrame, exact: bool | list[str] = True) -> DataFrame:
     """One row per column: type, missing and distinct counts; for numeric columns also the moments,
     quartiles and outliers outside the 3-IQR fences.
 
-    The exact form reads the table once: distinct cells with their number of copies are counted, and all else
-    follows from those. ``exact=False`` replaces distinct counts and quartiles by mergeable sketches, which removes
-    the shuffle of cell values and reads the table twice (the second time for the outliers).
+    ``exact`` names the columns (True: all, False: none) whose distinct counts and quartiles are exact. That
+    costs a shuffle of their distinct values. Those of the others come from mergeable sketches, in one scan that
+    shuffles a row for each task; columns with values beyond the fences are read once more to count them.
     """
     numeric, columns, types = _numeric_columns(df), df.columns, dict(df.dtypes)
+    sure = columns if exact is True else [c for c in columns if exact and c in exact]
+    rough = [c for c in columns if c not in sure]
     frame = df.sparkSession.createDataFrame(
         [(i, c, types[c]) for i, c in enumerate(columns)], "position int, column string, dtype string")
     totals = materialise(df.agg(F.count("*").alias("total_rows")))
-    cells = _cells(df, columns, set(numeric))
-    value, copies = F.col("value"), F.col("copies")
-    if exact:
-        counted = materialise(cells.groupBy("column", "whole", "value", "text").agg(F.count("*").alias("copies")))
-        present = counted.groupBy("column").agg(
-            F.sum(copies).alias("_present"), F.count("*").alias("unique_count"), F.min(value).alias("min_val"), F.max(value).alias("max_val"),
-            (F.sum(value * copies) / F.sum(F.when(value.isNotNull(), copies))).alias("mean_val"))
-        quartiles = exact_quantiles(counted, ["column"], "value", [0.25, 0.75], "quartiles", weight="copies")
+    frame = frame.withColumn("total_rows", totals.select("total_rows").scalar())
+    parts, counted = [], None
+    if sure:
+        facts, counted = _exact_facts(df, sure, set(numeric))
+        parts.append(facts.withColumn("std_val", F.lit(None).cast("double")))
+    if rough:
+        parts.append(_sketched_facts(df, rough))
+    facts = reduce(DataFrame.unionByName, parts)
+    stats = frame.join(facts, "column", "left").fillna(0, ["unique_count", "_present"])
+    stats = materialise(_fences(stats.withColumn("missing_count", F.col("total_rows") - F.col("_present"))))  # one row for each column
+    around = []
+    if counted is not None:
+        value, copies = F.col("value"), F.col("copies")
+        off = value - F.col("mean_val")
+        around.append(counted.join(stats.select("column", "mean_val", "_low", "_high"), "column").groupBy("column").agg(
+            F.sqrt(F.try_divide(F.sum(copies * off * off), F.sum(copies) - 1)).alias("_std"),
+            F.sum(F.when((value < F.col("_low")) | (value > F.col("_high")), copies).otherwise(0)).alias("outlier_count")))
+    beyond = stats.where((F.col("min_val") < F.col("_low")) | (F.col("max_val") > F.col("_high"))).select("column", "_low", "_high").collect() if rough else []
+    beyond = [row for row in beyond if row["column"] in rough]
+    if beyond:
+        counts = [F.struct(F.lit(row["column"]).alias("column"), F.lit(None).cast("double").alias("_std"),
+                           F.count_if((_value(row["column"]) < row["_low"]) | (_value(row["column"]) > row["_high"])).alias("outlier_count")) for row in beyond]
+        around.append(df.agg(F.array(*counts).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*"))
+    if around:
+        stats = stats.join(reduce(DataFrame.unionByName, around), "column", "left")
     else:
-        counted = cells.withColumn("copies", F.lit(1).cast("long"))
-        text = F.coalesce(F.col("whole").cast("string"), value.cast("string"), "text")
-        present = cells.groupBy("column").agg(
-            F.count("*").alias("_present"), F.approx_count_distinct(text, SKETCH_ERROR).alias("unique_count"), F.min(value).alias("min_val"),
-            F.max(value).alias("max_val"), F.avg(value).alias("mean_val"), F.percentile_approx(value, [0.25, 0.75], SKETCH_ACCURACY).alias("quartiles"))
-        present, quartiles = present.drop("quartiles"), present.select("column", "quartiles")
-    stats = frame.withColumn("total_rows", totals.select("total_rows").scalar()).join(present, "column", "left").join(quartiles, "column", "left")
-    stats = stats.fillna(0, ["unique_count", "_present"]).withColumn("missing_count", F.col("total_rows") - F.col("_present"))
-    stats = stats.withColumns({"q1": F.col("quartiles")[0], "q3": F.col("quartiles")[1]}).drop("quartiles")
-    stats = materialise(stats)  # one row for each column
-    spread = F.col("q3") - F.col("q1")
-    fenced = (F.col("_present") >= MIN_OUTLIER_ROWS) & (spread >= 1e-12)
-    out = fenced & ((value < F.col("q1") - IQR_FACTOR * spread) | (value > F.col("q3") + IQR_FACTOR * spread))
-    around = counted.where(value.isNotNull()).join(stats.select("column", "mean_val", "q1", "q3", "_present"), "column").groupBy("column").agg(
-        F.sqrt(F.try_divide(F.sum(copies * (value - F.col("mean_val")) * (value - F.col("mean_val"))), F.sum(copies) - 1)).alias("std_val"),
-        F.sum(F.when(out, copies).otherwise(0)).alias("outlier_count"))
+        stats = stats.withColumns({"_std": F.lit(None).cast("double"), "outlier_count": F.lit(0)})
     missing_pct = F.round(F.try_divide(F.col("missing_count"), F.col("total_rows")) * 100, 2)
-    return stats.join(around, "column", "left").select(
-        "position", "column", "dtype", "missing_count", F.coalesce(missing_pct, F.lit(0.0)).alias("missing_pct"),
-        "unique_count", "min_val", "max_val", "mean_val", "std_val", "q1", "q3", F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"), "total_rows",
-    )
+    return stats.select(
+        "position", "column", "dtype", "missing_count", F.coalesce(missing_pct, F.lit(0.0)).alias("missing_pct"), "unique_count", "min_val", "max_val", "mean_val",
+        F.coalesce("_std", "std_val").alias("std_val"), "q1", "q3", F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"), "total_rows",
+    )
 
 
 def column_warnings(profile: DataFrame, max_missing_pct: float = 50.0) -> DataFrame:
@@ -214,7 +284,7 @@ def validate_dataset(
     max_missing_pct: float = 50.0,
     max_duplicate_pct: float = 30.0,
     by_joint: bool = False,
-    exact: bool = True,
+    exact: bool | list[str] = True,
     facts: DataFrame | None = None,
 ) -> QualityReport:
     """All checks. ``order_cols`` give the file order; ``by_joint`` measures time steps inside joints.

@@ -300,8 +300,8 @@ def test_alignment_matches_equal_words_in_order(text, template):
 
 
 def test_license_places(spark):
-    mit = license_align.TEMPLATES["MIT-notice"]
-    apache = license_align.TEMPLATES["Apache-2.0-header"]
+    mit = license_align.NOTICES["MIT-notice"]
+    apache = license_align.NOTICES["Apache-2.0-header"]
     edited = mit.replace("free of charge", "at no cost").replace("merge,", "")
     rows = [(0, "prose here " * 50 + "Released under the MIT License. " + "more prose " * 50), (1, edited), (2, "x " * 3000 + apache + " y" * 3000 + " " + mit),
             (3, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (4, "the license of the version under the released prose"), (5, None), (6, ""), (None, "All rights reserved.")]
@@ -313,6 +313,64 @@ def test_license_places(spark):
     assert [n for n, *_ in got[None]] == ["All-rights-reserved"] and license_align.scan_licenses(empty(spark)).count() == 0
 
 
+NEAR_MISSES = [
+    ("Licensed under CC BY 4.0", ["CC-BY-4.0"]), ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+    ("Licensed under CC BY-SA 3.0", ["CC-BY-SA-3.0"]), ("Licensed under CC BY 1.0", []), ("released under the BSD License", ["BSD"]), ("released under the 3-clause BSD license", ["BSD-3-Clause"]),
+    ("released under the New BSD License", ["BSD-3-Clause"]), ("released under the BSD 2-Clause License", ["BSD-2-Clause"]), ("released under the MIT License", ["MIT"]),
+    ("Released under the MIT-0 license", ["MIT-0"]), ("released under the Expat License", []), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]), ("This work is licensed under the GNU General Public License, version 4.", []),
+    ("licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]), ("licensed under the GNU Lesser General Public License v2.1", ["LGPL-2.1"]),
+    ("licensed under the GNU Affero General Public License v3.0", ["AGPL-3.0"]), ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 1.1", []), ("Licensed under the Mozilla Public License 2.0", ["MPL-2.0"]), ("Not all rights are reserved", []),
+    ("All rights, as ever, reserved", []), ("All rights reserved", ["All-rights-reserved"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0-only"]), ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: Other-1.0", []),
+    ("the MIT of this license was released", []), ("the software is available under the terms of the Boost Software License 1.0", ["BSL-1.0"]), ("under the terms of the ISC license", ["ISC"]),
+    ("Creative Commons", []), ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+    ("licensed under a Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]), ("released under the Unlicense", ["Unlicense"]), ("distributed under CC0", ["CC0-1.0"]),
+]
+
+
+def test_statements_are_told_from_their_siblings():
+    known = license_align.Catalogue(license_align.catalogue())
+    names = lambda text: [name for _, _, name, _ in known.find(license_align.words_of(text))]
+    for text, want in NEAR_MISSES:
+        assert names(f"Some prose before it. {text} and some prose after it.") == want, text
+    for name, text in license_align.NOTICES.items():
+        assert name in names(text) and all(c == 1 for _, _, n, c in known.find(license_align.words_of(text)) if n == name)
+        others = [n for n in names(text) if n != name and n in license_align.NOTICES]
+        assert others == [], (name, others)
+    three = license_align.NOTICES["GPL-3.0-notice"]
+    assert names(three.replace("{3}", "2")) == ["GPL-2.0-notice"] and names(three.replace("{3}", "9")) == []
+    assert names(license_align.NOTICES["BSD-3-Clause-text"].replace("copyright holder", "Regents of the University")) == ["BSD-3-Clause-text"]
+    assert names(" ".join([license_align.NOTICES["ISC-notice"], license_align.NOTICES["MIT-text"]])) == ["ISC-notice", "MIT-text"]
+
+
+def test_licenses_against_every_place(spark):
+    """Each place of each text aligned with each statement, without passing any over."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    statements = [*license_align.NOTICES.items(), ("MIT", "Released under the MIT License"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0")]
+    rng = np.random.default_rng(2)
+    for name in ("MIT-notice", "GPL-2.0-notice", "MPL-2.0-notice"):  # with words lost and others put in
+        words = [w for w in license_align.words_of(license_align.NOTICES[name]) if rng.random() > 0.05]
+        texts.append("before " + " ".join(w if rng.random() > 0.05 else f"{w} extra" for w in words) + " after")
+    known, total = license_align.Catalogue(statements), 0
+    for text in texts:
+        words, want = license_align.words_of(text), []
+        for name, statement in statements:
+            s, at = license_align.Statement(name, statement), 0
+            while at < len(words):
+                found = s.at(words, at) if words[at] in s.counts else None
+                if found:
+                    want.append((at, found[0], name, found[1] / len(s.words)))
+                at = found[0] if found else at + 1
+        got = known.find(words)
+        assert set(got) <= set(want)
+        for a, b, name, _ in set(want) - set(got):  # left out for another of the family or for a longer one around it
+            assert any(x < b and a < y and n != name for x, y, n, _ in got)
+        total += len(got)
+    assert total > 5
+
+
 def test_license_lines_of_the_documents(spark):
     """Against a search for the lines as plain text."""
     lines = ["licensed under the apache license, version 2.0", "released under the mit license", "gnu general public license, version 3", "cc by-nc 4.0", "all rights reserved"]

@@ -17,25 +17,87 @@ from pyspark.sql import DataFrame
 
 from tribospark.llm.text import text_values
 
-# Public license statements and notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+# Names that licenses go by in a sentence, by their identifiers.
+TITLES = {
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU Affero General Public License v3", "GNU AGPL v3", "AGPL v3", "AGPLv3", "AGPL-3.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2.0"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD": ["BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD 2-Clause", "2-clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD 3-Clause", "3-clause BSD License", "New BSD License", "Modified BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 License", "Creative Commons Zero v1.0 Universal"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, version 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU General Public License v2", "GNU GPL v2", "GNU GPL version 2", "GPL v2", "GPLv2", "GPL version 2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU General Public License v3", "GNU GPL v3", "GNU GPL version 3", "GPL v3", "GPLv3", "GPL version 3", "GPL-3.0"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPL v2.1", "LGPLv2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License v3", "GNU LGPL v3", "LGPL v3", "LGPLv3", "LGPL-3.0"],
+    "MIT": ["MIT License", "MIT"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0 License", "MIT-0"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+}
+# What such a sentence says before the name, and identifiers of the one-line form.
+LEADS = ("licensed under", "released under", "distributed under", "available under", "published under", "provided under", "under the terms of")
+ARTICLES = ("", "the", "a", "an")
+IDENTIFIERS = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+)
+# The parts of Creative Commons licenses, and the words that stand for them.
+COMMONS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+COMMONS_KINDS = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
+COMMONS_VERSIONS = ("2.0", "3.0", "4.0")
+# Sentences and notices as they are published. A word in {braces} must be found there; it tells the text from its siblings.
+NOTICES = {
     "All-rights-reserved": "All rights reserved.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "Apache-2.0-header": "Licensed under the {Apache} License, Version {2}.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, {sublicense}, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, {sublicense}, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND {NONINFRINGEMENT}. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without {fee} is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must {reproduce} the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must {reproduce} the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. {Neither} the name of the copyright holder nor the names of its contributors may be used to {endorse} or promote products derived from this software without specific prior written permission.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2}.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {General} Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {General} Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {Lesser} General Public License as published by the Free Software Foundation; either version {2}.{1} of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU {Lesser} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {Affero} General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the {public} domain worldwide. This software is distributed without any warranty.",
+    "Unlicense-text": "This is free and {unencumbered} software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-#: Share of a statement's words that must be found.
+#: Notices that share most of their words: where several are found in one place, the one with the most matched words stands.
+FAMILIES = (("MIT-notice", "MIT-text"), ("BSD-2-Clause-text", "BSD-3-Clause-text"),
+            ("GPL-2.0-notice", "GPL-3.0-notice", "LGPL-2.1-notice", "LGPL-3.0-notice", "AGPL-3.0-notice"))
+#: Statements of fewer words must be found whole and in one piece.
+SHORT = 15
+#: Share of a longer statement's words that must be found.
 COVERAGE = 0.8
-#: A statement may lie in this many times as many words as it has, and a few more.
+#: A longer statement may lie in this many times as many words as it has, and a few more.
 STRETCH, SLACK = 1.5, 2
 TOKEN = re.compile(r"\w+")
 
 
+def catalogue() -> list[tuple[str, str]]:
+    """(name, statement) of all statements: the notices, every title after every lead, and the one-line identifiers."""
+    titles = [(name, title) for name, all_ in TITLES.items() for title in all_]
+    for kind in COMMONS_KINDS:
+        parts = "-".join(COMMONS[part] for part in kind.split("-"))
+        for version in COMMONS_VERSIONS:
+            name = f"CC-{kind}-{version}"
+            titles += [(name, f"CC {kind} {version}"), (name, f"CC-{kind}-{version}"), (name, f"Creative Commons {kind} {version}")]
+            titles += [(name, f"Creative Commons {parts} {version}{more}") for more in ("", " License", " International License", " International", " Unported License")]
+    leads = [" ".join(filter(None, (lead, article))) for lead in LEADS for article in ARTICLES]
+    said = [(name, f"{lead} {title}") for name, title in titles for lead in leads]
+    commons = [f"CC-{kind}-{version}" for kind in COMMONS_KINDS for version in COMMONS_VERSIONS]
+    lines = [(name, f"SPDX-License-Identifier: {name}") for name in (*IDENTIFIERS, *commons)]
+    return [*NOTICES.items(), *said, *lines]
+
+
 def words_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
@@ -87,14 +149,24 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 class Statement:
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float = COVERAGE):
         self.name, self.words = name, words_of(text)
+        marked = re.sub(r"\{(\w+)\}", r"must_\1", text)
+        self.must = {i for i, word in enumerate(words_of(marked)) if word.startswith("must_")}
         self.counts = Counter(self.words)
-        self.need = max(1, -int(-coverage * len(self.words) // 1))
-        self.width = int(STRETCH * len(self.words)) + SLACK
+        self.short = len(self.words) < SHORT
+        self.need = len(self.words) if self.short else max(1, -int(-coverage * len(self.words) // 1))
+        self.width = len(self.words) if self.short else int(STRETCH * len(self.words)) + SLACK
+
+    def at(self, text: list[str], start: int) -> tuple[int, int] | None:
+        """(last word + 1, matched words) of the statement if it starts at this word."""
+        matched = align(text[start : start + self.width], self.words)
+        if len(matched) < self.need or matched[0][0] > 0 or not self.must <= {place for _, place in matched}:
+            return None
+        return start + matched[-1][0] + 1, len(matched)
 
-    def spans(self, text: list[str], known: set[str]) -> Iterator[tuple[int, int, float]]:
-        """(first word, last word + 1, coverage) of each place with enough coverage, left to right.
+    def spans(self, text: list[str], known: set[str]) -> Iterator[tuple[int, int, int]]:
+        """(first word, last word + 1, matched words) of each place with enough coverage, left to right.
 
         A place needs as many of the statement's words within its width, so the others are passed over.
         """
@@ -104,25 +176,56 @@ class Statement:
         k = 0
         while k + self.need <= len(hits):
             start = hits[k]
-            if hits[k + self.need - 1] - start >= self.width:
+            found = self.at(text, start) if hits[k + self.need - 1] - start < self.width else None
+            if found is None:
                 k += 1
                 continue
-            matched = align(text[start : start + self.width], self.words)
-            if len(matched) < self.need or matched[0][0] > 0:
-                k += 1
-                continue
-            end = start + matched[-1][0] + 1
-            yield start, end, len(matched) / len(self.words)
-            k = bisect_left(hits, end)
-
-
-def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+            yield start, *found
+            k = bisect_left(hits, found[0])
+
+
+class Catalogue:
+    """Statements by the word that the fewest of them have, so that a text meets few."""
+
+    def __init__(self, statements: list[tuple[str, str]], coverage: float = COVERAGE):
+        made = {(s.name, tuple(s.words)): s for s in (Statement(name, text, coverage) for name, text in statements)}
+        shared = Counter(word for s in made.values() for word in s.counts)
+        self.by_word: dict[str, list[Statement]] = {}
+        for s in made.values():
+            # a long statement may lack any one word, but not all those that must be there
+            sure = [s.words[i] for i in s.must] if s.must else s.words if s.short else None
+            self.by_word.setdefault(min(sure, key=lambda w: (shared[w], w)) if sure else "", []).append(s)
+        self.always = self.by_word.pop("", [])
+        self.family = {name: number for number, names in enumerate(FAMILIES) for name in names}
+
+    def find(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first, last + 1, name, coverage) by place. Of short statements one inside another is left out, of a
+        family of notices those that overlap one with more matched words."""
+        known = set(words)
+        open_ = [s for word in known & self.by_word.keys() for s in self.by_word[word]] + self.always
+        found = [(a, b, s, n) for s in open_ for a, b, n in s.spans(words, known)]
+        found.sort(key=lambda f: (-f[3], f[0], f[2].name, f[1]))
+        reach = max((s.width for _, _, s, _ in found), default=1)  # kept ones that may touch a place begin in one of three stretches
+        kept: dict[int, list[tuple[int, int, Statement]]] = {}
+        out = []
+        for a, b, s, n in found:
+            kin, near = self.family.get(s.name), a // reach
+            hidden = any(
+                (s.short and other.short and x <= a and b <= y) or (kin is not None and kin == self.family.get(other.name) and x < b and a < y)
+                for stretch in (near - 1, near, near + 1) for x, y, other in kept.get(stretch, ()))
+            if not hidden:
+                kept.setdefault(near, []).append((a, b, s))
+                out.append((a, b, s.name, n / len(s.words)))
+        return sorted(out)
+
+
+def scan_licenses(documents: DataFrame, statements: list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, n_words, licenses array<struct(name, first, last, coverage)>): one row for each document.
 
-    Every place of the whole text that covers enough of a statement is listed, by place and name; a statement inside a
-    longer one is listed too. A null or empty text has no words and no licenses. Other columns are ignored.
+    Every place of the whole text that covers enough of a statement is listed, by place and name; a short statement inside a
+    notice is listed too. A null or empty text has no words and no licenses. Other columns are ignored.
     """
-    statements = [Statement(name, text, coverage) for name, text in (templates or TEMPLATES).items()]
+    known = Catalogue(statements or catalogue(), coverage)
     kind = pa.list_(pa.struct([("name", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("coverage", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +233,8 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
             sizes, found = [], []
             for text in text_values(batch.column("text")):
                 words = words_of(text)
-                known = set(words)
-                own = [(a, s.name, b - 1, c) for s in statements for a, b, c in s.spans(words, known)]
                 sizes.append(len(words))
-                found.append([{"name": n, "first": a, "last": b, "coverage": c} for a, n, b, c in sorted(own)])
+                found.append([{"name": n, "first": a, "last": b - 1, "coverage": c} for a, b, n, c in known.find(words)])
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "licenses"])
 

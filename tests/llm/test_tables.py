@@ -139,11 +139,20 @@ def test_levels_are_longest_chains(spark, monkeypatch):
     for i in range(300):  # a long chain, and one that branches now and then
         calls += [(7, f"c{i}", [f"c{i - 1}"] if i else []), (8, f"c{i}", [f"c{j}" for j in {i - 1, i - 2 if i % 60 == 0 else i - 1} if j >= 0])]
         want[7, f"c{i}"] = want[8, f"c{i}"] = i
-    df = spark.createDataFrame(calls, "conv_id int, call_id string, needs array<string>")
+    calls += [(9, "a", ["b"]), (9, "b", ["a"]), (9, "c", ["b", "d"]), (9, "d", ["nobody", None, "d2"]), (9, "d2", None), (9, "self", ["self"]), (9, "e", ["d2", "d2", "d"])]
+    want |= {(9, "d2"): 0, (9, "d"): 1, (9, "e"): 2}
+    schema = "conv_id int, call_id string, needs array<string>"
+    df = spark.createDataFrame(calls, schema)
     written = []
     monkeypatch.setattr(tool_calls, "materialise", lambda frame, real=materialise: written.append(1) or real(frame))
-    assert {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(df).collect()} == want
-    assert len(written) < 70  # two tables a round: far fewer rounds than the chains have calls
+    got = lambda frame, *bound: {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(frame, *bound).collect()}
+    assert got(df, 0) == want
+    assert len(written) < 75  # two tables a round: far fewer rounds than the chains have calls
+    assert got(df, 20) == want  # the chains by rounds, the others each by a task
+    written.clear()
+    ladder = [(10, f"c{i}", [f"c{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(300)]  # each waits for the two before it
+    assert got(spark.createDataFrame(calls + ladder, schema)) == want | {(10, f"c{i}"): i for i in range(300)}
+    assert len(written) == 1
 
 
 def test_canonical_json():

@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +72,66 @@ def problems(value, schema: dict, path: str = "") -> Iterator[str]:
             yield from problems(item, schema["items"], f"{path}[{k}]")
 
 
-def levels(calls: DataFrame) -> DataFrame:
+#: Calls of a conversation, and ten times that of their needs, up to which one task orders it as a whole. Changes no result.
+GROUPED = 10_000
+
+
+def order_calls(calls: list[tuple[str, list[str] | None]]) -> dict[str, int]:
+    """The level of each call of one conversation that is on and behind no circle, in time linear in calls and needs."""
+    ids = {call_id for call_id, _ in calls}
+    waits = {call_id: {need for need in needs or () if need in ids} for call_id, needs in calls}
+    behind: dict[str, list[str]] = {}
+    for call_id, needs in waits.items():
+        for need in needs:
+            behind.setdefault(need, []).append(call_id)
+    open_ = {call_id: len(needs) for call_id, needs in waits.items()}
+    level = {call_id: 0 for call_id, n in open_.items() if not n}
+    ready = list(level)
+    while ready:
+        done = ready.pop()
+        for call_id in behind.get(done, ()):
+            open_[call_id] -= 1
+            level[call_id] = max(level.get(call_id, 0), level[done] + 1)
+            if not open_[call_id]:
+                ready.append(call_id)
+    return {call_id: level[call_id] for call_id, n in open_.items() if not n}
+
+
+def levels(calls: DataFrame, grouped: int = GROUPED) -> DataFrame:
     """(conv_id, call_id, level): the length of the longest chain of calls that a call waits for.
 
-    ``calls`` has conv_id, call_id, needs array<string>. Needs that no call of the conversation answers are left
-    out. An open call has a row (need, dist, level) for each call it waits for: its own level is at least ``level``, and at least
+    ``calls`` has conv_id, call_id (each once), needs array<string>. Needs that no call of the conversation answers are
+    left out. Calls on a circle, or behind one, get no row. Conversations of up to ``grouped`` calls are
+    brought together and ordered by one task each; a longer one is ordered in rounds (``levels_by_rounds``).
+    """
+    links = F.coalesce(F.size("needs"), F.lit(0))
+    sizes = calls.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.when(links > 0, links)).alias("links"))
+    long = materialise(sizes.where((F.col("n") > grouped) | (F.col("links") > 10 * grouped)).select("conv_id"))
+    all_short = long.isEmpty()
+    short = calls if all_short else calls.join(long, "conv_id", "left_anti")
+    lists = short.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "needs")).alias("calls"))
+    kinds = dict(calls.dtypes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, call_kind = batch.column("calls").to_pylist(), batch.column("calls").type.value_type.field("call_id").type
+            found = [order_calls([(c["call_id"], c["needs"]) for c in group]) for group in groups]
+            own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            names, values = ([x for f in found for x in part(f)] for part in (dict.keys, dict.values))
+            out = [batch.column("conv_id").take(pa.array(own)), pa.array(names, call_kind), pa.array(values, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, ["conv_id", "call_id", "level"])
+
+    placed = lists.mapInArrow(place, f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, level int")
+    return placed if all_short else placed.unionByName(levels_by_rounds(calls.join(long, "conv_id", "left_semi")))
+
+
+def levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """The levels of conversations of any length, by joins.
+
+    An open call has a row (need, dist, level) for each call it waits for: its own level is at least ``level``, and at least
     ``dist`` above that of the need. Each round settles the calls whose needs are all placed; then rows that wait for a
     call with one need only are moved on to that one. So chains are halved, and the rounds are about the logarithm of
-    the longest chain, and one for each branching on it. Calls on a circle, or behind one, get no row.
+    the longest chain, and one for each branching on it.
     """
     key = ["conv_id", "call_id"]
     named = calls.select("conv_id", F.col("call_id").alias("need"))

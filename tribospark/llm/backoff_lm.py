@@ -4,7 +4,8 @@ Documents are dealt into batches. A batch lists its distinct n-grams with their
 are cut by hash into slices. A slice adds up the counts of all batches, which is its part of the count table,
 and joins them back to the lists it was sent. With the counts the batch scores its documents.
 What travels is one entry for each n-gram and batch, so a very common one is no hot key.
-Batches and slices are as many as the corpus has pieces of BATCH_BYTES, so every task is bounded.
+Batches and slices are as many as the corpus has pieces of BATCH_BYTES, so every task is bounded. A batch sends
+lists to the slices it has grams of only, so lists grow with the n-grams and not with batches times slices.
 """
 
 from __future__ import annotations
@@ -97,17 +98,18 @@ def score_documents(documents: DataFrame, order: int = ORDER, backoff: float = B
     size, total = rows.agg(F.sum(F.octet_length("text")), F.sum(word_count(F.col("text")))).first()
     pieces, total = -(-int(size or 0) // BATCH_BYTES) or 1, int(total or 0)
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces))).repartition("batch")
-    starts = [np.uint64((k << 64) // pieces) for k in range(pieces)]
+    # a gram's slice is read off the upper half of its hash, so that slices are stretches of the sorted grams
+    slice_of = lambda keys: ((keys >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
 
     def lists(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
         _, grams = batch_grams((t for c in table.column("text").chunks for t in byte_values(c)), order)
         found = []
         for n, (keys, counts) in enumerate(grams):
-            ends = [*np.searchsorted(keys, np.array(starts, np.uint64)).tolist(), len(keys)]
-            for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                if b > a:
-                    found.append((batch, n, k, pack(keys[a:b]), pack_counts(counts[a:b])))
+            # only slices that the batch has grams of: lists are never more than grams, however many slices there are
+            slices, starts = np.unique(slice_of(keys), return_index=True)
+            for k, a, b in zip(slices.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                found.append((batch, n, k, pack(keys[a:b]), pack_counts(counts[a:b])))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         columns = list(zip(*found)) or [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch", "n", "slice", "grams", "counts"])

@@ -22,9 +22,6 @@ SHARE = 1.5
 MOST = 2
 #: The dynamic programme solves what is left below this many words.
 SOLVED = 8192
-#: Lengths it may use for that. More would not bring a sum nearer: with this many it is met exactly
-#: but for sources with hardly any documents, where all lengths are among them.
-CHOICES = 256
 #: Documents of one source and length that one task may rank.
 RANKED = 20_000
 
@@ -50,7 +47,7 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
         step = np.arange(len(grid))[:, None]
         last = np.maximum.accumulate(np.where(grid == 0, step, -1), axis=0)
         need = np.where((last >= 0) & (step - last <= count), step - last, -1).reshape(-1)[: budget + 1]
-        by_length.append(need.astype(np.int32))
+        by_length.append(need.astype(np.int16))  # no more than SOLVED
         reached = need >= 0
         if reached[budget]:
             break
@@ -79,7 +76,6 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             taken[k] += more
             left -= more * int(length[k])
     open_ = [k for k in range(len(length)) if 0 < length[k] <= left and taken[k] < count[k]]
-    open_ = open_[:: max(1, len(open_) // CHOICES)] if len(open_) > CHOICES else open_
     if open_ and left > 0:
         spare = np.array([min(int(count[k] - taken[k]), left) for k in open_])
         extra = bounded_knapsack(np.array([int(length[k]) for k in open_]), spare, left)

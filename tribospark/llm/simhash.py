@@ -386,5 +386,5 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, l
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay.select(*documents.columns)
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    stay = stay.withColumn("__first", first).where("doc_id is null or __first = 1")
-    return stay.select(*documents.columns)
+    named = stay.where(F.col("doc_id").isNotNull()).withColumn("__first", first).where("__first = 1")
+    return named.select(*documents.columns).unionByName(stay.where(F.col("doc_id").isNull()).select(*documents.columns))

@@ -184,14 +184,12 @@ def together(*queries):
     return f"SELECT * FROM {parts[0]} " + " ".join(f"JOIN {p} USING (joint_id, seq)" for p in parts[1:])
 
 
-def spectra(spark, d, step=7):
+def spectra(spark, d, step=1):
     """Every ``step``-th window's power in every bin."""
     out = features.power_spectra(event_series(spark, d), "vibration", 50, step)
     return out.select("joint_id", "seq", F.posexplode("power").alias("bin", "power")).select("joint_id", "seq", F.col("bin").cast("long").alias("bin"), F.round("power", 4).alias("power"))
 
 
-SPECTRA_SQL = f"""WITH {EVENTS}, {spectrum_sql('s')} SELECT joint_id, seq, generate_subscripts(p, 1) - 1 AS bin, round(unnest(p), 4) AS power FROM pw
-  WHERE seq >= 49 AND (seq - 49) % 7 = 0"""
 SPECTRA_ALL_SQL = f"""WITH {EVENTS}, {spectrum_sql('s')} SELECT joint_id, seq, generate_subscripts(p, 1) - 1 AS bin, round(unnest(p), 4) AS power FROM pw
   WHERE seq >= 49"""
 THERMAL_ACCELERATION_SQL = (f"WITH {EVENTS}, k AS (SELECT *, {STAT_SQL['thermal_rate']} AS a FROM s) "
@@ -213,7 +211,7 @@ QUERIES = {
     **{f"features_{s}": (of_events(s), spectral_sql(EVENTS, [s])) for s in ("spectral_energy", "dominant_frequency", "spectral_centroid", "band_energy", "harmonic_ratio")},
     "features_spectral_entropy": (of_events("spectral_entropy"), ENTROPY),
     "features_spectral_all": (of_events(*SPECTRAL), together(spectral_sql(EVENTS, [s for s in SPECTRAL if s != "spectral_entropy"]), ENTROPY)),
-    "features_spectrum_bins": (spectra, SPECTRA_SQL),
+    "features_spectrum_bins": (spectra, SPECTRA_ALL_SQL),
     "features_spectrum_bins_all": (lambda s, d: spectra(s, d, 1), SPECTRA_ALL_SQL),
     "features_statistical_set": (of_events(*ALL_STATS, "skewness", "kurtosis"),
         together(stat_sql(*ALL_STATS), moments_sql("skewness", 3, 3), moments_sql("kurtosis", 4, 4))),

@@ -37,6 +37,16 @@ CLUSTERS = """cl AS (SELECT vec_id, CASE WHEN label >= 8 THEN -1 ELSE 1 END AS a
 SILHOUETTE_SQL = f"""WITH {CLUSTERS}, dd AS (SELECT a.vec_id, a.anomaly, b.anomaly AS other, sum(list_distance(a.x, b.x) ** 2) AS sd, count(*) AS n FROM cl a, cl b GROUP BY ALL),
   ab AS (SELECT vec_id, sum(CASE WHEN anomaly = other THEN sd / (n - 1) END) AS a, sum(CASE WHEN anomaly <> other THEN sd / n END) AS b FROM dd GROUP BY vec_id)
   SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette_score FROM ab"""
+EUCLIDEAN_SQL = SILHOUETTE_SQL.replace("list_distance(a.x, b.x) ** 2", "list_distance(a.x, b.x)")
+
+
+def silhouette_bounds(spark, d):
+    """With 64 references a label, do the bounds hold the silhouette that comparing all pairs gives?"""
+    exact = evaluation.euclidean_silhouette(clusters(spark, d), 1 << 20).first()[0]
+    return evaluation.reference_silhouette(clusters(spark, d), 64).select(
+        ((F.col("low") <= exact + 1e-4) & (F.col("high") >= exact - 1e-4)).alias("holds"), (F.col("high") - F.col("low") < 0.1).alias("narrow"))
+
+
 CH_SQL = f"""WITH {CLUSTERS}, ce AS (SELECT anomaly, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM cl), gm AS (SELECT i, avg(v) AS g FROM ce GROUP BY i),
   st AS (SELECT anomaly, i, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM ce GROUP BY ALL)
   SELECT round(sum(n * (m - g) * (m - g)) * ((SELECT count(*) FROM cl) - 2) / sum(n * s), 4) AS calinski_harabasz_score FROM st JOIN gm USING (i)"""
@@ -217,6 +227,8 @@ THINNED_SQL = f"""WITH {SCORED}, tl AS (SELECT seq, round(x, 4) AS magnitude, an
 QUERIES = {
     "evaluate_totals": (lambda s, d: rounded(evaluation.anomaly_totals(line_scored(s, d)), ["global_anomaly_rate"]),
                         f"WITH {SCORED} SELECT count(*) AS n_total, count(*) FILTER (anomaly = -1) AS n_anomalies, {R('count(*) FILTER (anomaly = -1) / count(*)')} AS global_anomaly_rate FROM sc"),
+    "evaluate_silhouette_euclidean": (lambda s, d: evaluation.reference_silhouette(clusters(s, d), 1 << 20).select("silhouette_score"), EUCLIDEAN_SQL),
+    "evaluate_silhouette_bounds": (silhouette_bounds, "SELECT true AS holds, true AS narrow"),
     "evaluate_silhouette": (lambda s, d: evaluation.silhouette(clusters(s, d)), SILHOUETTE_SQL),
     "evaluate_calinski_harabasz": (lambda s, d: evaluation.calinski_harabasz(clusters(s, d)), CH_SQL),
     "evaluate_score_distribution": (distribution, DIST_SQL),

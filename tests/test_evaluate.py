@@ -198,3 +198,32 @@ def test_co_moments_of_many_batches(spark):
         fine = np.isfinite(v) & np.isfinite(o) & ((np.arange(500) % 50 != 7) | (i == 0))
         r = got[i]
         assert r["c"] == fine.sum() and r["x"] / np.sqrt(r["s"] * r["so"]) == pytest.approx(np.corrcoef(v[fine], o[fine])[0, 1], rel=1e-6)
+
+
+def brute_silhouette(x, y):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i in range(len(x)):
+        same = (y == y[i]) & (np.arange(len(x)) != i)
+        if not same.any():
+            out.append(0.0)
+            continue
+        a, b = d[i][same].mean(), min(d[i][y == k].mean() for k in set(y.tolist()) - {y[i]})
+        out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    return np.mean(out)
+
+
+def test_silhouette_from_references(spark):
+    rng = np.random.default_rng(10)
+    y = np.where(rng.random(1500) < 0.1, -1, 1)
+    x = rng.normal(size=(1500, 5)) + np.where(y < 0, 3.0, 0.0)[:, None]
+    x[:200] = x[0]
+    frame = lambda x, y: spark.createDataFrame([("ab"[i % 2], i // 2, int(k), v.tolist()) for i, (v, k) in enumerate(zip(x, y))], "joint_id string, seq long, anomaly int, x array<double>")
+    want = brute_silhouette(x, y)
+    exact = evaluation.reference_silhouette(frame(x, y).repartition(5), 5000).first()
+    assert exact["silhouette_score"] == round(want, 4) and exact["low"] == exact["high"] == pytest.approx(want, abs=1e-9)
+    rough = evaluation.reference_silhouette(frame(x, y), 120).first()
+    assert rough["low"] - 1e-9 <= want <= rough["high"] + 1e-9 and 0 < rough["high"] - rough["low"] < 0.2
+    lone = np.where(np.arange(1500) == 700, -1, 1)  # a label of one row scores zero
+    assert evaluation.reference_silhouette(frame(x, lone), 5000).first()["low"] == pytest.approx(brute_silhouette(x, lone), abs=1e-9)
+    assert evaluation.reference_silhouette(frame(x, np.ones(1500)), 50).first()["low"] is None

@@ -17,6 +17,8 @@ from tribospark.session import materialise
 
 EVERYTHING = "all_joints"
 SILHOUETTE_ROWS = 5_000
+#: Rows of a label that all others are compared with, and the parts left out in turn.
+REFERENCES, LEFT_OUT = 1_024, 16
 HISTOGRAM_BINS = 30
 SWEEP_POINTS = 50
 ROC_POINTS = 200
@@ -122,6 +124,76 @@ def euclidean_silhouette(sample: DataFrame, max_rows: int = SILHOUETTE_ROWS) ->
     return sample.mapInArrow(run, "s double").agg(F.round(F.avg("s"), 4).alias("silhouette_score"))
 
 
+def reference_silhouette(points: DataFrame, references: int = REFERENCES, seed: int = 42) -> DataFrame:
+    """One row: mean silhouette of all rows with plain distances, and the bounds between which it lies.
+
+    ``points``: joint_id, seq (together unique), anomaly, x. Each row is compared with the rows of a label, or with about
+    ``references`` of them drawn by a hash where it has more, which are sent to the tasks; so the work is linear in the
+    rows. The bounds are three standard errors away, from leaving out each sixteenth of the references in turn
+    (jackknife). With all rows compared the score is exact and the bounds meet. Null with one label only.
+    """
+    spark = points.sparkSession
+    place = F.xxhash64("joint_id", "seq", F.lit(seed))
+    sizes = points.groupBy("anomaly").agg(F.count("*").alias("n"))
+    known = {r["anomaly"]: r["n"] for r in sizes.collect()}
+    schema = "silhouette_score double, low double, high double"
+    if len(known) < 2:
+        return spark.createDataFrame([(None, None, None)], schema)
+    labels = sorted(known)
+    share = F.shiftrightunsigned(place, 11) / float(2**53)
+    wanted = F.create_map(*[F.lit(v) for k in labels for v in (k, 1.0 if known[k] <= references else references / known[k])])[F.col("anomaly")]
+    drawn = points.where(share < wanted).select("joint_id", "seq", "anomaly", "x", F.pmod(place, F.lit(LEFT_OUT)).alias("g")).toArrow()
+    if len(set(drawn["anomaly"].to_pylist())) < len(labels):
+        raise ValueError("a label has no reference; ask for more")
+    centre = matrix(drawn["x"]).mean(axis=0)
+    x_of, k_of, g_of = matrix(drawn["x"]) - centre, np.searchsorted(labels, drawn["anomaly"].to_numpy()), drawn["g"].to_numpy()
+    cell = k_of * LEFT_OUT + g_of  # references by label and part
+    order = np.argsort(cell, kind="stable")
+    x_of, cell = x_of[order], cell[order]
+    square, held = (x_of * x_of).sum(axis=1), np.bincount(cell, minlength=len(labels) * LEFT_OUT)
+    itself = {key: i for i, key in enumerate(zip(drawn["joint_id"].take(pa.array(order)).to_pylist(), drawn["seq"].take(pa.array(order)).to_pylist()))}
+    alone = np.array([known[k] == 1 for k in labels])
+
+    def score(sums, counts, own, rows):
+        """Silhouettes from sums of distances and numbers of references, both by row and label."""
+        mean = sums / np.maximum(counts, 1)
+        a = mean[rows, own]
+        mean[rows, own] = np.inf
+        b = mean.min(axis=1)
+        top = np.maximum(a, b)
+        return np.where(alone[own] | (top <= 0), 0.0, (b - a) / np.where(top > 0, top, 1))
+
+    def run(batches):
+        for batch in batches:
+            keys = list(zip(batch.column("joint_id").to_pylist(), batch.column("seq").to_pylist()))
+            every, label = matrix(pa.chunked_array([batch.column("x")])) - centre, np.searchsorted(labels, batch.column("anomaly").to_numpy())
+            total = np.zeros(LEFT_OUT + 1)
+            for start in range(0, len(every), 512):
+                x, own = every[start : start + 512], label[start : start + 512]
+                rows = np.arange(len(x))
+                apart = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + square - 2 * x @ x_of.T, 0))
+                counts = np.tile(held, (len(x), 1))
+                for i, key in enumerate(keys[start : start + 512]):
+                    if key in itself:
+                        apart[i, itself[key]] = 0.0
+                        counts[i, cell[itself[key]]] -= 1
+                sums = np.stack([np.bincount(cell, row, len(held)) for row in apart]).reshape(len(x), len(labels), LEFT_OUT)
+                counts = counts.reshape(len(x), len(labels), LEFT_OUT)
+                whole, n = sums.sum(axis=2), counts.sum(axis=2)
+                total[0] += score(whole.copy(), n, own, rows).sum()
+                for g in range(LEFT_OUT):
+                    total[1 + g] += score(whole - sums[:, :, g], n - counts[:, :, g], own, rows).sum()
+            yield pa.record_batch({"i": pa.array(np.arange(LEFT_OUT + 1), pa.int32()), "s": pa.array(total)})
+
+    n = float(sum(known.values()))
+    found = points.select("joint_id", "seq", "anomaly", "x").mapInArrow(run, "i int, s double").groupBy("i").agg((F.sum("s") / n).alias("s"))
+    parts = F.when(F.col("i") > 0, F.col("s"))
+    exact = all(size <= references for size in known.values())
+    spread = F.lit(0.0) if exact else 3 * F.sqrt(F.var_pop(parts) * (LEFT_OUT - 1))
+    out = found.agg(F.max(F.when(F.col("i") == 0, F.col("s"))).alias("s"), spread.alias("e"))
+    return out.select(F.round("s", 4).alias("silhouette_score"), (F.col("s") - F.col("e")).alias("low"), (F.col("s") + F.col("e")).alias("high"))
+
+
 def calinski_harabasz(points: DataFrame) -> DataFrame:
     """One row: between-group over within-group dispersion of the label groups over all rows; null with one group."""
     _, groups = label_groups(points)

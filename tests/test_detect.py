@@ -281,6 +281,17 @@ def test_states_are_added_level_by_level(spark, monkeypatch):
     assert got == {"a": [85.0, float(sum(i for i in range(100) if i % 7))], "b": [15.0, float(sum(range(0, 100, 7)))]}
 
 
+def test_forest_writes_the_matrix_once(matrix, monkeypatch):
+    """Scaling, sampling and scoring write one table as wide as the features: the scored one."""
+    wide = []
+    for module in (registry, forest, common):
+        monkeypatch.setattr(module, "materialise", lambda df, real=module.materialise: (set(COLUMNS) <= set(df.columns) and wide.append(1), real(df))[1])
+    registry.detect_anomalies(matrix).count()
+    assert len(wide) == 1
+    registry.detect_anomalies(matrix, registry.default_config("local_outlier_factor")).count()
+    assert len(wide) == 2
+
+
 def test_registry_checks():
     Config = registry.ModelConfig
     assert registry.check_config(Config()) is None and "unknown model" in registry.check_config(Config("kmeans"))

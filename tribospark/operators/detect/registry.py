@@ -38,6 +38,8 @@ MODELS = {
         "learning_rate": (0.001, 0.0001, 0.1)}),
 }
 CONTAMINATION_RANGE = (0.01, 0.5)
+#: Detectors that read the scaled matrix once for a sample and once for the scores.
+FEW_PASSES = ("isolation_forest",)
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,8 @@ def detect_anomalies(
 ) -> DataFrame:
     """The feature matrix with ``anomaly`` (1 or -1) and ``anomaly_score`` (lower is worse), fitted per joint.
 
-    The matrix travels through scaling and scoring, so the labels need no join back on row numbers.
+    The matrix travels through scaling and scoring, so the labels need no join back on row numbers. A detector that
+    reads it twice at most scales it as it reads; for one that learns in rounds the scaled matrix is written first.
     """
     config = config or default_config()
     problem = check_config(config)
@@ -95,5 +98,7 @@ def detect_anomalies(
     if not columns:
         raise ValueError("no numeric feature column to fit a detector on")
     carry = [c for c in features.columns if c not in ("joint_id", "seq")]
-    scaled = materialise(standardise(features, columns, carry=carry))
+    scaled = standardise(features, columns, carry=carry)
+    if config.model_id not in FEW_PASSES:
+        scaled = materialise(scaled)
     return MODELS[config.model_id].run(scaled, config.params, config.seed)

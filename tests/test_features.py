@@ -188,3 +188,14 @@ def test_registered_spectra_of_every_window(spark):
             for bin_, power in enumerate(np.abs(np.fft.rfft(values[seq - 49 : seq + 1])) ** 2):
                 want[joint, seq, bin_] = power
     assert set(got) == set(want) and all(abs(got[k] - w) <= 1e-4 + 1e-9 * w for k, w in want.items())
+
+
+def test_magnetometer_set_shuffles_once(spark):
+    """The field strength travels with its row: the features are not joined back to it."""
+    rows = [("a", i, float(i), float(i % 5), None if i == 7 else 1.0, 2.0) for i in range(80)]
+    series = spark.createDataFrame(rows, "joint_id string, seq long, timestamp double, mx double, my double, mz double")
+    out = features.magnetometer_features(series)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r["seq"]: r["mag"] for r in out.collect()}
+    assert len(got) == 80 and got[7] == 0 and got[3] == pytest.approx((9 + 1 + 4) ** 0.5)

@@ -111,8 +111,9 @@ def extract_features(
     strict_names: bool = False,
     chunk_rows: int = CHUNK_ROWS,
     engine: str = "arrow",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Wide feature matrix: joint_id, seq, timestamp and ``<signal>_<stat>`` columns.
+    """Wide feature matrix: joint_id, seq, timestamp, the columns of the rows in ``carry`` and ``<signal>_<stat>`` columns.
 
     One shuffle on (joint, chunk) serves all signals and all features; only features in ``selected``
     are computed. ``engine="builtin"`` evaluates everything but spectra with Spark's own window
@@ -130,9 +131,9 @@ def extract_features(
     wanted = {key: names for key, names in wanted.items() if names}
     flags = [f"{s}__absent" for s in table.optional]
     pieces = chunked(
-        rows.select("joint_id", "seq", F.col("t").alias("timestamp"), *wanted, *flags),
+        rows.select("joint_id", "seq", F.col("t").alias("timestamp"), *carry, *wanted, *flags),
         ["joint_id"], 2 * (size - 1), chunk_rows=chunk_rows)
-    kept = ["joint_id", "seq", "timestamp", *flags]
+    kept = ["joint_id", "seq", "timestamp", *carry, *flags]
     if engine == "builtin":
         pieces, wanted_here, kept = _framed(pieces, wanted, size, kept)
     else:
@@ -150,7 +151,7 @@ def extract_features(
         for s in names:
             column = F.col(f"{key}_{s}")
             values.append((F.when(~absent[key], column) if key in absent else column).alias(f"{key}_{s}"))
-    return pieces.select("joint_id", "seq", "timestamp", *values)
+    return pieces.select("joint_id", "seq", "timestamp", *carry, *values)
 
 
 def _framed(pieces: DataFrame, wanted: dict[str, list[str]], size: int, kept: list[str]):
@@ -187,14 +188,13 @@ def magnetometer_features(series: DataFrame, size: int = WINDOW, chunk_rows: int
     """The fixed feature set of a magnetometer-only log."""
     norm = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz"))
     rows = series.select("joint_id", "seq", F.col("timestamp").cast("double").alias("t"), norm.alias("mag"))
-    table = SignalTable(rows, {"mag": "magnetometer"})
+    table = SignalTable(rows.withColumn("own", finite(F.col("mag"))), {"mag": "magnetometer"})
     names = {
         "mag_mean": "mag_mean", "mag_std": "mag_std", "jerk": "mag_jerk", "energy": "mag_energy",
         "spectral_energy": "mag_spectral_energy", "dominant_frequency": "mag_dominant_frequency",
         "entropy": "mag_spectral_entropy",
     }
-    features = extract_features(table, size, list(names.values()), chunk_rows=chunk_rows)
-    joined = features.join(rows.select("joint_id", "seq", finite(F.col("mag")).alias("mag")), ["joint_id", "seq"])
-    return joined.select(
-        "joint_id", "seq", "timestamp", "mag", F.col("mag_mean"), F.col("mag_std"), F.col("mag_std").alias("rolling_std"),
+    features = extract_features(table, size, list(names.values()), chunk_rows=chunk_rows, carry=("own",))
+    return features.select(
+        "joint_id", "seq", "timestamp", F.col("own").alias("mag"), F.col("mag_mean"), F.col("mag_std"), F.col("mag_std").alias("rolling_std"),
         *[F.col(src).alias(new) for new, src in names.items() if new not in ("mag_mean", "mag_std")])

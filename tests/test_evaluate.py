@@ -227,3 +227,12 @@ def test_silhouette_from_references(spark):
     lone = np.where(np.arange(1500) == 700, -1, 1)  # a label of one row scores zero
     assert evaluation.reference_silhouette(frame(x, lone), 5000).first()["low"] == pytest.approx(brute_silhouette(x, lone), abs=1e-9)
     assert evaluation.reference_silhouette(frame(x, np.ones(1500)), 50).first()["low"] is None
+
+
+def test_labels_travel_with_the_features(spark):
+    from checks.fixtures import distance_labels
+
+    features = spark.createDataFrame([("a", i, float(i), float(i % 10)) for i in range(100)], "joint_id string, seq long, timestamp double, e double")
+    out = distance_labels(features, "e")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and out.columns == ["joint_id", "seq", "timestamp", "e", "anomaly", "anomaly_score"]
+    assert out.where("anomaly = -1").count() == 0 and out.count() == 100  # the largest distance comes in ties at the quantile

@@ -97,3 +97,14 @@ def test_narrowing_ends_in_six_passes(spark, kind, monkeypatch):
     middle = (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2
     assert got[0] == want[0] and got[2] == want[-1] and got[1] == pytest.approx(middle, rel=1e-12)
     assert len(passes) <= 6
+
+
+def test_columns_for_order_only_are_not_written(spark, monkeypatch):
+    from tribospark.operators import ordering
+
+    rows = spark.createDataFrame([("ab"[i % 2], i % 5, i, float(i)) for i in range(200)], "g string, t long, tie long, v double")
+    written, real = [], ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df: written.append(df.columns) or real(df))
+    ranged = number_rows(rows, ["g"], ["t", "tie"], max_window_rows=1, range_rows=30, without=("tie",))
+    assert written and not any("tie" in columns for columns in written) and ranged.columns == ["g", "t", "v", "seq"]
+    assert ranged.exceptAll(number_rows(rows, ["g"], ["t", "tie"]).drop("tie")).isEmpty()

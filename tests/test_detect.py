@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,34 @@ def test_nothing_to_fit(spark):
 def test_rates(spark):
     df = spark.createDataFrame([("a", 1), ("a", -1), ("b", 1)], "joint_id string, anomaly int")
     assert [(r["total_readings"], r["anomaly_count"], r["anomaly_rate"]) for r in anomaly_rates(df).orderBy("joint_id").collect()] == [(2, 1, 0.5), (1, 0, 0.0)]
+
+
+def test_small_blocks_meet_in_groups(spark, monkeypatch):
+    """With small blocks a point is sent to a few groups, not to every block, and no more than k edges a point come back."""
+    x = np.random.default_rng(3).normal(size=(600, 6))
+    df = spark.createDataFrame([("hot", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    tasks = spark.sparkContext.accumulator(0)
+    real = lof.cut_edges
+
+    def counting(edges, k):
+        tasks.add(1)
+        out = real(edges, k)
+        assert out.num_rows <= k * len(set(out["point"].to_pylist()))
+        return out
+
+    monkeypatch.setattr(lof, "cut_edges", counting)
+    got = lof.outlier_factors(df, 6, block_points=8).orderBy("seq").toPandas()
+    assert np.allclose(got.value, brute_lof(x, 6)) and 0 < tasks.value <= 4
+
+
+def test_nearest_by_product_equals_differences():
+    """Far from the origin and with copies and ties the matrix product alone would mix up neighbours."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 5)) * 1e-3 + 1e4, np.full((3, 5), 1e4), rng.integers(0, 2, (60, 5)) + 1e4])
+    table = pa.table({"joint_id": ["a"] * len(x), "point": np.arange(len(x)), "copies": np.ones(len(x), int), "x": pa.chunked_array([pa.array(x.tolist())])})
+    assert lof.rough_squares(x, x) is not None
+    d = lof.distances(x, x, 2)
+    for i, (ids, far, _) in enumerate(lof.nearest(table, table, 7, 2)):
+        want = [j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:7]
+        assert ids.tolist() == want and (far == d[i][want]).all()
+    assert np.allclose(lof.raised(np.abs(x[:5]), 3), np.abs(x[:5]) ** 3)

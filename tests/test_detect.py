@@ -345,3 +345,14 @@ def test_nearest_by_product_equals_differences():
         want = [j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:7]
         assert ids.tolist() == want and (far == d[i][want]).all()
     assert np.allclose(lof.raised(np.abs(x[:5]), 3), np.abs(x[:5]) ** 3)
+
+
+def test_forest_writes_scores_only(spark, monkeypatch):
+    """Columns that travel along reach the result and are not written with the scores."""
+    rows = spark.createDataFrame([("a", i, 200, [float(i % 7), float(i)], "t" * 50) for i in range(200)], "joint_id string, seq long, n long, x array<double>, note string")
+    written, real = [], forest.materialise
+    monkeypatch.setattr(forest, "materialise", lambda df: written.append(df.columns) or real(df))
+    out = forest.isolation_forest(rows, {"n_estimators": 10, "contamination": 0.1})
+    assert not any("note" in columns for columns in written) and out.where("note is null").count() == 0
+    plain = forest.isolation_forest(rows.drop("note"), {"n_estimators": 10, "contamination": 0.1})
+    assert out.drop("note").exceptAll(plain).isEmpty() and out.where("anomaly = -1").count() == 20

@@ -236,3 +236,16 @@ def test_labels_travel_with_the_features(spark):
     out = distance_labels(features, "e")
     assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and out.columns == ["joint_id", "seq", "timestamp", "e", "anomaly", "anomaly_score"]
     assert out.where("anomaly = -1").count() == 0 and out.count() == 100  # the largest distance comes in ties at the quantile
+
+
+def test_silhouettes_in_pieces(spark, monkeypatch):
+    """Neither silhouette holds the distances of a row to all references at once, and pieces give the same score."""
+    rng = np.random.default_rng(6)
+    rows = [("j", i, -1 if i % 5 == 0 else 1, rng.normal(size=3).tolist()) for i in range(700)]
+    points = spark.createDataFrame(rows, "joint_id string, seq long, anomaly int, x array<double>")
+    whole = evaluation.euclidean_silhouette(points).first()[0]
+    monkeypatch.setattr(evaluation, "REFERENCE_PIECE", 64)
+    monkeypatch.setattr(evaluation, "PIECE", 32)
+    monkeypatch.setattr(evaluation, "PAIRS", 100_000)
+    assert evaluation.dealt(points, 700, 700).rdd.getNumPartitions() == 5
+    assert evaluation.euclidean_silhouette(points).first()[0] == whole == evaluation.reference_silhouette(points, 1000).first()[0]

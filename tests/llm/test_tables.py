@@ -253,3 +253,27 @@ def test_stages_take_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SMALL)
             assert out.count() <= 2 * max(docs.count(), 0) and (stage is corpus_pipeline.tokens or out.columns == odd.columns)
+
+
+def test_knapsack_keeps_one_number_a_sum():
+    """Thousands of lengths against a budget: memory follows the budget, and the sum is the largest there is."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tribospark.llm import mixing
+
+    lengths, counts = np.arange(8000, 0, -1) * 2, np.full(8000, 3)
+    tracemalloc.start()
+    taken = mixing.bounded_knapsack(lengths[lengths <= 8191], counts[lengths <= 8191], 8191)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int((taken * lengths[lengths <= 8191]).sum()) == 8190 and (taken <= 3).all() and peak < 8e6
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        lengths, counts, budget = rng.choice(np.arange(1, 30), 5, replace=False), rng.integers(1, 4, 5), int(rng.integers(1, 80))
+        sums = {0}
+        for length, count in zip(lengths, counts):
+            sums = {s + int(length) * c for s in sums for c in range(count + 1)}
+        taken = mixing.bounded_knapsack(lengths, counts, budget)
+        assert (taken <= counts).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)

@@ -34,12 +34,13 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
     """How many of each length make the largest sum that is no more than ``budget`` (lengths > 0).
 
     ``spent[b]`` is how many of the current length the sum b needs at least; a sum stays reachable if
-    it was so before, or if b - length is and has spent fewer than the length has documents.
+    it was so before, or if b - length is and has spent fewer than the length has documents. Only the length by which
+    a sum was first reached is kept, and how many it took: what remains was reached by the lengths before it.
     """
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
-    by_length = []
-    for length, count in zip(lengths.tolist(), counts.tolist()):
+    by, used = np.full(budget + 1, -1, np.int32), np.zeros(budget + 1, np.int64)
+    for k, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist())):
         padded = -(-(budget + 1) // length) * length
         spent = np.full(padded, -1, np.int64)
         spent[: budget + 1][reached] = 0
@@ -47,15 +48,17 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
         step = np.arange(len(grid))[:, None]
         last = np.maximum.accumulate(np.where(grid == 0, step, -1), axis=0)
         need = np.where((last >= 0) & (step - last <= count), step - last, -1).reshape(-1)[: budget + 1]
-        by_length.append(need.astype(np.int16))  # no more than SOLVED
-        reached = need >= 0
+        new = (need > 0) & ~reached
+        by[new], used[new] = k, need[new]
+        reached |= new
         if reached[budget]:
             break
     left = int(np.flatnonzero(reached)[-1])
     taken = np.zeros(len(lengths), np.int64)
-    for k in range(len(by_length) - 1, -1, -1):
-        taken[k] = by_length[k][left]
-        left -= int(taken[k] * lengths[k])
+    while left:
+        k, n = by[left], int(used[left])
+        taken[k] = n
+        left -= n * int(lengths[k])
     return taken
 
 

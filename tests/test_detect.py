@@ -282,6 +282,44 @@ def test_states_are_added_level_by_level(spark, monkeypatch):
     assert got == {"a": [85.0, float(sum(i for i in range(100) if i % 7))], "b": [15.0, float(sum(range(0, 100, 7)))]}
 
 
+def test_a_task_sends_one_state_for_each_joint(spark, monkeypatch):
+    """However many batches a task has; the sums are those of batches sent one by one."""
+    sent, add = [], common.add_states
+    monkeypatch.setattr(common, "add_states", lambda parts, widest: (sent.append(parts.count()), add(parts, widest))[1])
+    rows = spark.range(0, 600, 1, 2).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("joint_id"), F.col("id").alias("seq"),
+                                            F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    models = spark.createDataFrame([("a",), ("b",)], "joint_id string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = []
+        for known in (common.shared_models(models), None):
+            sharing = {"known": known} if known else {"max_shared_joints": 1, "chunk_rows": 50}
+            sums = common.summed(rows, models, lambda model, x: x.sum(axis=0), common.parts_of(rows, **sharing), **sharing)
+            found.append({r["joint_id"]: np.frombuffer(r["state"]).tolist() for r in sums.collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found[0] == found[1] == {"a": [float(sum(range(0, 600, 3))), 200.0], "b": [float(sum(i for i in range(600) if i % 3)), 400.0]}
+    assert sent == [4, 24]
+
+
+@pytest.mark.parametrize("kernel", svm.KERNELS)
+def test_svm_maps_rows_in_pieces(monkeypatch, kernel):
+    """The margins of many rows are those of the rows alone, and no more than a piece of them is mapped at once."""
+    rng = np.random.default_rng(2)
+    x, marks = rng.normal(size=(70, 3)), rng.normal(size=(9, 3))
+    monkeypatch.setattr(svm, "PIECE", 16)
+    assert [len(p) for p in svm.pieces(x)] == [16, 16, 16, 16, 6] and (np.concatenate(svm.pieces(x)) == x).all()
+    model = {"spread": 1.0, "marks": marks.ravel().tolist() if kernel in ("poly", "sigmoid") else []}
+    mapping = svm._mapping(model, 3, kernel, 0.3, 42)
+    assert svm._mapping(model, 3, kernel, 0.3, 42) is mapping
+    whole = svm.feature_map(x, kernel, 0.3, 42, marks)
+    assert np.allclose(np.concatenate([mapping(p) for p in svm.pieces(x)]), whole, rtol=1e-12, atol=1e-12)
+    if kernel in ("poly", "sigmoid"):
+        dot = 0.3 * (x @ marks.T)
+        assert np.allclose(svm.kernel(x, marks, kernel, 0.3), dot**3 if kernel == "poly" else np.tanh(dot), rtol=1e-12)
+
+
 def test_forest_writes_the_matrix_once(matrix, monkeypatch):
     """Scaling, sampling and scoring write one table as wide as the features: the scored one."""
     wide = []

@@ -277,3 +277,21 @@ def test_knapsack_keeps_one_number_a_sum():
             sums = {s + int(length) * c for s in sums for c in range(count + 1)}
         taken = mixing.bounded_knapsack(lengths, counts, budget)
         assert (taken <= counts).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_the_knapsack_is_bounded_where_one_document_is_longer_than_the_rest(monkeypatch):
+    """A document too long for the budget leaves many words open; they are taken by length until the programme is small."""
+    from tribospark.llm import mixing
+
+    budgets, solve = [], mixing.bounded_knapsack
+    monkeypatch.setattr(mixing, "bounded_knapsack", lambda lengths, counts, budget: (budgets.append(budget), solve(lengths, counts, budget))[1])
+    for lengths, counts, budget, best in (
+        ([3_000_000, 10, 7], [1, 1_000_000, 3], 2_900_001, 2_900_001),
+        ([5_000_000, 4], [1, 10], 400_000, 40),  # all that is short enough
+        ([900_000, 897_000, 300], [3, 1, 4], 899_000, 898_200),  # one of the long ones and what fits beside it
+        ([900_000], [5], 4_499_999, 3_600_000),
+        ([0, 5_000_000], [3, 1], 100_000, 0),
+    ):
+        taken = mixing.fit_lengths(np.array(lengths), np.array(counts), budget)
+        assert (taken <= counts).all() and (taken >= 0).all() and taken @ np.array(lengths) == best
+    assert max(budgets) <= mixing.SOLVED

@@ -2,8 +2,8 @@
 
 A source whose target is T and whose size is S is taken floor(T / S) times as a whole. The rest of
 the budget is fitted by lengths: of each length the same share of its documents is taken, rounded down,
-then one more of as many lengths as fit, longest first, and what is left is solved exactly by
-bounded-knapsack dynamic programming. Which documents of a length are taken is decided by a seeded hash.
+then one more of as many lengths as fit, longest first, then more of them while much is left, and what is left is
+solved exactly by bounded-knapsack dynamic programming. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -71,17 +71,23 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return np.zeros(len(lengths), np.int64)
     taken = np.array([int(c) * budget // total for c in count], object)
     left = budget - int((length * taken).sum())
-    for k in range(len(length)):
-        if left <= SOLVED:
-            break
-        if length[k] and taken[k] < count[k] and length[k] <= left - SOLVED // 2:
-            more = min(int(count[k] - taken[k]), (left - SOLVED // 2) // int(length[k]), 1)
-            taken[k] += more
-            left -= more * int(length[k])
+    for most in (1, int(count.max())):  # one more of each length, then as many as there are
+        for k in range(len(length)):
+            if left <= SOLVED:
+                break
+            if length[k] and taken[k] < count[k] and length[k] <= left - SOLVED // 2:
+                more = min(int(count[k] - taken[k]), (left - SOLVED // 2) // int(length[k]), most)
+                taken[k] += more
+                left -= more * int(length[k])
+    if left > SOLVED:  # what is open is longer than left - SOLVED / 2, so one document fits at most
+        longest = next((k for k in range(len(length)) if length[k] <= left and taken[k] < count[k] and length[k]), None)
+        if longest is not None:
+            taken[longest] += 1
+            left -= int(length[longest])
     open_ = [k for k in range(len(length)) if 0 < length[k] <= left and taken[k] < count[k]]
     if open_ and left > 0:
         spare = np.array([min(int(count[k] - taken[k]), left) for k in open_])
-        extra = bounded_knapsack(np.array([int(length[k]) for k in open_]), spare, left)
+        extra = bounded_knapsack(np.array([int(length[k]) for k in open_]), spare, left)  # no more than SOLVED
         for k, n in zip(open_, extra.tolist()):
             taken[k] += n
     out = np.zeros(len(lengths), np.int64)

@@ -249,3 +249,23 @@ def test_silhouettes_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "PAIRS", 100_000)
     assert evaluation.dealt(points, 700, 700).rdd.getNumPartitions() == 5
     assert evaluation.euclidean_silhouette(points).first()[0] == whole == evaluation.reference_silhouette(points, 1000).first()[0]
+
+
+def test_permutation_fits_run_side_by_side(spark, monkeypatch):
+    """Two fits meet at a barrier that one after the other would never pass; every feature gets its own moves."""
+    import threading
+    from types import SimpleNamespace
+
+    calls, meet = [], threading.Barrier(2, timeout=120)
+
+    def run(rows, params, seed):
+        calls.append(1)
+        if len(calls) > 1:
+            meet.wait()
+        return rows.select(F.when(F.col("seq") % 2 == 0, F.col("x")[0]).otherwise(F.lit(0.0)).alias("anomaly_score"))
+
+    monkeypatch.setitem(evaluation.MODELS, "isolation_forest", SimpleNamespace(run=run, parameters=evaluation.MODELS["isolation_forest"].parameters))
+    df = spark.range(40).select(F.lit("a").alias("joint_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("timestamp"),
+                                F.pow(F.col("id"), F.lit(2.0)).alias("vibration_rms"), F.col("id").cast("double").alias("vibration_mean"))
+    got = {r["feature"]: r["importance"] for r in evaluation.permutation_importance(df, None, ["vibration_rms", "vibration_mean"], repeats=2).collect()}
+    assert len(calls) == 5 and got == {"vibration_rms": 1.0, "vibration_mean": 0.0}

@@ -394,3 +394,51 @@ def test_forest_writes_scores_only(spark, monkeypatch):
     assert not any("note" in columns for columns in written) and out.where("note is null").count() == 0
     plain = forest.isolation_forest(rows.drop("note"), {"n_estimators": 10, "contamination": 0.1})
     assert out.drop("note").exceptAll(plain).isEmpty() and out.where("anomaly = -1").count() == 20
+
+
+def test_a_point_is_sent_once_for_each_tile(spark, monkeypatch):
+    """However many blocks a joint has, its points go to a few tiles, and a task compares near blocks only, tile or not."""
+    monkeypatch.setattr(lof, "TILE_POINTS", 64)
+    for n, block in ((8, 16), (24, 8)):
+        rng = np.random.default_rng(6)
+        centres = rng.normal(size=(n, 6)) * 100
+        x = (centres[:, None, :] + rng.normal(size=(n, 64, 6))).reshape(-1, 6)
+        x[:40] = x[0]  # copies count, and are not sent again
+        df = spark.createDataFrame([("hot", i, r.tolist()) for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+        sent, tiles, pairs = (spark.sparkContext.accumulator(0) for _ in range(3))
+        near_pairs, take, edges = lof.near_pairs, lof.Tile.take, lof.Tile.edges
+
+        def counting(rows, own, bound, points, k, power, near_pairs=near_pairs, pairs=pairs):
+            pairs.add(len(rows) * len(points[0]))
+            return near_pairs(rows, own, bound, points, k, power)
+
+        monkeypatch.setattr(lof, "near_pairs", counting)
+        monkeypatch.setattr(lof.Tile, "take", lambda self, table, take=take, sent=sent: (sent.add(table.num_rows), take(self, table))[1])
+        monkeypatch.setattr(lof.Tile, "edges", lambda self, edges=edges, tiles=tiles: (tiles.add(1), edges(self))[1])
+        got = lof.outlier_factors(df, 5, block_points=block).orderBy("seq").toPandas()
+        monkeypatch.setattr(lof, "near_pairs", near_pairs)
+        monkeypatch.setattr(lof.Tile, "take", take)
+        monkeypatch.setattr(lof.Tile, "edges", edges)
+        points = len(x) - 39
+        assert 1 < tiles.value <= lof.TILES and sent.value == tiles.value * points
+        assert 0 < pairs.value < 0.5 * points**2
+        assert np.allclose(got.value[40:], brute_lof(x, 5)[40:], rtol=1e-6) and got.value[:40].nunique() == 1
+
+
+def test_tiles_over_several_joints_and_batches(spark, monkeypatch):
+    """A tile's rows may end in any batch, a task may have several tiles, and a joint fewer points than neighbours asked for."""
+    monkeypatch.setattr(lof, "TILE_POINTS", 16)
+    monkeypatch.setattr(lof, "TILE_TASKS", 3)
+    monkeypatch.setattr(lof, "PAIRS", 50)
+    rng = np.random.default_rng(4)
+    parts = {"a": rng.normal(size=(120, 3)), "b": rng.normal(size=(77, 3)) * 3, "c": rng.normal(size=(9, 3))}
+    df = spark.createDataFrame([(j, i, r.tolist()) for j, x in parts.items() for i, r in enumerate(x)], "joint_id string, seq long, x array<double>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for power in (2, 3):
+            got = lof.outlier_factors(df, 12, block_points=5, p=power).orderBy("joint_id", "seq").toPandas()
+            whole = lof.outlier_factors(df, 12, p=power).orderBy("joint_id", "seq").toPandas()
+            assert len(got) == 206 and np.allclose(got.value, whole.value)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

@@ -1,12 +1,14 @@
 """What stays on disk: tables and shuffle files are dropped once nothing reads them, and wide tables are not written."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tribospark import session
+from tribospark.operators import evaluation
 from tribospark.operators.detect import common, lof, registry
 from tribospark.plans import analysis
 from tribospark.session import materialise, scratch_root, settled, side_by_side
@@ -128,3 +130,28 @@ def test_rows_meet_their_point_by_a_hash(spark, monkeypatch, clash):
         monkeypatch.setattr(lof.F, "xxhash64", lambda *_: F.lit(7))
     got = lof._of_rows(rows, points).orderBy("seq").collect()
     assert [tuple(r) for r in got] == [("a", 0, 0), ("a", 1, 0), ("a", 2, 2), ("b", 3, 3)]
+
+
+def test_repeats_share_one_shuffle_and_get_the_same_values(spark, monkeypatch):
+    rows = spark.range(300).select(F.lit("p").alias("joint_id"), F.col("id").alias("seq"), F.lit(300).alias("n"), F.array(F.col("id") * 1.0, F.sqrt("id")).alias("x"))
+    got = {r["seq"]: r["_v"] for r in evaluation.shuffled_values(rows, 1, [42, 43, 44]).collect()}
+    for i, seed in enumerate((42, 43, 44)):
+        assert {r["seq"]: r["x"][1] for r in evaluation.shuffled(rows, 1, seed).collect()} == {seq: v[i] for seq, v in got.items()}
+    real = evaluation.number_rows
+    monkeypatch.setattr(evaluation, "number_rows", lambda *args, **more: real(*args, **more, max_window_rows=50, range_rows=40))
+    assert {r["seq"]: r["_v"] for r in evaluation.shuffled_values(rows, 1, [42, 43, 44]).collect()} == got
+
+
+def test_shuffled_matrices_do_not_pile_up(spark, monkeypatch):
+    """Whatever the number of features, no more tables are there than those of the fits that run; only the result stays."""
+    features, most, real = materialise(series(spark, 60)), [], evaluation.MODELS["isolation_forest"]
+    before = tables(spark)
+
+    def run(rows, params, seed):
+        most.append(len(tables(spark) - before))
+        return rows.select(F.col("x")[0].alias("anomaly_score"))
+
+    monkeypatch.setitem(evaluation.MODELS, "isolation_forest", SimpleNamespace(run=run, parameters=real.parameters))
+    wide = features.select("*", *[(F.col("vibration_mean") + i).alias(f"vibration_{i}") for i in range(5)])
+    out = evaluation.permutation_importance(wide, repeats=3)
+    assert out.count() == 8 and len(most) == 1 + 8 * 3 and max(most) <= 14 and len(tables(spark) - before) == 1

@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures
 from tribospark import session
 from tribospark.operators import evaluation
+from tribospark.operators import features as feature_module
 from tribospark.operators.detect import common, lof, registry
+from tribospark.operators.mapping import SignalTable
 from tribospark.plans import analysis
 from tribospark.session import materialise, scratch_root, settled, side_by_side
 
@@ -155,3 +158,29 @@ def test_shuffled_matrices_do_not_pile_up(spark, monkeypatch):
     wide = features.select("*", *[(F.col("vibration_mean") + i).alias(f"vibration_{i}") for i in range(5)])
     out = evaluation.permutation_importance(wide, repeats=3)
     assert out.count() == 8 and len(most) == 1 + 8 * 3 and max(most) <= 14 and len(tables(spark) - before) == 1
+
+
+def test_many_features_are_made_again_and_not_written(spark, monkeypatch):
+    """The default detector then writes nothing as wide as the features, and gives the same rows."""
+    rows = spark.range(400).select(F.concat(F.lit("j"), F.col("id") % 2).alias("joint_id"), F.floor(F.col("id") / 2).alias("seq"),
+                                   F.col("id").cast("double").alias("t"), F.sin(F.col("id") * F.col("id")).alias("vibration"))
+    table = SignalTable(materialise(rows), {"vibration": "vibration"})
+    config = registry.with_contamination(registry.default_config(), 0.1)
+    written = registry.detect_anomalies(analysis.features_of(table), config).orderBy("joint_id", "seq").collect()
+    before = tables(spark)
+    monkeypatch.setattr(feature_module, "SPARE_NUMBERS", 1000)
+    monkeypatch.setattr(registry, "WIDE_NUMBERS", 1000)
+    scored = registry.detect_anomalies(analysis.features_of(table), config)
+    assert not any("vibration_rms" in spark.read.parquet(str(p)).columns for p in tables(spark) - before)
+    got = scored.orderBy("joint_id", "seq").collect()
+    assert [(r["seq"], r["anomaly"]) for r in got] == [(r["seq"], r["anomaly"]) for r in written]
+    assert np.allclose([r["anomaly_score"] for r in got], [r["anomaly_score"] for r in written])
+
+
+def test_a_table_made_once_outlives_the_one_it_is_asked_for(spark):
+    """Asked for first on the way to another table, it is still there for a third, and what led to it is not."""
+    before = tables(spark)
+    first = lambda: fixtures.once(spark, "here", "first", lambda: materialise(spark.range(6)).where("id > 1"))
+    second = settled(lambda: fixtures.once(spark, "here", "second", lambda: first().where("id > 2")))
+    assert second.count() == 3 and first().count() == 4 and fixtures.once(spark, "here", "second", None).count() == 3
+    assert len(tables(spark) - before) == 3

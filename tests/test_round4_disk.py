@@ -14,12 +14,18 @@ from tribospark.operators import features as feature_module
 from tribospark.operators.detect import common, lof, registry
 from tribospark.operators.mapping import SignalTable
 from tribospark.plans import analysis
-from tribospark.session import materialise, scratch_root, settled, side_by_side
+from tribospark.session import materialise, settled, side_by_side
+
+
+@pytest.fixture(autouse=True)
+def own_folder(monkeypatch, tmp_path):
+    """Tables of other tests and sessions are not counted."""
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
 
 
 def tables(spark):
     """Folders of written tables."""
-    root = Path(scratch_root(spark).removeprefix("file:"))
+    root = Path(session.scratch_root(spark))
     return {p.parent for p in root.rglob("_SUCCESS")}
 
 
